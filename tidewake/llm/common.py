@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tidewake_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/tidewake", "zip", root, "tidewake"))
+        sc._tidewake_shipped = True
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

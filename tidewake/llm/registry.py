@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidewake.llm import mixing, sharding
+from tidewake.llm import mixing, quality_classifier, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op10_sharding": sharding.op10_sharding,
 }
 
