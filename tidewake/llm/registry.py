@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.llm import decontamination, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts, url_filter
+from tidewake.llm import decontamination, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 
