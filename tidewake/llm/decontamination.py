@@ -148,6 +148,17 @@ def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, i
             yield t, item_id, best[0], best[1] - (back[1] if back else len(pattern)), best[1]
 
 
+def _indexes(benchmark: DataFrame, errors: float) -> Iterator:
+    """Broadcast indexes of the items, in blocks of about ``BLOCK_BYTES`` of text at most."""
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n_blocks = max(1, -(-2 * size // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    for k in range(n_blocks):
+        rows = [(r["item_id"], r["text"]) for r in items.where(block == k).collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.of(sorted(rows, key=lambda r: (r[0] is None, r)), errors))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, distance, first_word and end_word of its best place.
 
@@ -158,17 +169,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
     equally near the first counts; repeated documents or items each give their
     rows; other columns are ignored; empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     schema = "doc_id long, item_id long, distance int, first_word int, end_word int"
-    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-2 * size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("text"), F.lit(n_blocks))
     found = None
-    for k in range(n_blocks):
-        rows = sorted((r["item_id"], r["text"]) for r in items.where(block == k).collect()) if size else []
-        index = spark.sparkContext.broadcast(Index.of(rows, errors))
+    for index in _indexes(benchmark, errors):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -183,6 +187,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
     return found
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; rows are dropped where they are, without a shuffle."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+    for index in _indexes(benchmark, errors):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, clean = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
+                for low in range(0, len(texts), 256):
+                    for t, *_ in matches(index.value, texts[low : low + 256]):
+                        clean[low + t] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int32()), ("end_word", pa.int32())])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, table, words
+from tidewake.llm.common import cut, row_key, table, words
 
 #: 2**32 divided by the golden ratio, odd.
 GOLDEN = 2_654_435_769
@@ -115,6 +115,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     return taken.unionByName(nothing).select(*by_row, "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: each as often as its words are taken, rounded; not at all below half."""
+    keyed = docs.withColumn("mix_key", row_key("doc_id", "text", "source"))
+    copies = mix(keyed.select(F.col("mix_key").alias("doc_id"), "text", "source")).where("taken > 0")
+    copies = copies.groupBy(F.col("doc_id").alias("mix_key")).agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("mix_copies"))
+    one = keyed.join(copies.where("mix_copies > 0"), "mix_key").withColumn("mix_row", F.row_number().over(W.partitionBy("mix_key").orderBy("doc_id")))
+    return one.where("mix_row = 1").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

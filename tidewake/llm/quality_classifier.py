@@ -21,17 +21,17 @@ FOLDS = 5
 CUTOFF = 0.3
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and ``x1..xd`` of every document, from its whole text alone; zeros where a text has no words."""
+def text_statistics(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``kept`` columns and ``x1..xd`` of every document, from its whole text alone; zeros where a text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", text.alias("t"), words(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE_RUN[:-1].replace("[", "[^"))).alias("lines"))
+    d = docs.select(*kept, text.alias("t"), words(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE_RUN[:-1].replace("[", "[^"))).alias("lines"))
     n, chars = F.size("w"), F.length("t")
 
     def without(pattern: str) -> Column:
         return chars - F.length(F.regexp_replace("t", pattern, ""))
 
     d = d.select(
-        "doc_id", n.alias("n"), chars.alias("chars"), F.length(F.array_join("w", "")).alias("inside"), F.size(F.array_distinct("w")).alias("distinct"),
+        *kept, n.alias("n_words"), chars.alias("length"), F.length(F.array_join("w", "")).alias("inside"), F.size(F.array_distinct("w")).alias("distinct"),
         without(r"[#*$%&<>]").alias("symbols"), without(r"\|").alias("bars"), without("!").alias("shouts"), without(r"\p{Lu}").alias("upper"), without(r"[0-9]").alias("digits"),
         F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dup_lines"), without(r"[.,;:?]").alias("stops"),
     )
@@ -43,11 +43,11 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         return F.log1p(50 * share(part, whole))
 
     xs = [
-        F.log1p("n"), share("inside", "n"), rate("symbols", "n"), rate("bars", "n"), rate("shouts", "n"), rate("upper", "chars"),
-        rate("digits", "chars"), share("distinct", "n") * F.log1p("n"), rate("dup_lines", "n_lines"), rate("stops", "n"), F.log1p(share("n", "n_lines")),
+        F.log1p("n_words"), share("inside", "n_words"), rate("symbols", "n_words"), rate("bars", "n_words"), rate("shouts", "n_words"), rate("upper", "length"),
+        rate("digits", "length"), share("distinct", "n_words") * F.log1p("n_words"), rate("dup_lines", "n_lines"), rate("stops", "n_words"), F.log1p(share("n_words", "n_lines")),
     ]
     xs[1] = F.least(xs[1], F.lit(40.0))
-    return d.select("doc_id", *(x.alias(f"x{k}") for k, x in enumerate(xs, 1)))
+    return d.select(*kept, *(x.alias(f"x{k}") for k, x in enumerate(xs, 1)))
 
 
 @dataclass(frozen=True)
@@ -98,6 +98,22 @@ def fit(rows: DataFrame, shrink: float = 0.3, ridge: float = 0.02) -> Discrimina
     return Discriminant(None, tuple(means), tuple(inverses), tuple(offsets))
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant]:
+    """Statistics of all documents (doc_id, held_out, x1..xd) and the model fitted to those not held out."""
+    x = cut(text_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "classifier-statistics")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(True))
+    known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
+    return x.withColumn("held_out", held_out), fit(x.where(~held_out).join(known, "doc_id").drop("doc_id"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject."""
+    kept = tuple(docs.columns)
+    _, model = learn(docs, labels)
+    x = text_statistics(docs, kept)
+    return x.where(model.score([F.col(c) for c in x.columns[len(kept):]]) >= cutoff).select(*kept)
+
+
 def classify(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every document.
 
@@ -109,12 +125,9 @@ def classify(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> Data
     If a class has fewer than two training rows, every score is the smoothed
     share of label 1. An empty table gives an empty result.
     """
-    x = cut(text_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "classifier-statistics")
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(True))
-    known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    model = fit(x.where(~held_out).join(known, "doc_id").drop("doc_id"))
-    score = model.score([F.col(c) for c in x.columns if c != "doc_id"])
-    return x.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
+    x, model = learn(docs, labels)
+    score = model.score([F.col(c) for c in x.columns if c.startswith("x")])
+    return x.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, ship, table
+from tidewake.llm.common import cut, row_key, ship, table
 from tidewake.llm.components import connected_components
 
 SEED = 42
@@ -47,8 +48,8 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        prints = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["key", "doc_id", "fp"])
 
 
 def near(values: np.ndarray, group: np.ndarray, radius: int = RADIUS, slab: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +152,18 @@ def links(prints: DataFrame) -> DataFrame:
     return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a long, b long")
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, fp) of every row, and (fp, component, component_id) of every fingerprint."""
+    ship(docs.sparkSession)
+    rows = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = cut(rows.mapInArrow(_fingerprints, "key long, doc_id long, fp long"), "fingerprints")
+    different = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    grouped = cut(connected_components(links(different)), "fingerprint-groups")
+    members = different.join(grouped, different["fp"] == grouped["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints, members.join(names, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (as a signed long) and component_id of every document.
 
@@ -161,15 +174,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and copies share a fingerprint and so never meet as pairs. An empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    different = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    grouped = cut(connected_components(links(different)), "fingerprint-groups")
-    members = different.join(grouped, different["fp"] == grouped["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = members.join(names, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints, groups = _grouped(docs)
+    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each group: that of the smallest doc_id (null last; ties: any fixed one)."""
+    prints, groups = _grouped(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    chosen = prints.join(groups, "fp").groupBy("component").agg(first).select(F.col("first.key").alias("chosen_key"))
+    met = docs.withColumn("chosen_key", row_key("doc_id", "text")).join(chosen, "chosen_key")
+    return met.withColumn("chosen_row", F.row_number().over(W.partitionBy("chosen_key").orderBy("doc_id"))).where("chosen_row = 1").select(*docs.columns)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,10 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, ship, table
+from tidewake.llm.common import cut, row_key, ship, table
 from tidewake.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 400
@@ -285,11 +285,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _key() -> Column:
-    """Names a row by its id and text; equal rows may share it, and so may different ones without harm."""
-    return F.xxhash64("doc_id", "text")
-
-
 def _bitmap(keys: DataFrame) -> DataFrame:
     word = F.pmod(F.col("key"), F.lit(BITMAP_ROWS))
     bit = F.expr("shiftleft(1L, CAST(shiftright(key, 40) & 63 AS INT))")
@@ -303,8 +298,12 @@ def _marked(docs: DataFrame, bitmap: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, found): for each text with repeats, its contexts and their repeated bytes."""
-    texts = docs.select(_key().alias("key"), "text").where(F.octet_length("text") >= LENGTH)
+    """(key, found): for each text with repeats, its contexts and their repeated bytes.
+
+    A key names a row's content. Should different rows share one, they get
+    each other's contexts too, which do no harm, as they are looked up by hash.
+    """
+    texts = docs.select(row_key("doc_id", "text").alias("key"), "text").where(F.octet_length("text") >= LENGTH)
     occurs = cut(texts.mapInArrow(_occurrences, "key long, h long, ctx long, n int"), "occurrences")
     merged = occurs.groupBy("h", "ctx").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
     anchors = merged.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
@@ -346,7 +345,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cut(repeated_spans(docs), "found")
-    rows = _marked(docs.withColumn("key", _key()), _bitmap(found.select("key")))
+    rows = _marked(docs.withColumn("key", row_key("doc_id", "text")), _bitmap(found.select("key")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     hit = rows.where("marked").select("key", "doc_id", "text").join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(_remove, schema)
     text = F.coalesce("text", F.lit(""))
