@@ -25,8 +25,12 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 FREQUENT = 8192
 PER_TASK = 1024
 #: A task's counter, and a worker's cache, hold at most so many different pre-tokens.
-HELD = 1 << 18
+COUNTED = 1 << 18
+CACHED = 1 << 20
 LIMIT = 512
+#: Byte-level BPE's alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 @lru_cache(maxsize=2)
@@ -43,6 +47,11 @@ def _encode(tokenizer, pieces: list[str]) -> list[int]:
     return [len(e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
+def _length(tokenizer, piece: str) -> int:
+    """Tokens of one pre-token, which goes to the library's BPE model without its text pipeline."""
+    return len(tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET)))
+
+
 def count_tokens(texts: list[str | None], path: str, frequent: dict[str, int]) -> list[int]:
     """Tokens of each text. Texts that hold a special token's string go to the tokenizer whole."""
     tokenizer, split, special, cache = _tools(path)
@@ -58,10 +67,10 @@ def count_tokens(texts: list[str | None], path: str, frequent: dict[str, int]) -
             missed = [p for p, n in zip(pieces, lengths, strict=True) if n is None]
             new = list({p for p in missed if p not in cache})
             if new:
-                if len(cache) + len(new) > HELD:
+                if len(cache) + len(new) > CACHED:
                     cache.clear()
                     new = list(set(missed))
-                cache.update(zip(new, _encode(tokenizer, new), strict=True))
+                cache.update((p, _length(tokenizer, p)) for p in new)
             out.append(sum(filter(None, lengths)) + sum(map(cache.__getitem__, missed)))
     return out
 
@@ -73,8 +82,8 @@ def _summaries(path: str):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(split(text))
-                if len(counts) > HELD:
-                    counts = Counter(dict(counts.most_common(HELD // 2)))
+                if len(counts) > COUNTED:
+                    counts = Counter(dict(counts.most_common(COUNTED // 2)))
         top = counts.most_common(PER_TASK)
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
@@ -86,7 +95,8 @@ def frequent_lengths(docs: DataFrame, path: str, size: int = FREQUENT) -> dict[s
     found = docs.where("text IS NOT NULL").select("text").mapInArrow(_summaries(path), "piece string, n long")
     top = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size).collect()
     pieces = [r["piece"] for r in top]
-    return dict(zip(pieces, _encode(_tools(path)[0], pieces), strict=True)) if pieces else {}
+    tokenizer = _tools(path)[0]
+    return {p: _length(tokenizer, p) for p in pieces}
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
