@@ -1,0 +1 @@
+"""Vessel-movement analytics on PySpark."""

@@ -1,6 +1,327 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries and their DuckDB SQL.
+
+A query returns plain columns: times as microseconds, dates as text, flags as
+0 or 1, so that both engines' results can be compared as they are.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewake import bindings as B
+from tidewake.bindings import Tables, with_tables
+from tidewake.functions.expressions import mmsi_format_class, run_id
+from tidewake.operators import daily, joins, network, versioned, visits
+from tidewake.plans import marts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Times as microseconds, dates as text, flags as 0 or 1, decimals as doubles."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.TimestampType):
+            c = F.unix_micros(c)
+        elif isinstance(f.dataType, T.DateType):
+            c = c.cast("string")
+        elif isinstance(f.dataType, T.BooleanType):
+            c = c.cast("int")
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def query(name: str, sql: str | None = None, tables: bool = True):
+    """Register a function of :class:`Tables`, with its SQL if there is one."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: plain(f(Tables(spark, sf_dir)))
+        if sql:
+            ORACLES[name] = with_tables(sql) if tables else sql
+        return f
+
+    return add
+
+
+def us(*columns: str) -> str:
+    return ", ".join(f"epoch_us({c}) AS {c}" for c in columns)
+
+
+def bits(*columns: str) -> str:
+    return ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+
+
+DAY = "CAST(activity_date AS VARCHAR) AS activity_date"
+
+# ---------------------------------------------------------------- derived tables, each defined once
+
+
+def positions(t: Tables) -> DataFrame:
+    return daily.newest_positions(t.positions_raw)
+
+
+def vessel_table(t: Tables) -> DataFrame:
+    return marts.vessels(daily.stg_vessels(t.positions_raw), t.ship_types, t.status_names)
+
+
+def features(t: Tables) -> DataFrame:
+    return marts.vessel_daily_features(t.positions_raw, vessel_table(t), t.status_names, stationary=B.SLOW_KN)
+
+
+def anomalies(t: Tables) -> DataFrame:
+    return daily.daily_anomalies(features(t), B.HOURS, B.POINTS, stationary_floor=B.STATIONARY_FLOOR)
+
+
+def visit_table(t: Tables) -> DataFrame:
+    return visits.detect_visits(positions(t), t.ports, B.VISIT_STAY, B.VISIT_GAP, B.VISIT_SPEED)
+
+
+def points(t: Tables) -> DataFrame:
+    return daily.with_previous_status(positions(t).withColumn("activity_date", F.to_date("msgtime")))
+
+
+# ---------------------------------------------------------------- positions and versions
+
+
+@query("latest_by_key", "SELECT mmsi, epoch_us(msgtime) AS msgtime, seq, speed_over_ground, epoch_us(ingested_at) AS ingested_at FROM positions")
+def latest_by_key(t: Tables) -> DataFrame:
+    return positions(t).select("mmsi", "msgtime", "seq", "speed_over_ground", "ingested_at")
+
+
+@query("duplicate_keys", "SELECT mmsi, epoch_us(msgtime) AS msgtime, count(*) AS copies FROM positions_raw GROUP BY ALL HAVING count(*) > 1 ORDER BY copies DESC, mmsi, msgtime LIMIT 20")
+def duplicate_keys(t: Tables) -> DataFrame:
+    return versioned.duplicate_keys(t.positions_raw, ["mmsi", "msgtime"])
+
+
+@query("row_versions", "SELECT CAST(sum(n) AS BIGINT) AS physical_rows, count(*) AS logical_rows FROM (SELECT count(*) AS n FROM positions_raw GROUP BY mmsi, msgtime)")
+def row_versions(t: Tables) -> DataFrame:
+    return versioned.row_versions(t.positions_raw, ["mmsi", "msgtime"])
+
+
+@query("latest_order_of_customer", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1", False)
+def latest_order_of_customer(t: Tables) -> DataFrame:
+    return versioned.latest_by_key(t.read("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("latest_vessel_rows", "SELECT mmsi, epoch_us(msgtime) AS msgtime, latitude, longitude, name, ship_type FROM positions_raw QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY msgtime DESC, ingested_at DESC) = 1")
+def latest_vessel_rows(t: Tables) -> DataFrame:
+    return versioned.latest_vessel_rows(t.positions_raw).drop("ingested_at")
+
+
+@query("missing_keys", "SELECT 'without order' AS side, c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) UNION ALL SELECT DISTINCT 'indebted', o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", False)
+def missing_keys(t: Tables) -> DataFrame:
+    c, o = t.read("customer").select(F.col("c_custkey").alias("custkey")), t.read("orders").select(F.col("o_custkey").alias("custkey"))
+    big = t.read("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("custkey"))
+    rich = t.read("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("custkey"))
+    left = versioned.missing_keys(c, big, "custkey").select(F.lit("without order").alias("side"), "custkey")
+    return left.unionByName(versioned.missing_keys(o, rich, "custkey").select(F.lit("indebted").alias("side"), "custkey"))
+
+
+@query("uppercase_stream", "SELECT mmsi, epoch_us(msgtime) AS msgtime, latitude, longitude, name, upper(stream) AS stream FROM positions_raw WHERE mmsi IS NOT NULL")
+def uppercase_stream(t: Tables) -> DataFrame:
+    from tidewake.sources.positions import uppercase_stream as run
+
+    return run(t.positions_raw)
+
+
+@query("positions_window", "SELECT mmsi, epoch_us(msgtime) AS msgtime, speed_over_ground FROM positions_raw WHERE msgtime >= TIMESTAMP '2024-01-05' AND msgtime < TIMESTAMP '2024-01-06'")
+def positions_window(t: Tables) -> DataFrame:
+    from tidewake.sources.positions import positions_window as run
+
+    return run(t.positions_raw, "2024-01-05", "2024-01-06").select("mmsi", "msgtime", "speed_over_ground")
+
+
+@query("mmsi_format_class", """
+    SELECT n AS number, CASE WHEN length(n) <> 9 THEN 'invalid_length' WHEN n LIKE '00%' THEN 'coast_station' WHEN n LIKE '0%' THEN 'group_call' WHEN n LIKE '111%' THEN 'sar_aircraft'
+      WHEN n LIKE '99%' THEN 'aid_to_navigation' WHEN n LIKE '98%' THEN 'parent_ship_craft' WHEN n LIKE '970%' THEN 'ais_sart' WHEN n LIKE '972%' THEN 'mob_device' WHEN n LIKE '974%' THEN 'epirb_ais'
+      WHEN n LIKE '8%' THEN 'handheld_vhf' WHEN substr(n, 1, 1) IN ('2', '3', '4', '5', '6', '7') THEN 'ship' ELSE 'nonstandard' END AS class
+    FROM (SELECT CAST((o_orderkey * 7919 + o_custkey * 104729) % 1100000000 AS VARCHAR) AS n FROM orders)""", False)
+def mmsi_classes(t: Tables) -> DataFrame:
+    n = ((F.col("o_orderkey") * 7919 + F.col("o_custkey") * 104729) % 1100000000).cast("string")
+    return t.read("orders").select(n.alias("number")).withColumn("class", mmsi_format_class(F.col("number")))
+
+
+@query("run_id", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS run_id FROM events", False)
+def run_ids(t: Tables) -> DataFrame:
+    return t.read("events").select("event_id", run_id(F.col("ts").cast("timestamp")).alias("run_id"))
+
+
+@query("busiest_vessels", f"SELECT mmsi, count(*) AS positions, {B.sql_round('avg(speed_over_ground)', 2)} AS avg_speed, {us('min(msgtime)').replace('AS min(msgtime)', 'AS first_seen')}, epoch_us(max(msgtime)) AS last_seen FROM positions_raw GROUP BY mmsi ORDER BY positions DESC, mmsi LIMIT 10")
+def busiest_vessels(t: Tables) -> DataFrame:
+    return daily.busiest_vessels(t.positions_raw)
+
+
+@query("valid_positions", "SELECT mmsi, epoch_us(msgtime) AS msgtime, CASE WHEN speed_over_ground >= 0 AND speed_over_ground < 102.3e0 THEN speed_over_ground END AS speed FROM positions")
+def valid_positions(t: Tables) -> DataFrame:
+    return visits.valid_positions(positions(t)).select("mmsi", "msgtime", F.col("speed_over_ground").alias("speed"))
+
+
+# ---------------------------------------------------------------- marts
+
+
+@query("stg_vessels", f"SELECT mmsi, vessel_name, ship_type, {us('first_seen', 'last_seen')}, name_count, ais_message_count, {B.sql_round('avg_speed_kn', 6)} AS avg_speed_kn, max_speed_kn, last_speed_kn, last_latitude, last_longitude, last_course, last_heading, last_navigational_status FROM stg_vessels")
+def stg_vessels(t: Tables) -> DataFrame:
+    from tidewake.functions.expressions import round_
+
+    return daily.stg_vessels(t.positions_raw).withColumn("avg_speed_kn", round_(F.col("avg_speed_kn"), 6))
+
+
+@query("vessels", f"SELECT mmsi, vessel_name, ship_type_name, ship_category, last_navigational_status_name, mmsi_format_class, {bits('is_valid_mmsi', 'has_identity_conflict', 'has_unknown_ship_type', 'is_test_record', 'is_dashboard_eligible', 'is_ai_enrichment_eligible')} FROM vessels")
+def vessels(t: Tables) -> DataFrame:
+    return vessel_table(t).select("mmsi", "vessel_name", "ship_type_name", "ship_category", "last_navigational_status_name", "mmsi_format_class", "is_valid_mmsi", "has_identity_conflict", "has_unknown_ship_type", "is_test_record", "is_dashboard_eligible", "is_ai_enrichment_eligible")
+
+
+@query("vessel_daily_features", f"SELECT * REPLACE ({DAY}, {us('first_seen', 'last_seen')}) FROM features")
+def vessel_daily_features(t: Tables) -> DataFrame:
+    return features(t)
+
+
+@query("with_previous_status", "SELECT mmsi, epoch_us(msgtime) AS msgtime, coalesce(navigational_status, -1) AS navigational_status, coalesce(before, -1) AS previous_navigational_status FROM points")
+def with_previous_status(t: Tables) -> DataFrame:
+    return points(t).select("mmsi", "msgtime", "navigational_status", "previous_navigational_status").fillna(-1)
+
+
+@query("dominant_status", f"SELECT mmsi, {DAY}, dominant_navigational_status, dominant_status_pct FROM dominant")
+def dominant_status(t: Tables) -> DataFrame:
+    return daily.dominant_status(points(t))
+
+
+@query("daily_aggregates", f"SELECT * REPLACE ({DAY}, {us('first_seen', 'last_seen')}) FROM daily")
+def daily_aggregates(t: Tables) -> DataFrame:
+    return daily.daily_aggregates(points(t), stationary=B.SLOW_KN)
+
+
+@query("well_observed", f"SELECT mmsi, {DAY}, ais_points, observation_hours FROM observed")
+def well_observed(t: Tables) -> DataFrame:
+    return daily.well_observed(features(t), B.HOURS, B.POINTS).select("mmsi", "activity_date", "ais_points", "observation_hours")
+
+
+_BASE = ", ".join(f"{B.sql_round(c, 6)} AS {c}" for c in ("baseline_avg_speed_kn", "baseline_sd_speed_kn", "baseline_stationary_pct", "baseline_sd_stationary_pct"))
+_BASE_SQL = f"SELECT mmsi, {DAY}, coalesce(baseline_days, 0) AS baseline_days, coalesce(baseline_speed_days, 0) AS baseline_speed_days, coalesce(baseline_stationary_days, 0) AS baseline_stationary_days, {_BASE} FROM baseline"
+
+
+def _baseline(df: DataFrame) -> DataFrame:
+    from tidewake.functions.expressions import round_
+
+    rounded = ("baseline_avg_speed_kn", "baseline_sd_speed_kn", "baseline_stationary_pct", "baseline_sd_stationary_pct")
+    return df.select("mmsi", "activity_date", "baseline_days", "baseline_speed_days", "baseline_stationary_days", *(round_(F.col(c), 6).alias(c) for c in rounded))
+
+
+@query("rolling_baseline", _BASE_SQL)
+def rolling_baseline(t: Tables) -> DataFrame:
+    return _baseline(joins.rolling_baseline(daily.well_observed(features(t), B.HOURS, B.POINTS)))
+
+
+@query("rolling_baseline_by_days", _BASE_SQL)
+def rolling_baseline_by_days(t: Tables) -> DataFrame:
+    return _baseline(joins.rolling_baseline_by_days(daily.well_observed(features(t), B.HOURS, B.POINTS)))
+
+
+_ANOMALY_SELECT = ", ".join(DAY if c == "activity_date" else f"CAST({c} AS INTEGER) AS {c}" if c in ("speed_anomaly", "stationary_anomaly", "status_speed_mismatch", "navigation_status_inconsistent") else c for c in daily.ANOMALY_COLUMNS)
+
+
+@query("vessel_daily_anomalies", f"SELECT {_ANOMALY_SELECT} FROM anomalies")
+def vessel_daily_anomalies(t: Tables) -> DataFrame:
+    return anomalies(t)
+
+
+# ---------------------------------------------------------------- visits and network
+
+
+@query("ports_within_radius", "SELECT mmsi, epoch_us(msgtime) AS msgtime, nearest, len(ports_inside) AS n_inside FROM near")
+def ports_within_radius(t: Tables) -> DataFrame:
+    seen = visits.collapse_positions(visits.valid_positions(positions(t)))
+    return visits.assign_ports(seen, t.ports, B.VISIT_SPEED).where("nearest IS NOT NULL").select("mmsi", "msgtime", "nearest", F.size("inside").cast("long").alias("n_inside"))
+
+
+@query("collapse_positions", "SELECT mmsi, epoch_us(msgtime) AS msgtime, latitude, longitude, speed FROM observations")
+def collapse_positions(t: Tables) -> DataFrame:
+    return visits.collapse_positions(visits.valid_positions(positions(t))).select("mmsi", "msgtime", "latitude", "longitude", F.col("speed_over_ground").alias("speed"))
+
+
+@query("visit_islands", "SELECT mmsi, epoch_us(msgtime) AS msgtime, eligible, CAST(island AS BIGINT) AS island FROM islands")
+def visit_islands(t: Tables) -> DataFrame:
+    seen = visits.collapse_positions(visits.valid_positions(positions(t)))
+    return visits.visit_islands(visits.assign_ports(seen, t.ports, B.VISIT_SPEED), B.VISIT_GAP).select("mmsi", "msgtime", "eligible", "island")
+
+
+@query("detect_visits", f"SELECT visit_id, mmsi, port_id, {us('arrival_at', 'last_observed_at')}, coalesce(epoch_us(departure_at), -1) AS departure_at, arrival_censored, end_reason, observation_count, observed_stay_seconds FROM visits")
+def detect_visits(t: Tables) -> DataFrame:
+    return plain(visit_table(t)).fillna(-1, ["departure_at"])
+
+
+@query("visit_summaries", "SELECT mmsi, port_id, count(*) AS visit_count FROM visits GROUP BY ALL")
+def visit_summaries(t: Tables) -> DataFrame:
+    return visits.visit_summaries(visit_table(t))
+
+
+@query("visit_stats", f"""
+    SELECT (SELECT count(*) FROM positions) AS source_rows, 0 AS invalid_rows, (SELECT count(*) FROM observations) AS unique_timestamps,
+      (SELECT count(*) FROM observations WHERE latitude IS NULL) AS conflicting_timestamps, (SELECT count(*) FROM assigned WHERE nearest IS NOT NULL) AS positions_inside_ports,
+      (SELECT count(*) FROM visits) AS visits, (SELECT count(*) FROM (SELECT 1 FROM islands WHERE eligible IS NOT NULL GROUP BY mmsi, island HAVING count(*) < 2 OR epoch_us(max(msgtime)) - epoch_us(min(msgtime)) < {B.VISIT_STAY * 1_000_000})) AS short_candidates""")
+def visit_stats(t: Tables) -> DataFrame:
+    return visits.visit_stats(positions(t), t.ports, B.VISIT_STAY, B.VISIT_GAP, B.VISIT_SPEED)
+
+
+@query("port_connections", f"SELECT from_port_id, to_port_id, movement_count, vessel_count, {us('first_seen', 'last_seen')} FROM routes")
+def port_connections(t: Tables) -> DataFrame:
+    return network.port_connections(visit_table(t))
+
+
+@query("consecutive_visits", "SELECT mmsi, from_port_id, to_port_id, epoch_us(from_arrival_at) AS from_arrival_at, epoch_us(arrival_at) AS arrival_at FROM moves")
+def consecutive_visits(t: Tables) -> DataFrame:
+    return network.consecutive_visits(visit_table(t)).where("from_port_id <> to_port_id")
+
+
+@query("connection_stats", "SELECT (SELECT count(*) FROM visits) AS visits, count(*) AS movements, count(DISTINCT (from_port_id, to_port_id)) AS relationships, count(DISTINCT mmsi) AS vessels FROM moves")
+def connection_stats(t: Tables) -> DataFrame:
+    return network.connection_stats(visit_table(t))
+
+
+@query("endpoints", "SELECT from_port_id AS port_id FROM network UNION SELECT to_port_id FROM network")
+def endpoints(t: Tables) -> DataFrame:
+    return joins.endpoints(t.network)
+
+
+@query("project_directed", "SELECT from_port_id AS src, to_port_id AS dst, CAST(movement_count AS DOUBLE) AS weight FROM network")
+def project_directed(t: Tables) -> DataFrame:
+    return network.project(t.network)
+
+
+@query("project_undirected", "SELECT src, dst, CAST(sum(w) AS DOUBLE) AS weight FROM (SELECT from_port_id AS src, to_port_id AS dst, movement_count AS w FROM network UNION ALL SELECT to_port_id, from_port_id, movement_count FROM network) GROUP BY ALL")
+def project_undirected(t: Tables) -> DataFrame:
+    return network.project(t.network, undirected=True)
+
+
+@query("pagerank", f"SELECT node, {B.sql_round('page_rank', 9)} AS page_rank FROM ranks")
+def pagerank(t: Tables) -> DataFrame:
+    from tidewake.functions.expressions import round_
+
+    return network.pagerank(network.project(t.network), B.DAMPING, B.ROUNDS).withColumn("page_rank", round_(F.col("page_rank"), 9))
+
+
+@query("modularity", f"""
+    SELECT {B.sql_round('sum(inner_w / w - pow(deg / w, 2))', 9)} AS modularity FROM (
+      SELECT c, sum(m) AS deg, sum(CASE WHEN c = d THEN m ELSE 0 END) AS inner_w FROM (
+        SELECT substr(a, 1, 1) AS c, substr(b, 1, 1) AS d, m FROM (SELECT from_port_id AS a, to_port_id AS b, CAST(movement_count AS DOUBLE) AS m FROM network UNION ALL SELECT to_port_id, from_port_id, CAST(movement_count AS DOUBLE) FROM network)) GROUP BY c),
+      (SELECT 2 * sum(movement_count) AS w FROM network)""")
+def modularity(t: Tables) -> DataFrame:
+    """Of the partition by first letter, which SQL can compute as well."""
+    from tidewake.functions.expressions import round_
+
+    e = network.project(t.network, undirected=True)
+    m = joins.endpoints(t.network).select(F.col("port_id").alias("node"), F.substring("port_id", 1, 1).alias("community"))
+    return network.modularity(e, m).withColumn("modularity", round_(F.col("modularity"), 9))
+
+
+@query("louvain")
+def louvain(t: Tables) -> DataFrame:
+    return network.louvain(network.project(t.network, undirected=True))
