@@ -325,3 +325,99 @@ def modularity(t: Tables) -> DataFrame:
 @query("louvain")
 def louvain(t: Tables) -> DataFrame:
     return network.louvain(network.project(t.network, undirected=True))
+
+
+# ---------------------------------------------------------------- windows and gaps
+
+
+def window_table(t: Tables) -> DataFrame:
+    from tidewake.streaming import windows as W
+
+    e = positions(t).select("mmsi", F.col("msgtime").alias("event_time"), "seq", "name", F.col("speed_over_ground").alias("speed"), "ship_type", F.col("navigational_status").alias("navigation_status"))
+    return W.labelled(W.window_features(e, B.SIZES, B.SLIDE, order=("event_time", "seq")), t.ship_types, t.status_names)
+
+
+def gap_table(t: Tables) -> DataFrame:
+    from tidewake.streaming import gaps as G
+
+    return G.labelled(G.gap_events_batch(positions(t), B.GAP_TIMEOUT), t.ship_types, t.status_names)
+
+
+AS_OF, AS_OF_SQL = F.lit("2024-01-20 12:00:00").cast("timestamp"), "TIMESTAMP '2024-01-20 12:00:00'"
+_W = "(SELECT * FROM window_labels WHERE window_minutes = 30) f"
+_LATEST = "window_end = (SELECT max(window_end) FROM window_labels WHERE window_minutes = 30)"
+R = B.sql_round
+_SPEEDS = ", ".join(f"{R(c, 2)} AS {c}" for c in ("avg_speed", "min_speed", "max_speed"))
+
+
+@query("window_features", f"SELECT mmsi, window_minutes, {us('window_start', 'window_end')}, position_count, {R('avg_speed', 6)} AS avg_speed, min_speed, max_speed, name, ship_type, coalesce(last_navigation_status, -1) AS last_navigation_status, ship_type_name, ship_category, last_navigation_status_name FROM window_labels")
+def window_features(t: Tables) -> DataFrame:
+    from tidewake.functions.expressions import round_
+
+    return window_table(t).drop("activity_date").withColumn("avg_speed", round_(F.col("avg_speed"), 6)).fillna(-1, ["last_navigation_status"])
+
+
+@query("tumbling_windows", f"SELECT mmsi, epoch_us(window_start) AS window_start, position_count FROM window_features WHERE window_minutes = {B.SLIDE}")
+def tumbling_windows(t: Tables) -> DataFrame:
+    from tidewake.streaming import windows as W
+
+    e = positions(t).select("mmsi", F.col("msgtime").alias("event_time"), "name", F.col("speed_over_ground").alias("speed"), "ship_type", F.col("navigational_status").alias("navigation_status"))
+    return W.window_features(e, (B.SLIDE,), B.SLIDE).select("mmsi", "window_start", "position_count")
+
+
+@query("gap_events_batch", f"SELECT event_type, mmsi, name, {us('last_event_msgtime', 'gap_detected_at')}, coalesce(epoch_us(gap_ended_at), -1) AS gap_ended_at, gap_duration_seconds, ship_category, navigation_status_name FROM gap_labels")
+def gap_events_batch(t: Tables) -> DataFrame:
+    return plain(gap_table(t).select("event_type", "mmsi", "name", "last_event_msgtime", "gap_detected_at", "gap_ended_at", "gap_duration_seconds", "ship_category", "navigation_status_name")).fillna(-1, ["gap_ended_at"])
+
+
+@query("upsert_vessel_state", "SELECT mmsi, epoch_us(msgtime) AS msgtime, seq, name FROM positions QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY msgtime DESC, seq DESC) = 1")
+def upsert_vessel_state(t: Tables) -> DataFrame:
+    from tidewake.streaming.gaps import upsert_vessel_state as run
+
+    p = positions(t).select("mmsi", "msgtime", "seq", "name")
+    half = F.lit("2024-01-15").cast("timestamp")
+    old = run(p.limit(0), p.where(F.col("msgtime") < half))
+    return run(old, p.where(F.col("msgtime") >= half))
+
+
+def _report(name: str, sql: str, f: Callable[[Tables], DataFrame]) -> None:
+    query(f"report_{name}", sql)(f)
+
+
+def _reports() -> None:
+    from tidewake import reports as P
+
+    w, g = window_table, gap_table
+    _report("active_vessels_latest", f"SELECT count(DISTINCT mmsi) AS active_vessels FROM {_W} WHERE {_LATEST}", lambda t: P.active_vessels_latest(w(t), 30))
+    _report("average_speed_latest", f"SELECT {R('avg(avg_speed)', 2)} AS avg_speed FROM {_W} WHERE {_LATEST}", lambda t: P.average_speed_latest(w(t), 30))
+    _report("fastest_latest", f"SELECT mmsi, name, ship_category, last_navigation_status_name, {R('avg_speed', 2)} AS avg_speed, {R('max_speed', 2)} AS max_speed FROM {_W} WHERE {_LATEST} AND max_speed IS NOT NULL ORDER BY f.max_speed DESC, mmsi LIMIT 10", lambda t: P.fastest_latest(w(t), 30))
+    _report("categories_latest", f"SELECT coalesce(ship_category, 'Unknown') AS ship_category, count(DISTINCT mmsi) AS vessels FROM {_W} WHERE {_LATEST} GROUP BY 1", lambda t: P.categories_latest(w(t), 30))
+    _report("statuses_latest", f"SELECT coalesce(last_navigation_status_name, 'Unknown') AS navigation_status, count(DISTINCT mmsi) AS vessels FROM {_W} WHERE {_LATEST} GROUP BY 1", lambda t: P.statuses_latest(w(t), 30))
+    _report("features_latest", f"SELECT name, mmsi, ship_category, last_navigation_status_name AS navigation_status, position_count, {_SPEEDS}, {us('window_start', 'window_end')} FROM {_W} WHERE {_LATEST} ORDER BY f.max_speed DESC NULLS LAST, mmsi LIMIT 100", lambda t: P.features_latest(w(t), 30))
+    _report("windows_by_size", "SELECT window_minutes, count(*) AS windows FROM window_labels GROUP BY 1", lambda t: P.windows_by_size(w(t)))
+    _report("newest_features", f"SELECT mmsi, window_minutes, {us('window_start', 'window_end')}, position_count FROM window_labels f ORDER BY f.window_end DESC, mmsi, window_minutes LIMIT 20", lambda t: P.newest_features(w(t)).select("mmsi", "window_minutes", "window_start", "window_end", "position_count"))
+    ended = f"FROM gap_labels WHERE event_type = 'AIS_GAP_ENDED' AND gap_ended_at >= {AS_OF_SQL} - INTERVAL"
+    _report("gaps_detected", f"SELECT count(*) AS gaps_detected FROM gap_labels WHERE event_type = 'AIS_GAP_DETECTED' AND gap_detected_at >= {AS_OF_SQL} - INTERVAL 1 HOUR", lambda t: P.gaps_detected(g(t), AS_OF))
+    _report("gaps_recovered", f"SELECT count(*) AS gaps_recovered {ended} 1 HOUR", lambda t: P.gaps_recovered(g(t), AS_OF))
+    _report("most_recovered", f"SELECT mmsi, arg_max(name, gap_ended_at) AS name, arg_max(ship_category, gap_ended_at) AS ship_category, count(*) AS recovered_gaps, {R('(avg(gap_duration_seconds) / 60)', 1)} AS avg_gap_minutes, {R('(max(gap_duration_seconds) / 60)', 1)} AS max_gap_minutes {ended} 24 HOUR GROUP BY mmsi", lambda t: P.most_recovered(g(t), AS_OF))
+    _report("average_gap", f"SELECT {R('(avg(gap_duration_seconds) / 60)', 1)} AS avg_gap_minutes {ended} 24 HOUR", lambda t: P.average_gap(g(t), AS_OF))
+    _report("gap_durations", f"SELECT CASE WHEN gap_duration_seconds < 900 THEN '10–15 min' WHEN gap_duration_seconds < 1800 THEN '15–30 min' WHEN gap_duration_seconds < 3600 THEN '30–60 min' ELSE '60+ min' END AS gap_duration, count(*) AS gaps {ended} 24 HOUR GROUP BY 1", lambda t: P.gap_durations(g(t), AS_OF))
+    _report("latest_gap_events", f"SELECT CASE event_type WHEN 'AIS_GAP_DETECTED' THEN 'Detected' ELSE 'Recovered' END AS event_type, name, mmsi, ship_category, navigation_status_name, epoch_us(gap_detected_at) AS gap_detected_at, coalesce(epoch_us(gap_ended_at), -1) AS gap_ended_at, {R('(gap_duration_seconds / 60)', 1)} AS gap_minutes, epoch_us(coalesce(gap_ended_at, gap_detected_at)) AS event_time FROM gap_labels h WHERE coalesce(gap_ended_at, gap_detected_at) >= {AS_OF_SQL} - INTERVAL 24 HOUR ORDER BY coalesce(h.gap_ended_at, h.gap_detected_at) DESC, mmsi, h.event_type LIMIT 100", lambda t: plain(P.latest_gap_events(g(t), AS_OF)).fillna(-1, ["gap_ended_at"]))
+    _report("long_recovered", "SELECT mmsi, epoch_us(gap_ended_at) AS gap_ended_at, gap_duration_seconds FROM gap_labels WHERE event_type = 'AIS_GAP_ENDED' AND gap_duration_seconds >= 1800", lambda t: P.long_recovered(g(t)).select("mmsi", "gap_ended_at", "gap_duration_seconds"))
+    _report("gaps_by_type", "SELECT event_type, count(*) AS events FROM gap_labels GROUP BY 1", lambda t: P.gaps_by_type(g(t)))
+    _report("matched_gap", "SELECT event_type, mmsi, epoch_us(gap_detected_at) AS gap_detected_at FROM gap_labels WHERE (mmsi, gap_detected_at) = (SELECT (mmsi, gap_detected_at) FROM gap_labels WHERE event_type = 'AIS_GAP_ENDED' ORDER BY gap_ended_at DESC, gap_detected_at DESC, mmsi LIMIT 1)", lambda t: P.matched_gap(g(t)).select("event_type", "mmsi", "gap_detected_at"))
+    v, a = vessel_table, anomalies
+    _report("total_vessels", "SELECT count(*) AS vessels FROM vessels WHERE is_dashboard_eligible", lambda t: P.total_vessels(v(t)))
+    _report("active_vessels", f"SELECT count(*) AS vessels FROM vessels WHERE is_dashboard_eligible AND last_seen >= {AS_OF_SQL} - INTERVAL 24 HOUR", lambda t: P.active_vessels(v(t), AS_OF))
+    _report("vessels_by_category", "SELECT ship_category, count(*) AS vessels FROM vessels WHERE is_dashboard_eligible GROUP BY 1", lambda t: P.vessels_by_category(v(t)))
+    _report("vessels_by_status", "SELECT last_navigational_status_name, count(*) AS vessels FROM vessels WHERE is_dashboard_eligible GROUP BY 1", lambda t: P.vessels_by_status(v(t)))
+    _report("last_positions", "SELECT DISTINCT mmsi, vessel_name, ship_category, last_latitude, last_longitude, epoch_us(date_trunc('minute', last_seen)) AS last_seen FROM vessels WHERE is_dashboard_eligible", lambda t: P.last_positions(v(t)))
+    _report("vessel_details", "SELECT DISTINCT mmsi, vessel_name, ship_type_name, ship_category, ais_message_count, last_speed_kn, last_navigational_status_name FROM vessels WHERE is_dashboard_eligible AND CAST(last_seen AS DATE) = DATE '2024-01-30'", lambda t: P.vessel_details(v(t), "2024-01-30"))
+    _report("anomaly_days", "SELECT count(*) AS vessel_days FROM anomalies", lambda t: P.anomaly_days(a(t)))
+    _report("speed_and_stationary", "SELECT count(*) AS vessel_days FROM anomalies WHERE anomaly_reason = 'speed_and_stationary'", lambda t: P.speed_and_stationary(a(t)))
+    _report("average_score", f"SELECT {R('avg(anomaly_score)', 3)} AS avg_score FROM anomalies", lambda t: P.average_score(a(t)))
+    _report("anomalies_by_type", "SELECT CASE anomaly_reason WHEN 'speed_and_stationary' THEN 'Speed + Stationary' WHEN 'speed' THEN 'Speed' ELSE 'Stationary' END AS anomaly_type, count(*) AS vessel_days FROM anomalies GROUP BY 1", lambda t: P.anomalies_by_type(a(t)))
+    _report("top_anomalies", f"SELECT {DAY}, mmsi, vessel_name, anomaly_reason, anomaly_score FROM anomalies b ORDER BY anomaly_score DESC, b.activity_date, mmsi LIMIT 10", lambda t: P.top_anomalies(a(t)))
+
+
+_reports()
