@@ -83,6 +83,35 @@ class Tables:
         a, b = n.toDF("s_nationkey", "from_port_id"), n.toDF("c_nationkey", "to_port_id")
         return met.join(F.broadcast(a), "s_nationkey").join(F.broadcast(b), "c_nationkey").where("from_port_id <> to_port_id").select("from_port_id", "to_port_id", "movement_count")
 
+    @cached_property
+    def countries_raw(self) -> DataFrame:
+        n, r = self.read("nation"), self.read("region")
+        j, name, region = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]), F.col("n_name"), F.col("n_regionkey")
+        codes = F.concat(F.lit('{"alpha_2":" '), _code(), F.lit('","alpha_3":"'), F.substring(name, 1, 3), F.lit('","ccn3":"'), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.lit('"}'))
+        two = F.concat(F.lit('[{"name":"Old"},{"name":"New '), name, F.lit('","attributes":{"primary":true}}]'))
+        capitals = F.when(region < 2, two).when(region < 4, F.concat(F.lit('[{"name":"Only '), name, F.lit('"}]')))
+        return j.select(codes.alias("codes"), F.concat(F.lit('{"common":"'), name, F.lit('"}')).alias("names"), F.when(region == 0, "  ").otherwise(F.col("r_name")).alias("region"), capitals.alias("capitals"))
+
+    @cached_property
+    def nation_ports(self) -> DataFrame:
+        name = F.when(F.col("n_regionkey") == 0, " ").otherwise(F.concat(F.lit("Port of "), F.col("n_name")))
+        return self.read("nation").select(F.col("n_name").alias("port_id"), name.alias("name"), _code().alias("country"), F.col("n_nationkey").cast("double").alias("latitude"), F.col("n_regionkey").cast("double").alias("longitude"))
+
+    @cached_property
+    def historical(self) -> DataFrame:
+        e = F.col("event_id")
+        speed = F.when(e % 9 == 0, F.lit("102.30").cast("decimal(6,2)")).otherwise((e % 100).cast("decimal(6,2)"))
+        return self.read("events").select(
+            F.col("ts").cast("timestamp").alias("date_time_utc"), (F.lit(257000000) + F.col("user_id")).cast("int").alias("mmsi"), (5.0 + 1e-3 * (e % 1000)).alias("longitude"), (60.0 + 1e-3 * (e % 500)).alias("latitude"),
+            (e % 9).cast("int").alias("status"), (e % 500).cast("decimal(6,2)").alias("course_over_ground"), (e % 520).cast("int").alias("true_heading"), speed.alias("speed_over_ground"), (e % 300 - 150).cast("int").alias("rate_of_turn"),
+            F.lit(0).alias("maneuvre"), F.lit("test").alias("data_source"), F.lit("A").alias("ais_class"), F.lit(1).alias("msg_type"), F.col("props").cast("binary").alias("geometry"),
+        )
+
+
+def _code():
+    """A two-letter code of a nation."""
+    return F.concat(F.char(65 + F.col("n_nationkey")), F.char(65 + F.col("n_regionkey")))
+
 
 _R = sql_round
 _STATUS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(STATUS_NAMES))
@@ -223,6 +252,36 @@ CTES: dict[str, str] = {
         UNION ALL
         SELECT 'AIS_GAP_ENDED', mmsi, resumed_name, last_at, resumed_at, last_at + INTERVAL {GAP_TIMEOUT} SECOND, resumed_at, (epoch_us(resumed_at) - epoch_us(last_at)) / 1e6, resumed_type, resumed_status FROM gap_pairs WHERE resumed_at IS NOT NULL""",
     "gap_labels": "SELECT g.*, ship_type_name, ship_category, navigational_status_name AS navigation_status_name FROM gaps g LEFT JOIN ship_types USING (ship_type) LEFT JOIN status_names ON navigation_status = navigational_status",
+    "visits_1": f"SELECT '{RUN}' AS run_id, DATE '2024-01-01' AS activity_date, * FROM visits",
+    "visit_history": """
+        SELECT *, TIMESTAMP '2024-02-02' AS updated_at, 0 AS is_deleted FROM visits_1
+        UNION ALL SELECT *, TIMESTAMP '2024-02-02 00:00:00.000001', CASE WHEN observation_count % 3 <> 0 THEN 0 ELSE 1 END FROM visits_1""",
+    "live_visits": "SELECT * FROM (SELECT * FROM visit_history QUALIFY row_number() OVER (PARTITION BY run_id, visit_id ORDER BY updated_at DESC) = 1) WHERE is_deleted = 0",
+    "countries_raw": """
+        SELECT '{"alpha_2":" ' || chr(CAST(65 + n_nationkey AS INT)) || chr(CAST(65 + n_regionkey AS INT)) || '","alpha_3":"' || substr(n_name, 1, 3) || '","ccn3":"' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || '"}' AS codes,
+          '{"common":"' || n_name || '"}' AS names, CASE WHEN n_regionkey = 0 THEN '  ' ELSE r_name END AS region,
+          CASE WHEN n_regionkey < 2 THEN '[{"name":"Old"},{"name":"New ' || n_name || '","attributes":{"primary":true}}]' WHEN n_regionkey < 4 THEN '[{"name":"Only ' || n_name || '"}]' END AS capitals
+        FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "country_table": """
+        SELECT trim(json_extract_string(codes, '$.alpha_2')) AS country_code, trim(json_extract_string(codes, '$.alpha_3')) AS iso3, trim(json_extract_string(codes, '$.ccn3')) AS numeric_code, json_extract_string(names, '$.common') AS country_name,
+          nullif(trim(region), '') AS region, CASE WHEN json_extract_string(capitals, '$[1].name') IS NOT NULL THEN json_extract_string(capitals, '$[1].name') ELSE json_extract_string(capitals, '$[0].name') END AS capital_city FROM countries_raw""",
+    "nation_ports": "SELECT n_name AS port_id, CASE WHEN n_regionkey = 0 THEN ' ' ELSE 'Port of ' || n_name END AS name, chr(CAST(65 + n_nationkey AS INT)) || chr(CAST(65 + n_regionkey AS INT)) AS country, CAST(n_nationkey AS DOUBLE) AS latitude, CAST(n_regionkey AS DOUBLE) AS longitude FROM nation",
+    "metric_table": f"SELECT '{RUN}' AS run_id, node AS port_id, page_rank, dense_rank() OVER (ORDER BY right(node, 1)) - 1 AS community_id, DATE '2024-01-01' AS snapshot_date FROM ranks",
+    "label_table": """
+        SELECT run_id, community_id, arg_min(shown, place) AS community_name, string_agg(shown, ' / ' ORDER BY place) FILTER (place <= 3) AS community_label, count(*) AS port_count
+        FROM (SELECT m.*, coalesce(nullif(trim(name), ''), m.port_id) AS shown, row_number() OVER (PARTITION BY run_id, community_id ORDER BY page_rank DESC, m.port_id) AS place FROM metric_table m LEFT JOIN nation_ports USING (port_id)) GROUP BY ALL""",
+    "enriched_metrics": """
+        SELECT m.*, p.name AS port_name, p.country AS country_code, country_name, iso3, numeric_code, latitude, longitude, community_name, community_label, coalesce(unique_vessels, 0) AS unique_vessels, coalesce(visit_count, 0) AS visit_count
+        FROM metric_table m LEFT JOIN label_table USING (run_id, community_id) LEFT JOIN nation_ports p USING (port_id) LEFT JOIN country_table c ON p.country = c.country_code
+        LEFT JOIN (SELECT run_id, n_name AS port_id, count(DISTINCT mmsi) AS unique_vessels, count(*) AS visit_count FROM live_visits JOIN nation ON port_id = 'WPI:' || n_nationkey GROUP BY ALL) v USING (run_id, port_id)""",
+    "candidates": "SELECT *, sha256(mmsi || '|' || activity_date || '|' || anomaly_reason) AS input_hash FROM anomalies WHERE anomaly_rank <= 100",
+    "history": """
+        SELECT mmsi, activity_date, 'transit' AS activity_class, 'consistent' AS navigation_status_quality, 's' || k AS summary, CASE WHEN anomaly_reason = 'stationary' THEN 'm2' ELSE 'm1' END AS model, 'v1' AS prompt_version,
+          CASE WHEN anomaly_score > 1.2e0 THEN input_hash ELSE 'stale' END AS input_hash, 'r' || k AS response_id, TIMESTAMP '2024-03-01' + INTERVAL 1 HOUR * k AS created_at FROM candidates, range(1, 3) t(k)""",
+    "responses": "SELECT h.* FROM history h JOIN candidates USING (mmsi, activity_date, input_hash) WHERE model = 'm1' AND prompt_version = 'v1' QUALIFY row_number() OVER (PARTITION BY h.mmsi, h.activity_date ORDER BY created_at DESC, response_id DESC) = 1",
+    "historical": """
+        SELECT ts AS date_time_utc, CAST(257000000 + user_id AS INT) AS mmsi, 5e0 + 1e-3 * (event_id % 1000) AS longitude, 6e1 + 1e-3 * (event_id % 500) AS latitude, CAST(event_id % 9 AS INT) AS status, CAST(event_id % 500 AS DECIMAL(6,2)) AS course_over_ground,
+          CAST(event_id % 520 AS INT) AS true_heading, CASE WHEN event_id % 9 = 0 THEN CAST(102.30 AS DECIMAL(6,2)) ELSE CAST(event_id % 100 AS DECIMAL(6,2)) END AS speed_over_ground, CAST(event_id % 300 - 150 AS INT) AS rate_of_turn FROM events""",
 }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: iterations keep short plans and survive lost executors."""
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -72,14 +72,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 20, tol: f
     few rounds, when the change is also looked at.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    e = _written(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "pagerank-edges")
-    nodes = _written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "pagerank-nodes")
+    e = written(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "pagerank-edges")
+    nodes = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "pagerank-nodes")
     ranks, base = nodes.withColumn("page_rank", F.lit(1 - damping)), nodes.withColumn("page_rank", F.lit(1 - damping))
     for i in range(1, max_iter + 1):
         given = e.join(ranks, e["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("page_rank") * F.col("share")).alias("got"))
         new = nodes.join(given, nodes["node"] == given["dst"], "left").select("node", ((1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("page_rank"))
         if i % cut_every == 0 or i == max_iter:
-            new = _written(new, "ranks")
+            new = written(new, "ranks")
             if tol > 0:
                 change = new.join(base.select("node", F.col("page_rank").alias("old")), "node").agg(F.max(F.abs(F.col("page_rank") - F.col("old"))).alias("d")).first()["d"]
                 if change is None or change < tol:
@@ -107,17 +107,17 @@ def louvain(edges: DataFrame, max_levels: int = 10, max_rounds: int = 10) -> Dat
     communities are contracted, with their inner weight as a loop. Every step is
     a join and an aggregation of edge size.
     """
-    e = _written(edges.where("weight > 0"), "louvain-edges")
-    original = _written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "louvain-nodes")
+    e = written(edges.where("weight > 0"), "louvain-edges")
+    original = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "louvain-nodes")
     member = original.withColumn("community", F.col("node"))
     for _ in range(max_levels):
         nodes = e.select(F.col("src").alias("node")).distinct()
-        level = _written(nodes.withColumn("community", F.col("node")), "louvain-level")
+        level = written(nodes.withColumn("community", F.col("node")), "louvain-level")
         best, moved = modularity(e, level).first()["modularity"], False
         for r in range(max_rounds):
             gained = False
             for parity in (0, 1):
-                tried = _written(_moved(e, level, parity, r), "louvain-level")
+                tried = written(_moved(e, level, parity, r), "louvain-level")
                 value = modularity(e, tried).first()["modularity"]
                 if value > best + 1e-12:
                     level, best, gained, moved = tried, value, True, True
@@ -126,11 +126,11 @@ def louvain(edges: DataFrame, max_levels: int = 10, max_rounds: int = 10) -> Dat
         if not moved:
             break
         names = level.groupBy("community").agg(F.min("node").alias("name"))
-        level = _written(level.join(names, "community").select("node", F.col("name").alias("community")), "louvain-level")
+        level = written(level.join(names, "community").select("node", F.col("name").alias("community")), "louvain-level")
         step = level.select(F.col("node").alias("community"), F.col("community").alias("next"))
-        member = _written(member.join(step, "community").select("node", F.col("next").alias("community")), "louvain-members")
+        member = written(member.join(step, "community").select("node", F.col("next").alias("community")), "louvain-members")
         a = e.join(level.select(F.col("node").alias("src"), F.col("community").alias("s")), "src").join(level.select(F.col("node").alias("dst"), F.col("community").alias("d")), "dst")
-        e = _written(a.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain-edges")
+        e = written(a.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain-edges")
     smallest = member.groupBy("community").agg(F.min("node").alias("name"))
     return member.join(smallest, "community").select("node", F.col("name").alias("community"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewake import bindings as B
+from tidewake import schemas
 from tidewake.bindings import Tables, with_tables
 from tidewake.functions.expressions import mmsi_format_class, run_id
 from tidewake.operators import daily, joins, network, versioned, visits
@@ -311,14 +312,14 @@ def pagerank(t: Tables) -> DataFrame:
 @query("modularity", f"""
     SELECT {B.sql_round('sum(inner_w / w - pow(deg / w, 2))', 9)} AS modularity FROM (
       SELECT c, sum(m) AS deg, sum(CASE WHEN c = d THEN m ELSE 0 END) AS inner_w FROM (
-        SELECT substr(a, 1, 1) AS c, substr(b, 1, 1) AS d, m FROM (SELECT from_port_id AS a, to_port_id AS b, CAST(movement_count AS DOUBLE) AS m FROM network UNION ALL SELECT to_port_id, from_port_id, CAST(movement_count AS DOUBLE) FROM network)) GROUP BY c),
+        SELECT right(a, 1) AS c, right(b, 1) AS d, m FROM (SELECT from_port_id AS a, to_port_id AS b, CAST(movement_count AS DOUBLE) AS m FROM network UNION ALL SELECT to_port_id, from_port_id, CAST(movement_count AS DOUBLE) FROM network)) GROUP BY c),
       (SELECT 2 * sum(movement_count) AS w FROM network)""")
 def modularity(t: Tables) -> DataFrame:
-    """Of the partition by first letter, which SQL can compute as well."""
+    """Of the partition by last letter, which SQL can compute as well."""
     from tidewake.functions.expressions import round_
 
     e = network.project(t.network, undirected=True)
-    m = joins.endpoints(t.network).select(F.col("port_id").alias("node"), F.substring("port_id", 1, 1).alias("community"))
+    m = joins.endpoints(t.network).select(F.col("port_id").alias("node"), F.substring("port_id", -1, 1).alias("community"))
     return network.modularity(e, m).withColumn("modularity", round_(F.col("modularity"), 9))
 
 
@@ -343,7 +344,13 @@ def gap_table(t: Tables) -> DataFrame:
     return G.labelled(G.gap_events_batch(positions(t), B.GAP_TIMEOUT), t.ship_types, t.status_names)
 
 
-AS_OF, AS_OF_SQL = F.lit("2024-01-20 12:00:00").cast("timestamp"), "TIMESTAMP '2024-01-20 12:00:00'"
+AS_OF_SQL = "TIMESTAMP '2024-01-20 12:00:00'"
+
+
+def as_of():
+    return F.lit("2024-01-20 12:00:00").cast("timestamp")
+
+
 _W = "(SELECT * FROM window_labels WHERE window_minutes = 30) f"
 _LATEST = "window_end = (SELECT max(window_end) FROM window_labels WHERE window_minutes = 30)"
 R = B.sql_round
@@ -397,18 +404,18 @@ def _reports() -> None:
     _report("windows_by_size", "SELECT window_minutes, count(*) AS windows FROM window_labels GROUP BY 1", lambda t: P.windows_by_size(w(t)))
     _report("newest_features", f"SELECT mmsi, window_minutes, {us('window_start', 'window_end')}, position_count FROM window_labels f ORDER BY f.window_end DESC, mmsi, window_minutes LIMIT 20", lambda t: P.newest_features(w(t)).select("mmsi", "window_minutes", "window_start", "window_end", "position_count"))
     ended = f"FROM gap_labels WHERE event_type = 'AIS_GAP_ENDED' AND gap_ended_at >= {AS_OF_SQL} - INTERVAL"
-    _report("gaps_detected", f"SELECT count(*) AS gaps_detected FROM gap_labels WHERE event_type = 'AIS_GAP_DETECTED' AND gap_detected_at >= {AS_OF_SQL} - INTERVAL 1 HOUR", lambda t: P.gaps_detected(g(t), AS_OF))
-    _report("gaps_recovered", f"SELECT count(*) AS gaps_recovered {ended} 1 HOUR", lambda t: P.gaps_recovered(g(t), AS_OF))
-    _report("most_recovered", f"SELECT mmsi, arg_max(name, gap_ended_at) AS name, arg_max(ship_category, gap_ended_at) AS ship_category, count(*) AS recovered_gaps, {R('(avg(gap_duration_seconds) / 60)', 1)} AS avg_gap_minutes, {R('(max(gap_duration_seconds) / 60)', 1)} AS max_gap_minutes {ended} 24 HOUR GROUP BY mmsi", lambda t: P.most_recovered(g(t), AS_OF))
-    _report("average_gap", f"SELECT {R('(avg(gap_duration_seconds) / 60)', 1)} AS avg_gap_minutes {ended} 24 HOUR", lambda t: P.average_gap(g(t), AS_OF))
-    _report("gap_durations", f"SELECT CASE WHEN gap_duration_seconds < 900 THEN '10–15 min' WHEN gap_duration_seconds < 1800 THEN '15–30 min' WHEN gap_duration_seconds < 3600 THEN '30–60 min' ELSE '60+ min' END AS gap_duration, count(*) AS gaps {ended} 24 HOUR GROUP BY 1", lambda t: P.gap_durations(g(t), AS_OF))
-    _report("latest_gap_events", f"SELECT CASE event_type WHEN 'AIS_GAP_DETECTED' THEN 'Detected' ELSE 'Recovered' END AS event_type, name, mmsi, ship_category, navigation_status_name, epoch_us(gap_detected_at) AS gap_detected_at, coalesce(epoch_us(gap_ended_at), -1) AS gap_ended_at, {R('(gap_duration_seconds / 60)', 1)} AS gap_minutes, epoch_us(coalesce(gap_ended_at, gap_detected_at)) AS event_time FROM gap_labels h WHERE coalesce(gap_ended_at, gap_detected_at) >= {AS_OF_SQL} - INTERVAL 24 HOUR ORDER BY coalesce(h.gap_ended_at, h.gap_detected_at) DESC, mmsi, h.event_type LIMIT 100", lambda t: plain(P.latest_gap_events(g(t), AS_OF)).fillna(-1, ["gap_ended_at"]))
+    _report("gaps_detected", f"SELECT count(*) AS gaps_detected FROM gap_labels WHERE event_type = 'AIS_GAP_DETECTED' AND gap_detected_at >= {AS_OF_SQL} - INTERVAL 1 HOUR", lambda t: P.gaps_detected(g(t), as_of()))
+    _report("gaps_recovered", f"SELECT count(*) AS gaps_recovered {ended} 1 HOUR", lambda t: P.gaps_recovered(g(t), as_of()))
+    _report("most_recovered", f"SELECT mmsi, arg_max(name, gap_ended_at) AS name, arg_max(ship_category, gap_ended_at) AS ship_category, count(*) AS recovered_gaps, {R('(avg(gap_duration_seconds) / 60)', 1)} AS avg_gap_minutes, {R('(max(gap_duration_seconds) / 60)', 1)} AS max_gap_minutes {ended} 24 HOUR GROUP BY mmsi", lambda t: P.most_recovered(g(t), as_of()))
+    _report("average_gap", f"SELECT {R('(avg(gap_duration_seconds) / 60)', 1)} AS avg_gap_minutes {ended} 24 HOUR", lambda t: P.average_gap(g(t), as_of()))
+    _report("gap_durations", f"SELECT CASE WHEN gap_duration_seconds < 900 THEN '10–15 min' WHEN gap_duration_seconds < 1800 THEN '15–30 min' WHEN gap_duration_seconds < 3600 THEN '30–60 min' ELSE '60+ min' END AS gap_duration, count(*) AS gaps {ended} 24 HOUR GROUP BY 1", lambda t: P.gap_durations(g(t), as_of()))
+    _report("latest_gap_events", f"SELECT CASE event_type WHEN 'AIS_GAP_DETECTED' THEN 'Detected' ELSE 'Recovered' END AS event_type, name, mmsi, ship_category, navigation_status_name, epoch_us(gap_detected_at) AS gap_detected_at, coalesce(epoch_us(gap_ended_at), -1) AS gap_ended_at, {R('(gap_duration_seconds / 60)', 1)} AS gap_minutes, epoch_us(coalesce(gap_ended_at, gap_detected_at)) AS event_time FROM gap_labels h WHERE coalesce(gap_ended_at, gap_detected_at) >= {AS_OF_SQL} - INTERVAL 24 HOUR ORDER BY coalesce(h.gap_ended_at, h.gap_detected_at) DESC, mmsi, h.event_type LIMIT 100", lambda t: plain(P.latest_gap_events(g(t), as_of())).fillna(-1, ["gap_ended_at"]))
     _report("long_recovered", "SELECT mmsi, epoch_us(gap_ended_at) AS gap_ended_at, gap_duration_seconds FROM gap_labels WHERE event_type = 'AIS_GAP_ENDED' AND gap_duration_seconds >= 1800", lambda t: P.long_recovered(g(t)).select("mmsi", "gap_ended_at", "gap_duration_seconds"))
     _report("gaps_by_type", "SELECT event_type, count(*) AS events FROM gap_labels GROUP BY 1", lambda t: P.gaps_by_type(g(t)))
     _report("matched_gap", "SELECT event_type, mmsi, epoch_us(gap_detected_at) AS gap_detected_at FROM gap_labels WHERE (mmsi, gap_detected_at) = (SELECT (mmsi, gap_detected_at) FROM gap_labels WHERE event_type = 'AIS_GAP_ENDED' ORDER BY gap_ended_at DESC, gap_detected_at DESC, mmsi LIMIT 1)", lambda t: P.matched_gap(g(t)).select("event_type", "mmsi", "gap_detected_at"))
     v, a = vessel_table, anomalies
     _report("total_vessels", "SELECT count(*) AS vessels FROM vessels WHERE is_dashboard_eligible", lambda t: P.total_vessels(v(t)))
-    _report("active_vessels", f"SELECT count(*) AS vessels FROM vessels WHERE is_dashboard_eligible AND last_seen >= {AS_OF_SQL} - INTERVAL 24 HOUR", lambda t: P.active_vessels(v(t), AS_OF))
+    _report("active_vessels", f"SELECT count(*) AS vessels FROM vessels WHERE is_dashboard_eligible AND last_seen >= {AS_OF_SQL} - INTERVAL 24 HOUR", lambda t: P.active_vessels(v(t), as_of()))
     _report("vessels_by_category", "SELECT ship_category, count(*) AS vessels FROM vessels WHERE is_dashboard_eligible GROUP BY 1", lambda t: P.vessels_by_category(v(t)))
     _report("vessels_by_status", "SELECT last_navigational_status_name, count(*) AS vessels FROM vessels WHERE is_dashboard_eligible GROUP BY 1", lambda t: P.vessels_by_status(v(t)))
     _report("last_positions", "SELECT DISTINCT mmsi, vessel_name, ship_category, last_latitude, last_longitude, epoch_us(date_trunc('minute', last_seen)) AS last_seen FROM vessels WHERE is_dashboard_eligible", lambda t: P.last_positions(v(t)))
@@ -421,3 +428,294 @@ def _reports() -> None:
 
 
 _reports()
+
+
+# ---------------------------------------------------------------- versioned snapshots
+
+
+def visit_history(t: Tables) -> DataFrame:
+    """Two publications of one run: all visits, then those of a changed set, at an earlier clock."""
+    empty = t.spark.createDataFrame([], schemas.VISITS)
+    first = visit_table(t).withColumns({"run_id": F.lit(B.RUN), "activity_date": F.lit("2024-01-01").cast("date")})
+    first = network.written(first, "visits")
+    keys = ["run_id", "visit_id"]
+    one = network.written(versioned.publish_snapshot(empty, first, B.RUN, keys, "updated_at", F.lit("2024-02-02").cast("timestamp")), "visit-history")
+    two = versioned.publish_snapshot(one, first.where("observation_count % 3 <> 0"), B.RUN, keys, "updated_at", F.lit("2024-02-01").cast("timestamp"))
+    return network.written(one.unionByName(two.select(*one.columns)), "visit-history")
+
+
+def runs(t: Tables) -> DataFrame:
+    """Registry rows: one for each order status, as runs of which the newest is the published one."""
+    o = t.read("orders").groupBy("o_orderstatus").agg(F.count("*").alias("source_rows"))
+    run = F.when(F.col("o_orderstatus") == "F", B.RUN).otherwise(F.concat(F.lit("2023-"), F.col("o_orderstatus")))
+    done = F.when(F.col("o_orderstatus") == "F", "2024-02-03").otherwise("2023-02-03").cast("timestamp")
+    start = F.when(F.col("o_orderstatus") == "F", B.WINDOW[0]).otherwise("2023-01-01 00:00:00").cast("timestamp")
+    return o.select(run.alias("run_id"), start.alias("window_start"), F.lit("h").alias("dataset_hash"), "source_rows", done.alias("completed_at"))
+
+
+_LIVE = f"SELECT run_id, CAST(activity_date AS VARCHAR) AS activity_date, visit_id, mmsi, port_id, epoch_us(arrival_at) AS arrival_at, observation_count, epoch_us(updated_at) AS updated_at"
+_LIVE_COLUMNS = ["run_id", "activity_date", "visit_id", "mmsi", "port_id", "arrival_at", "observation_count", "updated_at"]
+
+
+@query("publish_snapshot", f"{_LIVE}, is_deleted FROM visit_history")
+def publish_snapshot(t: Tables) -> DataFrame:
+    return visit_history(t).select(*_LIVE_COLUMNS, "is_deleted")
+
+
+@query("active_versions", f"{_LIVE} FROM live_visits")
+def active_versions(t: Tables) -> DataFrame:
+    return versioned.active(visit_history(t), ["run_id", "visit_id"], ["updated_at"]).select(*_LIVE_COLUMNS)
+
+
+@query("current_port_visits", f"{_LIVE} FROM live_visits")
+def current_port_visits(t: Tables) -> DataFrame:
+    return versioned.current_port_visits(visit_history(t), runs(t)).select(*_LIVE_COLUMNS)
+
+
+@query("backfill_activity_dates", f"SELECT run_id, visit_id, '2024-01-01' AS activity_date, epoch_us(updated_at) + 1 AS updated_at FROM live_visits")
+def backfill_activity_dates(t: Tables) -> DataFrame:
+    undated = visit_history(t).withColumn("activity_date", F.lit(None).cast("date"))
+    return versioned.backfill_activity_dates(undated, runs(t)).select("run_id", "visit_id", "activity_date", "updated_at")
+
+
+@query("membership_diff", "SELECT 'old' AS side, visit_id FROM visits WHERE observation_count % 3 = 0 UNION ALL SELECT 'new', visit_id FROM visits WHERE observation_count % 3 = 1")
+def membership_diff(t: Tables) -> DataFrame:
+    v = network.written(visit_table(t), "visits")
+    return versioned.membership_diff(v.where("observation_count % 3 <> 1"), v.where("observation_count % 3 <> 0"), ["visit_id"])
+
+
+@query("report_visits_of_run", f"SELECT visit_id, mmsi, port_id, epoch_us(arrival_at) AS arrival_at FROM live_visits")
+def report_visits_of_run(t: Tables) -> DataFrame:
+    from tidewake import reports as P
+
+    return P.visits_of_run(visit_history(t), B.RUN).select("visit_id", "mmsi", "port_id", "arrival_at")
+
+
+@query("report_run_list", f"SELECT CASE o_orderstatus WHEN 'F' THEN '{B.RUN}' ELSE '2023-' || o_orderstatus END AS run_id, count(*) AS source_rows FROM orders GROUP BY ALL", False)
+def report_run_list(t: Tables) -> DataFrame:
+    from tidewake import reports as P
+
+    return P.run_list(runs(t)).select("run_id", "source_rows")
+
+
+# ---------------------------------------------------------------- graph tables
+
+
+def metric_table(t: Tables) -> DataFrame:
+    """Metric rows of the trade network; communities by last letter, which SQL can follow."""
+    ranks = network.pagerank(network.project(t.network), B.DAMPING, B.ROUNDS)
+    members = ranks.select("node", F.substring("node", -1, 1).alias("community"))
+    start, end = (F.lit(w).cast("timestamp") for w in B.WINDOW)
+    m = network.metric_rows(ranks, members, B.RUN, start, end)
+    labels = network.community_labels(m, t.nation_ports).drop("port_count")
+    m = m.join(labels, ["run_id", "community_id"], "left").withColumns({"exported_at": F.lit("2024-02-04").cast("timestamp"), "is_deleted": F.lit(0)})
+    return network.written(m.select(*(c.split()[0] for c in schemas.METRICS.split(", "))), "metrics")
+
+
+def nation_visits(t: Tables) -> DataFrame:
+    n = t.read("nation").select(F.concat(F.lit("WPI:"), F.col("n_nationkey").cast("string")).alias("port_id"), "n_name")
+    return visit_history(t).join(n, "port_id").drop("port_id").withColumnRenamed("n_name", "port_id")
+
+
+def enriched_metrics(t: Tables) -> DataFrame:
+    from tidewake.sources.reference import stg_countries
+
+    return marts.port_graph_metrics_enriched(metric_table(t), t.nation_ports, marts.countries(stg_countries(t.countries_raw)), nation_visits(t))
+
+
+_RANK = f"{B.sql_round('page_rank', 9)} AS page_rank"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    from tidewake.functions.expressions import round_
+
+    return df.withColumn("page_rank", round_(F.col("page_rank"), 9))
+
+
+@query("countries", "SELECT country_code, iso3, numeric_code, country_name, region, capital_city FROM country_table")
+def countries(t: Tables) -> DataFrame:
+    from tidewake.sources.reference import stg_countries
+
+    return marts.countries(stg_countries(t.countries_raw))
+
+
+@query("metric_rows", f"SELECT run_id, port_id, {_RANK}, community_id, CAST(snapshot_date AS VARCHAR) AS snapshot_date FROM metric_table")
+def metric_rows(t: Tables) -> DataFrame:
+    return _rounded(metric_table(t).select("run_id", "port_id", "page_rank", "community_id", "snapshot_date"))
+
+
+@query("community_labels", "SELECT * FROM label_table")
+def community_labels(t: Tables) -> DataFrame:
+    return network.community_labels(metric_table(t), t.nation_ports)
+
+
+@query("community_stats", "SELECT count(*) AS communities, min(port_count) AS smallest, CAST(avg(port_count) AS DOUBLE) AS mean_size, max(port_count) AS largest FROM label_table")
+def community_stats(t: Tables) -> DataFrame:
+    e = network.project(t.network, undirected=True)
+    m = joins.endpoints(t.network).select(F.col("port_id").alias("node"), F.substring("port_id", -1, 1).alias("community"))
+    return network.community_stats(e, m).drop("modularity")
+
+
+@query("check_known_ports", "SELECT port_id FROM metric_table WHERE port_id NOT IN (SELECT port_id FROM nation_ports WHERE latitude < 20)")
+def check_known_ports(t: Tables) -> DataFrame:
+    return network.check_known_ports(metric_table(t), t.nation_ports.where("latitude < 20")).select("port_id")
+
+
+@query("port_graph_metrics_enriched", f"SELECT run_id, port_id, {_RANK}, community_id, port_name, country_code, country_name, iso3, numeric_code, latitude, longitude, community_name, community_label, unique_vessels, visit_count FROM enriched_metrics")
+def port_graph_metrics_enriched(t: Tables) -> DataFrame:
+    return _rounded(enriched_metrics(t)).select("run_id", "port_id", "page_rank", "community_id", "port_name", "country_code", "country_name", "iso3", "numeric_code", "latitude", "longitude", "community_name", "community_label", "unique_vessels", "visit_count")
+
+
+@query("port_graph_communities", "SELECT run_id, community_id, CAST(min(snapshot_date) AS VARCHAR) AS activity_date, max(community_name) AS community_name, max(community_label) AS community_label, count(DISTINCT port_id) AS port_count FROM enriched_metrics GROUP BY ALL")
+def port_graph_communities(t: Tables) -> DataFrame:
+    return marts.port_graph_communities(enriched_metrics(t))
+
+
+def _graph_reports() -> None:
+    from tidewake import checks
+    from tidewake import reports as P
+
+    m = enriched_metrics
+    ports = f"SELECT port_name, epoch_us(TIMESTAMP '{B.WINDOW[0]}') AS window_start, community_name, {B.sql_round('max(page_rank)', 9)} AS page_rank, CAST(sum(unique_vessels) AS BIGINT) AS unique_vessels, CAST(sum(visit_count) AS BIGINT) AS visit_count FROM enriched_metrics GROUP BY port_name, community_name"
+    _report("top_ports", f"{ports} ORDER BY max(enriched_metrics.page_rank) DESC, port_name LIMIT 10", lambda t: _rounded(P.top_ports(m(t))))
+    _report("bottom_ports", f"{ports} ORDER BY max(enriched_metrics.page_rank), port_name LIMIT 10", lambda t: _rounded(P.bottom_ports(m(t))))
+    _report("port_map", f"SELECT port_name, latitude, longitude, {B.sql_round('sum(page_rank)', 9)} AS page_rank, CAST(sum(unique_vessels) AS BIGINT) AS unique_vessels, CAST(sum(visit_count) AS BIGINT) AS visit_count, CAST(sum(community_id) AS BIGINT) AS community_id FROM enriched_metrics GROUP BY port_name, latitude, longitude", lambda t: _rounded(P.port_map(m(t))))
+    _report("community_traffic", "SELECT community_name, CAST(sum(unique_vessels) AS BIGINT) AS unique_vessels, CAST(sum(visit_count) AS BIGINT) AS visit_count FROM enriched_metrics GROUP BY 1", lambda t: P.community_traffic(m(t)))
+    _report("communities_list", "SELECT run_id, '2024-01-01' AS activity_date, community_id, community_name, community_label, port_count FROM label_table", lambda t: P.communities_list(marts.port_graph_communities(m(t))))
+    query("check_graph_activity_date", "SELECT run_id FROM metric_table GROUP BY run_id HAVING count(DISTINCT snapshot_date) <> 1")(lambda t: checks.graph_activity_date(m(t), marts.port_graph_communities(m(t))))
+    query("check_community_port_counts", "SELECT run_id FROM (SELECT run_id, port_count AS a, 0 AS b FROM label_table UNION ALL SELECT run_id, 0, 1 FROM metric_table) GROUP BY run_id HAVING sum(a) <> sum(b)")(lambda t: checks.community_port_counts(m(t), marts.port_graph_communities(m(t))))
+    query("check_memberships", "SELECT run_id, count(*) AS ports, 0 AS several, count(*) + 1 AS members FROM metric_table GROUP BY ALL")(lambda t: network.check_memberships(metric_table(t), network.community_labels(metric_table(t), t.nation_ports).withColumn("port_count", F.col("port_count") + F.when(F.col("community_id") == 0, 1).otherwise(0))))
+    query("check_visit_activity_dates", f"SELECT run_id, visit_id FROM live_visits WHERE port_id = 'WPI:1'")(lambda t: checks.visit_activity_dates(visit_history(t).withColumn("activity_date", F.when(F.col("port_id") != "WPI:1", F.col("activity_date"))), runs(t)))
+    query("check_current_visit_dates", "SELECT run_id, visit_id FROM live_visits WHERE activity_date IS NULL")(lambda t: checks.current_visit_dates(visit_history(t), runs(t)))
+    query("check_unique", "SELECT mmsi, epoch_us(msgtime) AS msgtime, count(*) AS copies FROM positions_raw GROUP BY mmsi, msgtime HAVING count(*) > 1")(lambda t: checks.unique(t.positions_raw, ["mmsi", "msgtime"]))
+    query("check_not_null", "SELECT 'name' AS column_name, count(*) AS rows FROM positions WHERE name IS NULL HAVING count(*) > 0 UNION ALL SELECT 'navigational_status', count(*) FROM positions WHERE navigational_status IS NULL HAVING count(*) > 0")(lambda t: checks.not_null(positions(t), ["mmsi", "msgtime", "name", "navigational_status"]))
+
+
+_graph_reports()
+
+
+# ---------------------------------------------------------------- enrichment
+
+
+def candidates(t: Tables) -> DataFrame:
+    """Candidates with a hash that SQL can compute as well."""
+    c = marts.enrichment_candidates(anomalies(t)).drop("input_hash")
+    text = F.concat_ws("|", F.col("mmsi").cast("string"), F.col("activity_date").cast("string"), "anomaly_reason")
+    return network.written(c.withColumn("input_hash", F.sha2(text, 256)), "candidates")
+
+
+def history(t: Tables, c: DataFrame) -> DataFrame:
+    k = F.explode(F.array(F.lit(1), F.lit(2)))
+    h = c.select("mmsi", "activity_date", "anomaly_reason", "anomaly_score", "input_hash", k.alias("k"))
+    return h.select(
+        "mmsi", "activity_date", F.lit("transit").alias("activity_class"), F.lit("consistent").alias("navigation_status_quality"), F.concat(F.lit("s"), "k").alias("summary"), F.lit("n").alias("notable_behavior"), F.lit(None).cast("string").alias("data_quality_note"),
+        F.when(F.col("anomaly_reason") == "stationary", "m2").otherwise("m1").alias("model"), F.lit("v1").alias("prompt_version"), F.when(F.col("anomaly_score") > 1.2, F.col("input_hash")).otherwise("stale").alias("input_hash"),
+        F.concat(F.lit("r"), "k").alias("response_id"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"), F.timestamp_seconds(F.unix_seconds(F.lit("2024-03-01").cast("timestamp")) + 3600 * F.col("k")).alias("created_at"),
+    )
+
+
+def enriched_days(t: Tables) -> DataFrame:
+    c = candidates(t)
+    return marts.vessel_daily_enriched(features(t), c, history(t, c), "m1", "v1")
+
+
+@query("enrichment_candidates", f"SELECT mmsi, {DAY}, anomaly_reason, anomaly_score, anomaly_rank, input_hash FROM candidates")
+def enrichment_candidates(t: Tables) -> DataFrame:
+    return candidates(t).select("mmsi", "activity_date", "anomaly_reason", "anomaly_score", "anomaly_rank", "input_hash")
+
+
+@query("pending_enrichment", f"SELECT mmsi, {DAY}, anomaly_rank FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM history h WHERE h.mmsi = c.mmsi AND h.activity_date = c.activity_date AND h.input_hash = c.input_hash AND model = 'm1') ORDER BY c.activity_date, anomaly_rank LIMIT 5")
+def pending_enrichment(t: Tables) -> DataFrame:
+    c = candidates(t)
+    return marts.pending_enrichment(c, history(t, c), None, "m1", "v1", 5).select("mmsi", "activity_date", "anomaly_rank")
+
+
+@query("newest_response", f"SELECT mmsi, {DAY}, summary, response_id FROM responses")
+def newest_response(t: Tables) -> DataFrame:
+    c = candidates(t)
+    mine = history(t, c).where("model = 'm1' AND prompt_version = 'v1'")
+    return marts.newest_response(joins.match_exact(mine, c.select("mmsi", "activity_date", "input_hash"), ["mmsi", "activity_date", "input_hash"])).select("mmsi", "activity_date", "summary", "response_id")
+
+
+@query("vessel_daily_enriched", f"SELECT f.mmsi, CAST(f.activity_date AS VARCHAR) AS activity_date, ais_points, summary AS ai_summary, response_id, CASE WHEN response_id IS NULL THEN 0 ELSE 1 END AS has_ai_enrichment FROM features f LEFT JOIN responses r USING (mmsi, activity_date)")
+def vessel_daily_enriched(t: Tables) -> DataFrame:
+    return enriched_days(t).select("mmsi", "activity_date", "ais_points", "ai_summary", "response_id", "has_ai_enrichment")
+
+
+def _enrichment_reports() -> None:
+    from tidewake import checks
+    from tidewake import reports as P
+
+    _report("enriched_anomalies", "SELECT count(DISTINCT mmsi) AS vessels FROM anomalies JOIN responses USING (mmsi, activity_date) WHERE prompt_version = 'v1'", lambda t: P.enriched_anomalies(anomalies(t), enriched_days(t), "v1"))
+    _report("insights", f"SELECT CAST(a.activity_date AS VARCHAR) AS activity_date, mmsi, vessel_name, CASE anomaly_reason WHEN 'speed_and_stationary' THEN 'Speed + Stationary' WHEN 'speed' THEN 'Speed' ELSE 'Stationary' END AS anomaly_type, anomaly_score, anomaly_rank, activity_class, summary AS ai_summary FROM anomalies a LEFT JOIN responses USING (mmsi, activity_date) ORDER BY anomaly_score DESC, a.activity_date, mmsi LIMIT 100", lambda t: P.insights(anomalies(t), enriched_days(t)))
+    query("check_valid_current_enrichment", "SELECT f.mmsi, CAST(f.activity_date AS VARCHAR) AS activity_date FROM features f JOIN responses r USING (mmsi, activity_date) JOIN candidates c USING (mmsi, activity_date) WHERE anomaly_rank > 100")(lambda t: checks.valid_current_enrichment(enriched_days(t), candidates(t), "m1", "v1"))
+
+
+_enrichment_reports()
+
+
+# ---------------------------------------------------------------- historical files and reference tables
+
+
+@query("curate_positions", "SELECT epoch_us(date_time_utc) AS date_time, mmsi, CAST(CAST(longitude AS DECIMAL(9,6)) AS DOUBLE) AS longitude, CAST(CAST(latitude AS DECIMAL(8,6)) AS DOUBLE) AS latitude, status AS navigational_status, CASE WHEN course_over_ground < 360 THEN CAST(course_over_ground AS DOUBLE) END AS course_over_ground, CASE WHEN true_heading = 511 THEN -1 ELSE true_heading END AS true_heading, CASE WHEN speed_over_ground <> 102.30 THEN CAST(speed_over_ground AS DOUBLE) END AS speed_over_ground, CASE WHEN rate_of_turn = -128 THEN -999 ELSE rate_of_turn END AS rate_of_turn FROM historical")
+def curate_positions(t: Tables) -> DataFrame:
+    from tidewake.sources.files import curate_positions as run
+
+    c = run(t.historical).fillna(-1, ["true_heading"]).fillna(-999, ["rate_of_turn"])
+    return c.select("date_time", "mmsi", "longitude", "latitude", "navigational_status", "course_over_ground", "true_heading", "speed_over_ground", "rate_of_turn")
+
+
+@query("curated_summary", """
+    SELECT 'raw_rows' AS measure, count(*) AS value FROM historical UNION ALL SELECT 'curated_rows', count(*) FROM historical UNION ALL SELECT 'curated_required_null_rows', 0
+    UNION ALL SELECT 'curated_course_over_ground_nulls', count(*) FROM historical WHERE course_over_ground >= 360 UNION ALL SELECT 'curated_true_heading_nulls', count(*) FROM historical WHERE true_heading = 511
+    UNION ALL SELECT 'curated_speed_over_ground_nulls', count(*) FROM historical WHERE speed_over_ground = 102.30 UNION ALL SELECT 'curated_rate_of_turn_nulls', count(*) FROM historical WHERE rate_of_turn = -128
+    UNION ALL SELECT 'curated_course_sentinels', 0 UNION ALL SELECT 'curated_heading_sentinels', 0 UNION ALL SELECT 'curated_speed_sentinels', 0 UNION ALL SELECT 'curated_turn_sentinels', 0""")
+def curated_summary(t: Tables) -> DataFrame:
+    from tidewake.sources.files import curate_positions as curate
+    from tidewake.sources.files import curated_summary as run
+
+    return run(t.historical, curate(t.historical))
+
+
+@query("check_curated_load", "SELECT 'x' AS measure, 0 AS value FROM historical WHERE false")
+def check_curated_load(t: Tables) -> DataFrame:
+    from tidewake import checks
+
+    return checks.curated_load(curated_summary(t))
+
+
+@query("daily_summary", f"SELECT CAST(CAST(date_time_utc AS DATE) AS VARCHAR) AS day, count(*) AS positions, count(DISTINCT mmsi) AS vessels, round(avg(CASE WHEN speed_over_ground <> 102.30 THEN CAST(speed_over_ground AS DOUBLE) END), 2) AS avg_speed FROM historical GROUP BY 1")
+def daily_summary(t: Tables) -> DataFrame:
+    from tidewake.sources.files import curate_positions as curate
+    from tidewake.sources.files import daily_summary as run
+
+    return run(curate(t.historical))
+
+
+@query("widen_small_ints", "SELECT CAST(n_nationkey AS INT) AS a, CAST(n_regionkey AS INT) AS b, n_name FROM nation", False)
+def widen_small_ints(t: Tables) -> DataFrame:
+    from tidewake.sources.files import widen_small_ints as run
+
+    return run(t.read("nation").select(F.col("n_nationkey").cast("short").alias("a"), F.col("n_regionkey").cast("byte").alias("b"), "n_name"))
+
+
+@query("ports_from_index", "SELECT 'WPI:' || s_suppkey AS port_id, trim(s_name) AS name, r_name AS country, CAST(s_acctbal / 200 AS DOUBLE) AS latitude, CAST(s_suppkey % 180 AS DOUBLE) AS longitude, 1500e0 AS radius_m FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND CAST(s_acctbal / 200 AS DOUBLE) BETWEEN 0 AND 45 AND s_suppkey % 180 BETWEEN 0 AND 169", False)
+def ports_from_index(t: Tables) -> DataFrame:
+    from tidewake.sources.reference import ports_from_index as run
+
+    s, n, r = t.read("supplier"), t.read("nation"), t.read("region")
+    j = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
+    i = j.select(F.col("s_suppkey").alias("number"), F.col("s_name").alias("name"), F.col("r_name").alias("country"), (F.col("s_acctbal") / 200).cast("double").alias("latitude"), (F.col("s_suppkey") % 180).cast("double").alias("longitude"))
+    return run(i, "ASIA", (0.0, 0.0, 45.0, 169.0))
+
+
+@query("upsert_ports", "SELECT port_id, name, CASE WHEN latitude < 12 THEN epoch_us(TIMESTAMP '2023-05-01') ELSE epoch_us(TIMESTAMP '2024-05-01') END AS created_at, epoch_us(TIMESTAMP '2024-05-01') AS updated_at FROM nation_ports")
+def upsert_ports(t: Tables) -> DataFrame:
+    from tidewake.sources.reference import upsert_ports as run
+
+    def at(day: str):
+        return F.lit(day).cast("timestamp")
+
+    old = t.nation_ports.where("latitude < 12").withColumns({"created_at": at("2023-05-01"), "updated_at": at("2023-05-01")})
+    again = old.withColumns({"created_at": at("2023-06-01"), "updated_at": at("2023-06-01")})
+    return run(old.unionByName(again), t.nation_ports, at("2024-05-01")).select("port_id", "name", "created_at", "updated_at")

@@ -169,9 +169,14 @@ def gaps_recovered(gaps: DataFrame, as_of: Column, hours: int = 1) -> DataFrame:
     return _recovered(gaps, as_of, hours).agg(F.count("*").alias("gaps_recovered"))
 
 
+def _newest_known(column: str) -> Column:
+    """The newest value that is not null."""
+    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("gap_ended_at"))).alias(column)
+
+
 def most_recovered(gaps: DataFrame, as_of: Column, hours: int = 24, n: int = 10) -> DataFrame:
     g = _recovered(gaps, as_of, hours).where("gap_duration_seconds IS NOT NULL").groupBy("mmsi").agg(
-        F.max_by("name", "gap_ended_at").alias("name"), F.max_by("ship_category", "gap_ended_at").alias("ship_category"), F.count("*").alias("recovered_gaps"),
+        _newest_known("name"), _newest_known("ship_category"), F.count("*").alias("recovered_gaps"),
         round_(F.avg("gap_duration_seconds") / 60, 1).alias("avg_gap_minutes"), round_(F.max("gap_duration_seconds") / 60, 1).alias("max_gap_minutes"),
     )
     return g.orderBy(F.desc("recovered_gaps"), F.desc("max_gap_minutes"), "mmsi").limit(n)
