@@ -101,7 +101,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     u = u.where(_holds_mark(F.col("t"), words))
     u = u.select("doc_id", "unit", "position", F.array_remove(F.split(F.regexp_replace("t", "[^a-z0-9]+", " "), " "), "").alias("w"))
     most = max([size_bounds(len(bigrams(t)), threshold)[1] for _, t in templates], default=0)
-    pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1)))
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), rest), F.slice("w", F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
     u = u.where("size(w) > 0").select("doc_id", "unit", "position", F.array_distinct(F.when(F.size("w") == 1, F.col("w")).otherwise(pairs)).alias("grams"))
     u = u.withColumn("n", F.size("grams")).where(F.col("n") <= most)
     rows = []
