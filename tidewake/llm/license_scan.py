@@ -10,6 +10,7 @@ the rest of a template's bigrams cannot all be missing from a match.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +51,12 @@ def bigrams(text: str) -> list[str]:
 
 def size_bounds(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """Smallest and largest number of bigrams with which a Dice of ``threshold`` to ``n`` bigrams is possible."""
-    return max(1, int(-(-n * threshold // (2 - threshold)))), int(n * (2 - threshold) / threshold + 1e-9)
+    return _least_shared(n, threshold), int(n * (2 - threshold) / threshold + 1e-9)
+
+
+def _least_shared(n: int, threshold: float) -> int:
+    """Bigrams that a match shares at least with a template of ``n``: it may have no others (rounding errors set aside)."""
+    return max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9))
 
 
 def marks(templates: tuple[tuple[str, str], ...], threshold: float = THRESHOLD) -> list[str]:
@@ -58,7 +64,7 @@ def marks(templates: tuple[tuple[str, str], ...], threshold: float = THRESHOLD)
     chosen: set[str] = set()
     for _, text in templates:
         grams = bigrams(text)
-        need = len(grams) - int(-(-len(grams) * threshold // (2 - threshold))) + 1
+        need = len(grams) - _least_shared(len(grams), threshold) + 1
 
         def covered(grams: list[str] = grams) -> int:
             return sum(any(w in chosen for w in g.split()) for g in grams)
