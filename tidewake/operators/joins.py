@@ -82,9 +82,10 @@ def ports_within_radius(points: DataFrame, ports: DataFrame, cell: float = 0.1)
     """
     lat, lon, radius = F.col("latitude"), F.col("longitude"), F.col("radius_m")
     per_row, n_cols = 100_000.0 * cell, round(360 / cell)
-    widest = F.least(F.lit(89.9), F.abs(lat) + radius / 100_000.0)
+    widest = F.abs(lat) + radius / 100_000.0
     rows = F.ceil(radius / per_row).cast("int")
-    cols = F.least(F.lit(n_cols // 2), F.ceil(radius / (per_row * F.greatest(F.cos(F.radians(widest)), F.lit(1e-4)))).cast("int"))
+    near = F.ceil(radius / (per_row * F.greatest(F.cos(F.radians(widest)), F.lit(1e-4)))).cast("int")
+    cols = F.when(widest >= 89.9, n_cols // 2).otherwise(F.least(F.lit(n_cols // 2), near))
     row, col = F.floor(lat / cell).cast("int"), F.floor(lon / cell).cast("int")
     p = ports.select(F.col("port_id"), lat.alias("port_latitude"), lon.alias("port_longitude"), radius, row.alias("row0"), col.alias("col0"), rows.alias("rows"), cols.alias("cols"))
     p = p.withColumn("cell_row", F.explode(F.expr("sequence(row0 - rows, row0 + rows)"))).withColumn("cell_col", F.explode(F.expr("sequence(col0 - cols, col0 + cols)")))
