@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, plain_fingerprint, word_distance
+from tests.llm.test_operators import word_distance
 from tidewake.llm import decontamination, mixing, quality_classifier
 from tidewake.llm.common import cut, table
 
 
+def similarities(texts):
+    """Jaccard similarity of the 5-word shingles of every pair of texts, if it is over 0.5."""
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+
+    s = {i: shingles(t) for i, t in texts.items()}
+    out = {}
+    for a in s:
+        for b in s:
+            if a < b and (j := len(s[a] & s[b]) / len(s[a] | s[b])) > 0.5:
+                out[a, b] = j
+    return out
+
+
 def ids(df):
     return Counter(r["doc_id"] for r in df.select("doc_id").collect())
 
@@ -23,9 +39,15 @@ def test_stages(spark, small):
     assert kept.columns == d.columns and ids(kept) == ids(good) and 0 < kept.count() < d.count()
 
     one = cut(near(spark, kept, small), "test-near")
-    rows = kept.collect()
-    names = brute_components([r["doc_id"] for r in rows], [plain_fingerprint(r["text"]) for r in rows])
-    assert one.columns == d.columns and ids(one) == Counter(set(names))
+    rows = {r["doc_id"]: r["text"] for r in kept.collect()}
+    left = ids(one)
+    assert one.columns == d.columns and set(left.values()) == {1}
+    similar = similarities(rows)
+    for (a, b), j in similar.items():
+        if j >= 0.85:
+            assert not (a in left and b in left)
+    gone = set(rows) - set(left)
+    assert gone and all(any(j >= 0.65 and i in pair for pair, j in similar.items()) for i in gone)
 
     clean = cut(leaks(spark, one, small), "test-leaks")
     items = [decontamination.words_of(r["text"]) for r in table(spark, small, "benchmark").collect()]
@@ -53,3 +75,25 @@ def test_stages_of_repeated_and_empty_rows(spark, small):
     nothing = d.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, small).count() == 0
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(6)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8))) for _ in range(n))
+
+    passage, texts = prose(60), {}
+    for k in range(30):
+        texts[100 * k] = prose(rng.randint(40, 400)) + (f" {passage}" if k % 3 == 0 else "")
+        for c in range(1, 1 + k % 4):
+            w = texts[100 * k].split()
+            for at in rng.sample(range(len(w)), max(1, len(w) // 60)):
+                w[at] = "changed"
+            texts[100 * k + c] = " ".join(w)
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    left = ids(corpus_pipeline.STAGES[1][1](spark, d, ""))
+    assert set(left) >= {100 * k for k in range(30)}
+    similar = similarities(texts)
+    assert not [(p, j) for p, j in similar.items() if j >= 0.85 and p[0] in left and p[1] in left]
+    assert all(any(j >= 0.65 and i in p for p, j in similar.items()) for i in set(texts) - set(left))
