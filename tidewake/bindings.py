@@ -27,6 +27,21 @@ SIZES, SLIDE = (5, 15, 30, 60), 5
 GAP_TIMEOUT = 600
 
 
+def positions_of(events: DataFrame) -> DataFrame:
+    """Positions of the event table, batch or stream: users are folded into three vessels, which move between five places."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    ts, seconds = F.col("ts").cast("timestamp"), F.unix_seconds(F.col("ts").cast("timestamp"))
+    status = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 5).when(F.col("event_type") == "signup", 8)
+    place = F.pmod(F.floor(seconds / 7200) + F.col("user_id") % 3, F.lit(5)).cast("double")
+    return events.select(
+        (F.lit(257000000) + F.col("user_id") % 3).cast("long").alias("mmsi"), ts.alias("msgtime"), F.col("event_id").alias("seq"),
+        (60.0 + 0.1 * place + F.when(F.col("event_id") % 10 == 0, 0.05).otherwise(0.0)).alias("latitude"), F.lit(5.0).alias("longitude"),
+        F.col("value").alias("speed_over_ground"), ((F.col("event_id") * 7) % 360).cast("double").alias("course_over_ground"), (F.col("event_id") % 512).cast("int").alias("true_heading"),
+        status.cast("int").alias("navigational_status"), (30 + k % 60).cast("int").alias("ship_type"), F.when(k % 10 != 0, F.concat(F.lit("VESSEL "), (F.col("user_id") % 3).cast("string"))).alias("name"),
+        F.col("event_type").alias("stream"), ts.alias("ingested_at"),
+    )
+
+
 class Tables:
     """Lazily defined tables of one data folder."""
 
@@ -36,29 +51,23 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files."""
+        return self.spark.readStream.schema(self.read(name).schema).parquet(f"{self.dir}/{name}.parque[t]")
+
     @cached_property
     def positions_raw(self) -> DataFrame:
         """Positions with later versions of every 17th event (an hour later in ingestion, one knot faster)."""
-        k = F.get_json_object("props", "$.k").cast("int")
-        ts, seconds = F.col("ts").cast("timestamp"), F.unix_seconds(F.col("ts").cast("timestamp"))
-        status = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 5).when(F.col("event_type") == "signup", 8)
-        place = F.pmod(F.floor(seconds / 7200) + F.col("user_id") % 3, F.lit(5)).cast("double")
-        p = self.read("events").select(
-            (F.lit(257000000) + F.col("user_id") % 3).cast("long").alias("mmsi"), ts.alias("msgtime"), F.col("event_id").alias("seq"),
-            (60.0 + 0.1 * place + F.when(F.col("event_id") % 10 == 0, 0.05).otherwise(0.0)).alias("latitude"), F.lit(5.0).alias("longitude"),
-            F.col("value").alias("speed_over_ground"), ((F.col("event_id") * 7) % 360).cast("double").alias("course_over_ground"), (F.col("event_id") % 512).cast("int").alias("true_heading"),
-            status.cast("int").alias("navigational_status"), (30 + k % 60).cast("int").alias("ship_type"), F.when(k % 10 != 0, F.concat(F.lit("VESSEL "), (F.col("user_id") % 3).cast("string"))).alias("name"),
-            F.col("event_type").alias("stream"), ts.alias("ingested_at"),
-        )
+        p = positions_of(self.read("events"))
         again = p.where("seq % 17 = 0").withColumns({"ingested_at": F.col("ingested_at") + F.expr("INTERVAL 1 HOUR"), "speed_over_ground": F.col("speed_over_ground") + 1})
         return p.unionByName(again)
 
     @cached_property
     def ports(self) -> DataFrame:
-        s, n = self.read("supplier").where("s_suppkey < 5"), self.read("nation")
+        s, n = self.read("supplier"), self.read("nation")
         return s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).select(
             F.concat(F.lit("WPI:"), F.col("s_suppkey").cast("string")).alias("port_id"), F.col("s_name").alias("name"), F.col("n_name").alias("country"),
-            (60.0 + 0.1 * F.col("s_suppkey")).alias("latitude"), F.lit(5.0).alias("longitude"), F.lit(1500.0).alias("radius_m"),
+            (60.0 + 0.1 * (F.col("s_suppkey") % 250)).alias("latitude"), F.lit(5.0).alias("longitude"), F.lit(1500.0).alias("radius_m"),
         )
 
     @cached_property
@@ -136,7 +145,7 @@ CTES: dict[str, str] = {
           CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 <> 0 THEN 'VESSEL ' || (user_id % 3) END AS name,
           event_type AS stream, ts + INTERVAL 1 HOUR AS ingested_at FROM events WHERE event_id % 17 = 0""",
     "positions": "SELECT * FROM positions_raw QUALIFY row_number() OVER (PARTITION BY mmsi, msgtime ORDER BY ingested_at DESC, stream DESC) = 1",
-    "ports": "SELECT 'WPI:' || s_suppkey AS port_id, s_name AS name, n_name AS country, 6e1 + 1e-1 * s_suppkey AS latitude, 5e0 AS longitude, 1500e0 AS radius_m FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 5",
+    "ports": "SELECT 'WPI:' || s_suppkey AS port_id, s_name AS name, n_name AS country, 6e1 + 1e-1 * (s_suppkey % 250) AS latitude, 5e0 AS longitude, 1500e0 AS radius_m FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "ship_types": f"SELECT * FROM (SELECT i AS ship_type, 'Type ' || i AS ship_type_name, CASE i // 10 {_CATEGORY} END AS ship_category FROM range(30, 90) t(i)) WHERE ship_category IS NOT NULL",
     "status_names": f"SELECT * FROM (VALUES {_STATUS}) t(navigational_status, navigational_status_name)",
     "network": """

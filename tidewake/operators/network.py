@@ -10,18 +10,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: iterations keep short plans and survive lost executors."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; a local one only where the cluster names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tidewake/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tidewake/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: iterations keep short plans and survive lost executors."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def consecutive_visits(visits: DataFrame) -> DataFrame:

@@ -387,6 +387,37 @@ def upsert_vessel_state(t: Tables) -> DataFrame:
     return run(old, p.where(F.col("msgtime") >= half))
 
 
+def _run_stream(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream writes until it has read everything there is, from the shared folder."""
+    from tidewake.streaming.windows import start_query
+
+    folder = network.shared_folder(t.spark, name)
+    start_query(stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("stream_window_features", f"""
+    SELECT mmsi, {B.SLIDE * 3} AS window_minutes, epoch_us(make_timestamp(w * {B.SLIDE * 60_000_000})) AS window_start, count(*) AS position_count, {B.sql_round('avg(value)', 6)} AS avg_speed, max(value) AS max_speed
+    FROM (SELECT 257000000 + user_id % 3 AS mmsi, value, unnest(range(epoch_us(ts) // {B.SLIDE * 60_000_000} - 2, epoch_us(ts) // {B.SLIDE * 60_000_000} + 1)) AS w FROM events)
+    WHERE w * {B.SLIDE * 60_000_000} + {B.SLIDE * 3 * 60_000_000} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 30000000 FROM events) GROUP BY mmsi, w""", False)
+def stream_window_features(t: Tables) -> DataFrame:
+    """Windows that the watermark has closed when the stream has read all events."""
+    from tidewake.functions.expressions import round_
+    from tidewake.streaming import windows as W
+
+    p = B.positions_of(t.stream("events"))
+    e = p.select("mmsi", F.col("msgtime").alias("event_time"), "name", F.col("speed_over_ground").alias("speed"), "ship_type", F.col("navigational_status").alias("navigation_status"))
+    out = _run_stream(t, W.window_features(e, (3 * B.SLIDE,), B.SLIDE, watermark="30 seconds"), "stream-windows")
+    return out.select("mmsi", "window_minutes", "window_start", "position_count", round_(F.col("avg_speed"), 6).alias("avg_speed"), "max_speed")
+
+
+@query("stream_uppercase", "SELECT 257000000 + user_id % 3 AS mmsi, epoch_us(ts) AS msgtime, upper(event_type) AS stream FROM events", False)
+def stream_uppercase(t: Tables) -> DataFrame:
+    from tidewake.sources.positions import uppercase_stream as run
+
+    return _run_stream(t, run(B.positions_of(t.stream("events"))), "stream-uppercase").select("mmsi", "msgtime", "stream")
+
+
 def _report(name: str, sql: str, f: Callable[[Tables], DataFrame]) -> None:
     query(f"report_{name}", sql)(f)
 
