@@ -196,3 +196,10 @@ def check_memberships(metrics: DataFrame, communities: DataFrame) -> DataFrame:
 def check_known_ports(rows: DataFrame, ports: DataFrame) -> DataFrame:
     """Exported rows whose port is not known."""
     return rows.join(ports.select("port_id"), "port_id", "left_anti")
+
+
+def edge_fingerprint(edges: DataFrame) -> DataFrame:
+    """One row that tells states of an edge list apart: numbers of edges and movements and an order-independent hash."""
+    line = F.concat_ws("|", "from_port_id", "to_port_id", F.col("movement_count").cast("string"))
+    part = F.conv(F.substring(F.sha2(line, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return edges.agg(F.count("*").alias("edges"), F.coalesce(F.sum("movement_count"), F.lit(0)).alias("movements"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("fingerprint"))

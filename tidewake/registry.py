@@ -750,3 +750,83 @@ def upsert_ports(t: Tables) -> DataFrame:
     old = t.nation_ports.where("latitude < 12").withColumns({"created_at": at("2023-05-01"), "updated_at": at("2023-05-01")})
     again = old.withColumns({"created_at": at("2023-06-01"), "updated_at": at("2023-06-01")})
     return run(old.unionByName(again), t.nation_ports, at("2024-05-01")).select("port_id", "name", "created_at", "updated_at")
+
+
+# ---------------------------------------------------------------- joins and aggregates by themselves
+
+
+@query("lookup", "SELECT seq, p.ship_type, coalesce(ship_type_name, 'Unknown') AS ship_type_name, coalesce(ship_category, 'Unknown') AS ship_category FROM positions p LEFT JOIN ship_types USING (ship_type)")
+def lookup(t: Tables) -> DataFrame:
+    p = positions(t).select("seq", "ship_type")
+    return joins.lookup(p, t.ship_types, {"ship_type": "ship_type"}, {"ship_type_name": "ship_type_name", "ship_category": "ship_category"})
+
+
+@query("label_stream", "SELECT seq, p.ship_type, ship_type_name FROM positions p LEFT JOIN ship_types USING (ship_type)")
+def label_stream(t: Tables) -> DataFrame:
+    return joins.label_stream(positions(t).select("seq", "ship_type"), t.ship_types, {"ship_type": "ship_type"}, {"ship_type_name": "ship_type_name"})
+
+
+@query("eligible_only", f"SELECT d.mmsi, CAST(d.activity_date AS VARCHAR) AS activity_date, ais_points, vessel_name FROM daily d JOIN vessels v ON d.mmsi = v.mmsi AND is_ai_enrichment_eligible")
+def eligible_only(t: Tables) -> DataFrame:
+    d = daily.daily_aggregates(points(t), stationary=B.SLOW_KN).select("mmsi", "activity_date", "ais_points")
+    return joins.eligible_only(d, vessel_table(t)).select("mmsi", "activity_date", "ais_points", "vessel_name")
+
+
+@query("match_exact", "SELECT o_custkey AS custkey, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", False)
+def match_exact(t: Tables) -> DataFrame:
+    o, c = t.read("orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey"), t.read("customer").select(F.col("c_custkey").alias("custkey"), "c_name")
+    return joins.match_exact(o, c, ["custkey"])
+
+
+@query("left_marked", "SELECT c_custkey AS custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) THEN 1 ELSE 0 END AS has_big_order FROM customer", False)
+def left_marked(t: Tables) -> DataFrame:
+    c = t.read("customer").select(F.col("c_custkey").alias("custkey"))
+    return joins.left_marked(c, t.read("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("custkey")).distinct(), ["custkey"], "has_big_order")
+
+
+@query("missing_from", "SELECT c_custkey AS custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)", False)
+def missing_from(t: Tables) -> DataFrame:
+    c = t.read("customer").select(F.col("c_custkey").alias("custkey"), "c_name")
+    return joins.missing_from(c, t.read("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("custkey")), ["custkey"])
+
+
+@query("at_latest", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)", False)
+def at_latest(t: Tables) -> DataFrame:
+    return joins.at_latest(t.read("orders"), "o_orderdate").select("o_orderkey", "o_custkey")
+
+
+@query("distinct_per", "SELECT port_id, count(DISTINCT mmsi) AS distinct_mmsi FROM visits GROUP BY port_id")
+def distinct_per(t: Tables) -> DataFrame:
+    return joins.distinct_per(visit_table(t), ["port_id"], "mmsi")
+
+
+@query("having", "SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS purchases FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') > 0.25 * count(*)", False)
+def having(t: Tables) -> DataFrame:
+    aggs = [F.count("*").alias("events"), F.count_if(F.col("event_type") == "purchase").alias("purchases")]
+    return joins.having(t.read("events"), ["user_id"], aggs, "purchases > 0.25 * events")
+
+
+@query("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", False)
+def top_n(t: Tables) -> DataFrame:
+    return joins.top_n(t.read("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 10)
+
+
+@query("haversine", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(6371008.8e0 * 2 * asin(sqrt(least(1e0, greatest(0e0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))), 2) AS metres FROM (SELECT *, CAST(n_nationkey * 7 - 80 AS DOUBLE) AS lat, CAST(n_nationkey * 14 - 170 AS DOUBLE) AS lon FROM nation) a JOIN (SELECT *, CAST(n_nationkey * 7 - 80 AS DOUBLE) AS lat, CAST(n_nationkey * 14 - 170 AS DOUBLE) AS lon FROM nation) b ON a.n_regionkey = b.n_regionkey", False)
+def haversine(t: Tables) -> DataFrame:
+    from tidewake.functions.expressions import haversine_m
+
+    n = t.read("nation").select("n_regionkey", F.col("n_nationkey").alias("a"), (F.col("n_nationkey") * 7 - 80).cast("double").alias("lat1"), (F.col("n_nationkey") * 14 - 170).cast("double").alias("lon1"))
+    m = n.toDF("n_regionkey", "b", "lat2", "lon2")
+    return n.join(m, "n_regionkey").select("a", "b", F.round(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 2).alias("metres"))
+
+
+@query("edge_fingerprint", "SELECT count(*) AS edges, CAST(sum(movement_count) AS BIGINT) AS movements, CAST(sum(CAST('0x' || substr(sha256(from_port_id || '|' || to_port_id || '|' || movement_count), 1, 12) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM network")
+def edge_fingerprint(t: Tables) -> DataFrame:
+    return network.edge_fingerprint(t.network)
+
+
+@query("report_newest_gaps", "SELECT event_type, mmsi, epoch_us(coalesce(gap_ended_at, gap_detected_at)) AS event_time FROM gap_labels ORDER BY 3 DESC, mmsi, event_type LIMIT 20")
+def report_newest_gaps(t: Tables) -> DataFrame:
+    from tidewake import reports as P
+
+    return P.newest_gaps(gap_table(t)).select("event_type", "mmsi", "event_time")

@@ -227,3 +227,9 @@ def visits_of_run(visits: DataFrame, run: str) -> DataFrame:
 
 def run_list(runs: DataFrame) -> DataFrame:
     return latest_by_key(runs, ["run_id"], ["completed_at"]).orderBy(F.desc("window_start"), "run_id")
+
+
+def newest_gaps(gaps: DataFrame, n: int = 20) -> DataFrame:
+    """The gap events of the newest times, detections and ends alike."""
+    g = gaps.withColumn("event_time", F.coalesce("gap_ended_at", "gap_detected_at"))
+    return g.orderBy(F.desc("event_time"), "mmsi", "event_type").limit(n)
