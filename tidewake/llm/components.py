@@ -13,10 +13,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Loops, nulls and repeated edges have no effect. Each round sends every
     node's larger neighbours to its smallest one and links smaller neighbours
-    likewise. Minima are combined before they are shuffled and meet the edges
-    in plain equality joins, which adaptive execution can split, so a hub of
-    any degree is no single task's work. A round is written to the shared
-    folder, which keeps the plan short and survives lost executors.
+    likewise. Minima are combined before they are shuffled, and are written
+    before they meet the edges: only a join of two plain exchanges can be split
+    by adaptive execution, and so a hub of any degree is no single task's work.
+    A round is written to the shared folder, which keeps the plan short and
+    survives lost executors.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, last = cut(e, "edges"), None
@@ -25,7 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == last or not seen["n"]:
             break
         last = seen
-        e = cut(_small_star(_large_star(e)), "edges")
+        e = cut(_small_star(cut(_large_star(e), "edges")), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -33,12 +34,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
     larger = e.select(F.col("v").alias("x"), F.col("u").alias("y"))
     return larger.join(least, "x").where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
