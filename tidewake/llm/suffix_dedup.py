@@ -30,7 +30,7 @@ from tidewake.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 400
 ANCHOR = 128
-CAP = 256
+CAP = 96
 RANGE = 16
 #: Bytes that are hashed, and that are sorted, at a time.
 SLAB = 1 << 18
