@@ -47,7 +47,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shuffled, as counts are combined first. Without any trusted word all
     ratios are 0.
     """
-    known = docs.join(F.broadcast(target_ids(labels)), F.col("doc_id") == F.col("trusted_id"), "left")
+    known = docs.select("doc_id", "text").join(F.broadcast(target_ids(labels)), F.col("doc_id") == F.col("trusted_id"), "left")
     hashes = known.select(F.col("trusted_id").isNotNull().cast("long").alias("trusted"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     listed = hashes.select("trusted", F.explode(grams(F.col("h"))).alias("bucket"))
     counts = cut(listed.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "rule-counts")
