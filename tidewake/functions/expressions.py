@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6371008.8
 MAX_VALID_SPEED_KN = 102.2
 MAX_MMSI = 999_999_999
+HALF = 0.500000001
 
 
 def round_(x: Column, digits: int) -> Column:
-    """Half away from zero. All marts round through this one function."""
+    """Half away from zero. All marts round through this one function.
+
+    A mean that lies on a half may come out a last bit below it, depending on
+    the order of addition; ``HALF`` is wide enough for both to round alike.
+    """
     scale = float(10**digits)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    return F.signum(x) * F.floor(F.abs(x) * scale + HALF) / scale
 
 
 def sql_round(x: str, digits: int) -> str:
     """The same in SQL text."""
     scale = f"{10**digits}.0"
-    return f"(sign({x}) * floor(abs({x}) * CAST({scale} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({scale} AS DOUBLE))"
+    return f"(sign({x}) * floor(abs({x}) * CAST({scale} AS DOUBLE) + CAST({HALF} AS DOUBLE)) / CAST({scale} AS DOUBLE))"
 
 
 def blank_to_null(x: Column) -> Column:
