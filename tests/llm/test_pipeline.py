@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_operators import word_distance
-from tidewake.llm import decontamination, mixing, quality_classifier
+from tidewake.llm import decontamination, mixing, quality_classifier, simhash
 from tidewake.llm.common import cut, table
 
 
@@ -97,3 +99,23 @@ def test_near_copies_go_and_others_stay(spark):
     similar = similarities(texts)
     assert not [(p, j) for p, j in similar.items() if j >= 0.85 and p[0] in left and p[1] in left]
     assert all(any(j >= 0.65 and i in p for p, j in similar.items()) for i in set(texts) - set(left))
+
+
+@pytest.mark.parametrize("part", [simhash.PART, 3])
+def test_near_copies_are_settled_by_exact_similarity(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng, texts = random.Random(9), {}
+
+    def prose(n):
+        return ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+
+    for k in range(40):
+        # one word changed takes 5 of n - 4 shingles away: 40 / 50 of 49 words, 39 / 49 of 48 words
+        for first, n in ((100, 49), (1000, 48)):
+            w = prose(n)
+            texts[first + 2 * k], texts[first + 2 * k + 1] = " ".join(w), " ".join([*w[:20], "changed", *w[21:]])
+    w = prose(49)
+    texts |= {2000 + k: " ".join([*w[: 6 * k], *(["changed"] * (k > 0)), *w[6 * k + (k > 0) :]]) for k in range(8)}
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    left = set(ids(corpus_pipeline.STAGES[1][1](spark, d, "")))
+    assert left == {100 + 2 * k for k in range(40)} | {1000 + k for k in range(80)} | {2000}

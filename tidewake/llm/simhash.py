@@ -176,24 +176,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- near copies by similarity
 
-#: Shingle similarity of near copies, and what is asked of the sketches, whose error is about 0.035.
-SIMILARITY, SKETCH_SIMILARITY = 0.8, 0.75
+#: Shingle similarity of near copies, and what is asked of the sketches, whose error is about 0.035, of pairs to be compared exactly.
+SIMILARITY, SKETCH_SIMILARITY = 0.8, 0.65
 #: Bits in which fingerprints of near copies differ at most: 9.7 on average at that similarity, with a deviation of 3.
 WIDE_RADIUS = 16
 WIDE_SHINGLE, HASHES, BANDS = 5, 128, 10
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(text: str | None) -> tuple[int, np.ndarray]:
-    """64-bit SimHash over 5-word shingles, and the least of each of 128 hashes of the shingles (all ones without words)."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the 5-word shingles of a whole text, in its order; none without words."""
     from xxhash import xxh64_intdigest
 
     w = (text or "").encode().lower().split()
     if not w:
-        return 0, np.full(HASHES, ~np.uint64(0))
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[k:] for k in range(WIDE_SHINGLE)), strict=False)) if len(w) >= WIDE_SHINGLE else [b" ".join(w)]
-    n = max(1, len(w) - WIDE_SHINGLE + 1)
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(w) - WIDE_SHINGLE + 1))
+
+
+def sketch(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """64-bit SimHash of shingle hashes, and the least of each of 128 hashes of them (all ones without words)."""
+    n = len(h)
+    if not n:
+        return 0, np.full(HASHES, ~np.uint64(0))
     bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     print_ = int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n, bitorder="little").view(np.uint64)[0])
     least = np.full(HASHES, ~np.uint64(0))
@@ -204,15 +210,16 @@ def sketch(text: str | None) -> tuple[int, np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, item, fp, sketch, bands): an item is named by its fingerprint and sketch; a band joins two hashes."""
+    """(key, doc_id, item, fp, sketch, bands): an item is named by its set of shingles; a band joins two hashes."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
         items, prints, sketches, bands = [], [], [], []
         for text in batch.column(2).to_pylist():
-            fp, least = sketch(text)
+            h = shingle_hashes(text)
+            fp, least = sketch(h)
             small = least.astype(np.uint16).tobytes()
-            items.append(xxh64_intdigest(small, fp))
+            items.append(xxh64_intdigest(np.unique(h).tobytes(), SEED))
             prints.append(fp)
             sketches.append(small)
             bands.append([xxh64_intdigest(least[2 * k : 2 * k + 2].tobytes(), k) for k in range(BANDS)])
@@ -223,7 +230,6 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of (bucket, item, fp, sketch) rows sorted by bucket: near prints whose sketches agree, as forests."""
-    held: pa.Table | None = None
 
     def emit(t: pa.Table) -> pa.RecordBatch:
         b, item, fp = (t.column(k).to_numpy() for k in range(3))
@@ -235,16 +241,62 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = root != np.arange(len(b))
         return pa.RecordBatch.from_arrays([pa.array(item[linked]), pa.array(item[root[linked]])], ["a", "b"])
 
+    return map(emit, _whole_buckets(batches))
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, in tables that cut no bucket."""
+    held: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         held = t if held is None else pa.concat_tables([held, t])
         buckets = held.column(0).to_numpy()
         keep = int(np.searchsorted(buckets, buckets[-1])) if len(buckets) else 0
         if keep:
-            yield emit(held.slice(0, keep))
+            yield held.slice(0, keep)
             held = held.slice(keep)
     if held is not None and held.num_rows:
-        yield emit(held)
+        yield held
+
+
+def similar_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """Smallest row of the component of each of the sets, linked at a Jaccard similarity of 0.8 or more, counted exactly.
+
+    A set is compared with all later ones at once, other than those it is
+    already linked with and those whose size rules the similarity out.
+    """
+    sizes, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(names, np.cumsum(sizes)[:-1])
+    mine = np.zeros(len(names), bool)
+    for i in range(len(sets)):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        j = j[np.minimum(sizes[j], sizes[i]) / np.maximum(np.maximum(sizes[j], sizes[i]), 1) >= SIMILARITY]
+        if len(j):
+            mine[own[i]] = True
+            shared = np.add.reduceat(mine[np.concatenate([own[k] for k in j])], np.r_[0, np.cumsum(sizes[j])[:-1]], dtype=np.int64)
+            mine[own[i]] = False
+            joined = np.r_[label[i], label[j[shared / (sizes[i] + sizes[j] - shared) >= SIMILARITY]]]
+            label[np.isin(label, joined)] = joined.min()
+    return label
+
+
+def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, hashes) of (item, text): the different shingle hashes, as bytes."""
+    for batch in batches:
+        hashes = [np.unique(shingle_hashes(t)).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["item", "hashes"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of (bucket, item, hashes) rows sorted by bucket: items of one bucket that are similar, as forests."""
+    for t in _whole_buckets(batches):
+        b, item = t.column(0).to_numpy(), t.column(1).to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column(2).to_pylist()]
+        edges = np.r_[np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(b)]
+        root = np.concatenate([similar_sets(sets[low:high]) + low for low, high in zip(edges, edges[1:], strict=False)])
+        linked = root != np.arange(len(b))
+        yield pa.RecordBatch.from_arrays([pa.array(item[linked]), pa.array(item[root[linked]])], ["a", "b"])
 
 
 def _met(rows: DataFrame, name: str) -> DataFrame:
@@ -255,14 +307,25 @@ def _met(rows: DataFrame, name: str) -> DataFrame:
     return met.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), name)
 
 
+def _exact_links(docs: DataFrame, items: DataFrame, maybe: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all items of one group of ``maybe`` whose sets of shingles are similar."""
+    wanted = items.join(maybe, items["item"] == maybe["node"]).groupBy("item").agg(F.min("key").alias("wanted_key"))
+    texts = docs.select(row_key("doc_id", "text").alias("wanted_key"), "text").join(wanted, "wanted_key").select("item", "text")
+    sets = cut(texts.dropDuplicates(["item"]).mapInArrow(_hash_sets, "item long, hashes binary"), "shingles")
+    met = _met(maybe.select(F.col("node").alias("item"), F.col("component").alias("bucket")), "item")
+    return met.join(sets, "item").select("bucket", "item", "hashes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified, "a long, b long")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: that of the smallest doc_id (null last; ties: any fixed one).
 
-    Near copies have 5-word shingle similarity of about 0.8 or more. At that
+    Near copies have 5-word shingle similarity of 0.8 or more. At that
     similarity fingerprints differ in too many bits for whole blocks of them to
     agree, so texts meet by bands of two minimal shingle hashes (ten bands
     miss a pair at 0.8 in 1 of 27,000); the bit-sliced comparison then finds
-    near fingerprints, and the sketches of 128 minimal hashes confirm. Texts
+    near fingerprints, and sketches of 128 minimal hashes that agree in 0.65
+    join texts to groups. These only say who may be alike: within a group all
+    sets of shingle hashes are compared exactly, and links of 0.8 decide. Texts
     without words are copies of each other.
     """
     ship(docs.sparkSession)
@@ -271,7 +334,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     met = _met(items.select("item", F.explode("bands").alias("bucket")).distinct(), "item")
     info = items.groupBy("item").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
     links_ = met.join(info, "item").select("bucket", "item", "fp", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_similar, "a long, b long")
-    grouped = cut(connected_components(links_), "copy-groups")
+    maybe = cut(connected_components(links_), "maybe-groups")
+    grouped = cut(connected_components(_exact_links(docs, items, maybe)), "copy-groups")
     named = items.select("key", "doc_id", "item").join(grouped, items["item"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "item"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
     chosen = named.groupBy("component").agg(first).select(F.col("first.key").alias("chosen_key"))
