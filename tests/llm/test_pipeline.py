@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -119,3 +120,23 @@ def test_near_copies_are_settled_by_exact_similarity(spark, monkeypatch, part):
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     left = set(ids(corpus_pipeline.STAGES[1][1](spark, d, "")))
     assert left == {100 + 2 * k for k in range(40)} | {1000 + k for k in range(80)} | {2000}
+
+
+def test_repeated_passages_do_not_hide_near_copies(spark):
+    rng, texts = random.Random(10), {}
+    for k in range(12):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(204)]
+        passage = w[:24] * (5, 10, 20)[k % 3]
+        # shingles of 200 words and a passage of 24 of them, whose seams add a few
+        texts[10 * k], texts[10 * k + 1] = " ".join(w), " ".join([*passage, *w])
+    assert all(similarities(texts)[10 * k, 10 * k + 1] >= 0.95 for k in range(12))
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert set(ids(corpus_pipeline.STAGES[1][1](spark, d, ""))) == {10 * k for k in range(12)}
+
+
+def test_fingerprints_of_sets_at_the_similarity_are_within_the_radius():
+    rng = np.random.default_rng(11)
+    for n, a, b in ((4, 1, 0), (12, 3, 0), (40, 5, 5), (160, 20, 20)):
+        for _ in range(1500):
+            h = rng.integers(0, 1 << 64, n + a + b, dtype=np.uint64)
+            assert (simhash.sketch(h[: n + a])[0] ^ simhash.sketch(np.r_[h[:n], h[n + a :]])[0]).bit_count() <= simhash.WIDE_RADIUS
