@@ -405,16 +405,62 @@ def test_activity_window():
             daily_job.activity_window(bad, now)
 
 
+def answer(row):
+    return {"activity_class": "transit", "navigation_status_quality": "consistent", "summary": f"rank {row['anomaly_rank']}", "notable_behavior": "n", "response_id": str(row["mmsi"])}
+
+
 def test_daily_job(spark, small, tmp_path):
     from tidewake.bindings import SLOW_KN, VISIT_GAP, VISIT_SPEED, Tables
 
     t = Tables(spark, small)
-    for name in ("positions_raw", "ports", "ship_types", "status_names"):
+    for name in ("positions_raw", "ports", "ship_types", "status_names", "countries_raw"):
         getattr(t, name).write.parquet(str(tmp_path / name))
-    paths = daily_job.Paths(*(str(tmp_path / n) for n in ("positions_raw", "ports", "ship_types", "status_names", "out")), options={"stationary": SLOW_KN, "hours": 12, "points": 5, "max_gap": VISIT_GAP, "max_speed": VISIT_SPEED})
+    options = {"stationary": SLOW_KN, "hours": 12, "points": 5, "max_gap": VISIT_GAP, "max_speed": VISIT_SPEED, "model": "m", "enrich": answer}
+    paths = daily_job.Paths(*(str(tmp_path / n) for n in ("positions_raw", "ports", "ship_types", "status_names", "out")), countries=str(tmp_path / "countries_raw"), options=options)
     assert daily_job.run_range(spark, "2024-01-09", "2024-01-10", paths) == ["2024-01-09", "2024-01-10"]
-    f = spark.read.parquet(f"{tmp_path}/out/vessel_daily_features")
-    assert Counter(str(r["activity_date"]) for r in f.collect()) == {"2024-01-09": 3, "2024-01-10": 3}
-    assert spark.read.parquet(f"{tmp_path}/out/port_visits").count() > 0
+    out = f"{tmp_path}/out"
+    f = spark.read.parquet(f"{out}/vessel_daily_features")
+    assert {str(r["activity_date"]) for r in f.collect()} == {"2024-01-09", "2024-01-10"}
+    published = spark.read.parquet(f"{out}/port_visits").where("run_id = '2024-01-10T00:00:00Z'")
+    assert published.count() > 1 and published.where("is_deleted = 1").count() == 0
+    runs = spark.read.parquet(f"{out}/port_visit_runs")
+    assert {r["run_id"]: r["visit_count"] for r in runs.collect()}["2024-01-10T00:00:00Z"] == published.count()
     with pytest.raises(ValueError):
         daily_job.run_range(spark, "2024-01-10", "2024-01-09", paths)
+
+    # a rerun without the positions of one visit leaves a tombstone and the others alive
+    gone = published.orderBy("visit_id").first()
+    rest = t.positions_raw.where(~((F.col("mmsi") == gone["mmsi"]) & F.col("msgtime").between(gone["arrival_at"], gone["last_observed_at"])))
+    rest.write.parquet(str(tmp_path / "fewer"))
+    again = daily_job.Paths(str(tmp_path / "fewer"), *(str(tmp_path / n) for n in ("ports", "ship_types", "status_names", "out")), countries=paths.countries, options=options)
+    assert not any(daily_job.run_day(spark, "2024-01-10", again).values())
+    history = spark.read.parquet(f"{out}/port_visits").where("run_id = '2024-01-10T00:00:00Z'")
+    assert gone["visit_id"] in {r["visit_id"] for r in history.where("is_deleted = 1").collect()}
+    alive = versioned.active(history, ["run_id", "visit_id"], ["updated_at"])
+    assert gone["visit_id"] not in {r["visit_id"] for r in alive.collect()} and alive.count() > 0
+    assert spark.read.parquet(f"{out}/port_visit_runs").where("run_id = '2024-01-10T00:00:00Z'").count() == 2
+
+    # a day without positions publishes nothing and passes its checks
+    assert not any(daily_job.run_day(spark, "2023-05-01", paths).values())
+
+
+def test_daily_job_enriches_each_input_once(spark, tmp_path):
+    stamps = [(257000000 + m, T0 + timedelta(days=d, minutes=10 * k), 60.0, 5.0, 10.0 + (20 if d == 9 else 0), 0, 70, f"V{m}", T0) for m in (1, 2) for d in range(10) for k in range(144)]
+    columns = "mmsi long, msgtime timestamp, latitude double, longitude double, speed_over_ground double, navigational_status int, ship_type int, name string, ingested_at timestamp"
+    p = spark.createDataFrame(stamps, columns).withColumns({"course_over_ground": F.lit(1.0), "true_heading": F.lit(1), "stream": F.lit("s")})
+    p.write.parquet(str(tmp_path / "positions"))
+    spark.createDataFrame(PORT, PORTS).write.parquet(str(tmp_path / "ports"))
+    spark.createDataFrame([(70, "Cargo ship", "Cargo")], "ship_type int, ship_type_name string, ship_category string").write.parquet(str(tmp_path / "types"))
+    spark.createDataFrame([(0, "Under way")], "navigational_status int, navigational_status_name string").write.parquet(str(tmp_path / "status"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(row):
+        calls.add(1)
+        return answer(row)
+
+    paths = daily_job.Paths(*(str(tmp_path / n) for n in ("positions", "ports", "types", "status", "out")), options={"model": "m", "enrich": fn})
+    for _ in range(2):
+        daily_job.run_day(spark, "2026-09-21", paths)
+        e = spark.read.parquet(f"{tmp_path}/out/vessel_daily_enriched/day=2026-09-21").collect()
+        assert {(r["mmsi"], r["ai_summary"], r["has_ai_enrichment"]) for r in e} == {(257000001, "rank 1", 1), (257000002, "rank 2", 1)}
+    assert calls.value == 2

@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; a local one only where the cluster names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = sc.getCheckpointDir()
-    return f"{folder.rstrip('/')}/tidewake/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: iterations keep short plans and survive lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tidewake.shared import discard, written
 
 
 def consecutive_visits(visits: DataFrame) -> DataFrame:
@@ -112,49 +93,59 @@ def louvain(edges: DataFrame, max_levels: int = 10, max_rounds: int = 10) -> Dat
     a join and an aggregation of edge size.
     """
     e = written(edges.where("weight > 0"), "louvain-edges")
-    original = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "louvain-nodes")
-    member = original.withColumn("community", F.col("node"))
-    for _ in range(max_levels):
-        nodes = e.select(F.col("src").alias("node")).distinct()
-        level = written(nodes.withColumn("community", F.col("node")), "louvain-level")
-        best, moved = modularity(e, level).first()["modularity"], False
+    member = written(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "louvain-nodes").withColumn("community", F.col("node"))
+    whole = e.agg(F.sum("weight").alias("w")).first()["w"]
+    for _ in range(max_levels if whole else 0):
+        degrees = e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"))
+        level = written(degrees.select("node", F.col("node").alias("community"), "degree"), "louvain-level")
+        best, moved = _quality(e, level, whole), False
         for r in range(max_rounds):
             gained = False
             for parity in (0, 1):
-                tried = written(_moved(e, level, parity, r), "louvain-level")
-                value = modularity(e, tried).first()["modularity"]
+                tried = written(_moved(e, level, whole, parity, r), "louvain-level")
+                value = _quality(e, tried, whole)
                 if value > best + 1e-12:
+                    discard(level)
                     level, best, gained, moved = tried, value, True, True
+                else:
+                    discard(tried)
             if not gained:
                 break
         if not moved:
             break
         names = level.groupBy("community").agg(F.min("node").alias("name"))
-        level = written(level.join(names, "community").select("node", F.col("name").alias("community")), "louvain-level")
-        step = level.select(F.col("node").alias("community"), F.col("community").alias("next"))
-        member = written(member.join(step, "community").select("node", F.col("next").alias("community")), "louvain-members")
-        a = e.join(level.select(F.col("node").alias("src"), F.col("community").alias("s")), "src").join(level.select(F.col("node").alias("dst"), F.col("community").alias("d")), "dst")
-        e = written(a.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain-edges")
+        named = written(level.join(names, "community").select("node", F.col("name").alias("community")), "louvain-level")
+        step = named.select(F.col("node").alias("community"), F.col("community").alias("next"))
+        member, old = written(member.join(step, "community").select("node", F.col("next").alias("community")), "louvain-members"), member
+        a = e.join(named.select(F.col("node").alias("src"), F.col("community").alias("s")), "src").join(named.select(F.col("node").alias("dst"), F.col("community").alias("d")), "dst")
+        smaller = written(a.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("weight").alias("weight")), "louvain-edges")
+        discard(e, level, named, old)
+        e = smaller
     smallest = member.groupBy("community").agg(F.min("node").alias("name"))
     return member.join(smallest, "community").select("node", F.col("name").alias("community"))
 
 
-def _moved(e: DataFrame, level: DataFrame, parity: int, salt: int) -> DataFrame:
-    """``level`` after the nodes of one parity have moved where they gain."""
-    whole = e.agg(F.sum("weight").alias("w")).scalar()
-    degree = e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"))
-    known = level.join(degree, "node")
-    size = known.groupBy("community").agg(F.sum("degree").alias("size"))
+def _quality(e: DataFrame, level: DataFrame, whole: float) -> float:
+    """Modularity of a level of which the degrees are known: only the inner weights need the edges."""
+    inner = e.join(level.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(level.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
+    weight = inner.where("a = b").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).scalar()
+    sizes = level.groupBy("community").agg(F.sum("degree").alias("degree"))
+    return sizes.agg((weight / whole - F.sum(F.pow(F.col("degree") / whole, 2))).alias("q")).first()["q"]
+
+
+def _moved(e: DataFrame, level: DataFrame, whole: float, parity: int, salt: int) -> DataFrame:
+    """``level`` (node, community, degree) after the nodes of one parity have moved where they gain."""
+    size = level.groupBy("community").agg(F.sum("degree").alias("size"))
     near = e.where("src <> dst").join(level.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("link"))
-    own = known.withColumns({"to": F.col("community"), "link": F.lit(0.0)}).select("node", "to", "link")
+    own = level.select("node", F.col("community").alias("to"), F.lit(0.0).alias("link"))
     links = near.unionByName(own).groupBy("node", "to").agg(F.sum("link").alias("link"))
-    met = links.join(known, "node").join(size.select(F.col("community").alias("to"), "size"), "to")
+    met = links.join(level, "node").join(size.select(F.col("community").alias("to"), "size"), "to")
     rest = F.col("size") - F.when(F.col("to") == F.col("community"), F.col("degree")).otherwise(0.0)
     gain = F.col("link") - F.col("degree") * rest / whole
-    choice = met.withColumn("gain", gain).groupBy("node", "community").agg(F.min(F.struct((-F.col("gain")).alias("loss"), F.col("to"))).alias("best"), F.max(F.when(F.col("to") == F.col("community"), F.col("gain"))).alias("stay"))
+    choice = met.withColumn("gain", gain).groupBy("node", "community", "degree").agg(F.min(F.struct((-F.col("gain")).alias("loss"), F.col("to"))).alias("best"), F.max(F.when(F.col("to") == F.col("community"), F.col("gain"))).alias("stay"))
     turn = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(2)) == parity
     better = turn & (-F.col("best.loss") > F.col("stay") + 1e-12)
-    return choice.select("node", F.when(better, F.col("best.to")).otherwise(F.col("community")).alias("community"))
+    return choice.select("node", F.when(better, F.col("best.to")).otherwise(F.col("community")).alias("community"), "degree")
 
 
 def community_stats(edges: DataFrame, membership: DataFrame) -> DataFrame:

@@ -9,10 +9,14 @@ from datetime import UTC, date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake import checks
-from tidewake.operators import daily, network, visits
+from tidewake import checks, schemas
+from tidewake.operators import daily, network, versioned, visits
 from tidewake.plans import marts
+from tidewake.plans.enrichment import RESPONSES, apply_enrichment
+from tidewake.shared import written
+from tidewake.sources.files import read_or_empty
 from tidewake.sources.positions import positions_window
+from tidewake.sources.reference import dataset_hash, stg_countries
 
 
 def activity_window(conf: dict | None, now: datetime) -> tuple[datetime, datetime]:
@@ -30,65 +34,143 @@ def activity_window(conf: dict | None, now: datetime) -> tuple[datetime, datetim
 
 @dataclass
 class Paths:
-    """Where the job reads and writes; all tables are Parquet folders."""
+    """Where the job reads and writes; all tables are Parquet folders.
+
+    ``countries`` (raw country records) may be left out; ports then have no
+    country names. ``options`` overrides thresholds, names ``model`` and
+    ``prompt_version``, and gives ``enrich``, the user's function for
+    candidates; without it they stay pending.
+    """
 
     positions: str
     ports: str
     ship_types: str
     status_names: str
     out: str
+    countries: str | None = None
     options: dict = field(default_factory=dict)
 
+    def table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """A versioned table, which only grows; empty before the first append."""
+        return read_or_empty(spark, f"{self.out}/{name}", schema)
+
+    def append(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").parquet(f"{self.out}/{name}")
+
 
 def run_day(spark: SparkSession, day: str, paths: Paths, now: datetime | None = None) -> dict[str, int]:
     """Compute and write the day's tables; returns the number of offending rows of each check (all must be 0).
 
-    Features are computed for the day and the seven before it, which the
-    anomaly baseline needs; only the day's rows are written.
+    In turn: vessels, features and anomalies; visits, published as a snapshot
+    and then registered as a run; routes and network metrics of the registered
+    visits, published likewise; enriched metrics and communities; candidates,
+    the enrichment of those that are new, and enriched days; checks. A rerun of
+    a day with other positions leaves tombstones for what has vanished.
     """
     start, end = activity_window({"activity_date": day}, now or datetime.now(UTC))
     o, now = paths.options, now or datetime.now(UTC)
-    p, ports = spark.read.parquet(paths.positions), spark.read.parquet(paths.ports)
-    ship_types, status_names = spark.read.parquet(paths.ship_types), spark.read.parquet(paths.status_names)
-    vessels = marts.vessels(daily.stg_vessels(p), ship_types, status_names)
-    recent = positions_window(p, start - timedelta(days=7), end)
-    features = marts.vessel_daily_features(recent, vessels, status_names, stationary=o.get("stationary", 0.5))
-    anomalies = daily.daily_anomalies(features, o.get("hours", 12), o.get("points", 100)).where(F.col("activity_date") == F.lit(day).cast("date"))
-    today = daily.newest_positions(positions_window(p, start, end))
+    today = F.col("activity_date") == F.lit(day).cast("date")
     run = start.strftime("%Y-%m-%dT%H:%M:%SZ")
-    stays = visits.detect_visits(today, ports, o.get("min_stay", 1200), o.get("max_gap", 900), o.get("max_speed", 3.0)).withColumns({"run_id": F.lit(run), "activity_date": F.lit(day).cast("date")})
-    _write(vessels, f"{paths.out}/vessels", None, day)
-    _write(features.where(F.col("activity_date") == F.lit(day).cast("date")), f"{paths.out}/vessel_daily_features", "activity_date", day)
-    _write(anomalies, f"{paths.out}/vessel_daily_anomalies", "activity_date", day)
-    _write(stays, f"{paths.out}/port_visits", "activity_date", day)
-    stays = spark.read.parquet(f"{paths.out}/port_visits/day={day}")
-    routes = network.port_connections(stays)
-    metrics = _metrics(routes, run, start, end).withColumns({"exported_at": F.lit(now), "is_deleted": F.lit(0)})
-    labels = network.community_labels(metrics, ports)
-    metrics = metrics.join(labels.drop("port_count"), ["run_id", "community_id"], "left")
-    _write(routes.withColumn("run_id", F.lit(run)), f"{paths.out}/port_routes", None, day)
-    _write(metrics, f"{paths.out}/port_graph_metrics", None, day)
-    written = {n: spark.read.parquet(f"{paths.out}/{n}/day={day}") for n in ("vessel_daily_features", "vessel_daily_anomalies", "port_visits", "port_graph_metrics")}
-    found = {
-        "features": checks.unique(written["vessel_daily_features"], ["mmsi", "activity_date"]).count(), "anomalies": checks.unique(written["vessel_daily_anomalies"], ["activity_date", "anomaly_rank"]).count(),
-        "visits": checks.unique(written["port_visits"], ["run_id", "visit_id"]).count(), "metrics": checks.unique(written["port_graph_metrics"], ["run_id", "port_id"]).count(),
-    }
+    ports, status_names = spark.read.parquet(paths.ports), spark.read.parquet(paths.status_names)
+
+    features, anomalies = _movement(spark, paths, start, end, status_names)
+    _write(features.where(today), f"{paths.out}/vessel_daily_features", day)
+    _write(anomalies.where(today), f"{paths.out}/vessel_daily_anomalies", day)
+    stays = _publish_visits(spark, paths, run, start, end, ports, now)
+    _publish_metrics(spark, paths, run, start, end, ports, stays, now)
+    enriched, communities = _ports(spark, paths, run, ports)
+    _write(enriched, f"{paths.out}/port_graph_metrics_enriched", day)
+    _write(communities, f"{paths.out}/port_graph_communities", day)
+    _enrich(spark, paths, day)
+
+    found = _checks(spark, paths, day)
     if any(found.values()):
         raise ValueError(f"checks failed for {day}: {found}")
     return found
 
 
-def _metrics(routes: DataFrame, run: str, start: datetime, end: datetime) -> DataFrame:
+def _movement(spark: SparkSession, paths: Paths, start: datetime, end: datetime, status_names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features and anomalies of the day and of the seven before it, which the baseline needs; vessels are written on the way."""
+    o, p = paths.options, spark.read.parquet(paths.positions)
+    known = positions_window(p, start - timedelta(days=o.get("vessel_days", 90)), end)
+    vessels = marts.vessels(daily.stg_vessels(known), spark.read.parquet(paths.ship_types), status_names)
+    _write(vessels, f"{paths.out}/vessels", start.date().isoformat())
+    vessels = spark.read.parquet(f"{paths.out}/vessels/day={start.date().isoformat()}")
+    features = written(marts.vessel_daily_features(positions_window(p, start - timedelta(days=7), end), vessels, status_names, stationary=o.get("stationary", 0.5)), "features")
+    return features, daily.daily_anomalies(features, o.get("hours", 12), o.get("points", 100))
+
+
+def _publish_visits(spark: SparkSession, paths: Paths, run: str, start: datetime, end: datetime, ports: DataFrame, now: datetime) -> DataFrame:
+    """Publish the visits of the day, then register the run; returns its visits as registered."""
+    o, day = paths.options, start.date().isoformat()
+    runs = paths.table(spark, "port_visit_runs", schemas.RUNS)
+    versioned.check_run_window(runs, run, start, end)
+    seen = daily.newest_positions(positions_window(spark.read.parquet(paths.positions), start, end))
+    limits = (o.get("min_stay", 1200), o.get("max_gap", 900), o.get("max_speed", 3.0))
+    new = visits.detect_visits(seen, ports, *limits).withColumns({"run_id": F.lit(run), "activity_date": F.lit(day).cast("date")})
+    new = written(new, "day-visits")
+    paths.append(versioned.publish_snapshot(paths.table(spark, "port_visits", schemas.VISITS), new, run, ["run_id", "visit_id"], "updated_at", now), "port_visits")
+    row = {"run_id": run, "window_start": start, "window_end": end, "dataset_hash": dataset_hash(ports), "parameters": repr(limits), "source_rows": seen.count(), "visit_count": new.count(), "completed_at": now}
+    paths.append(versioned.complete_run(runs.limit(0), row), "port_visit_runs")
+    return versioned.completed_visits(paths.table(spark, "port_visits", schemas.VISITS), paths.table(spark, "port_visit_runs", schemas.RUNS), run)
+
+
+def _publish_metrics(spark: SparkSession, paths: Paths, run: str, start: datetime, end: datetime, ports: DataFrame, stays: DataFrame, now: datetime) -> None:
+    """Write the day's routes and publish the metrics of their network; a day without routes takes its earlier rows back."""
+    day = start.date().isoformat()
+    _write(network.port_connections(stays).withColumn("run_id", F.lit(run)), f"{paths.out}/port_routes", day)
+    routes = network.validate_edges(spark.read.parquet(f"{paths.out}/port_routes/day={day}"), ports)
     ranks = network.pagerank(network.project(routes))
     members = network.louvain(network.project(routes, undirected=True))
-    return network.metric_rows(ranks, members, run, F.lit(start), F.lit(end))
+    metrics = network.metric_rows(ranks, members, run, F.lit(start), F.lit(end))
+    metrics = metrics.join(network.community_labels(metrics, ports).drop("port_count"), ["run_id", "community_id"], "left")
+    metrics = written(metrics, "day-metrics")
+    history = paths.table(spark, "port_graph_metrics", schemas.METRICS)
+    paths.append(versioned.publish_snapshot(history, metrics, run, ["run_id", "port_id"], "exported_at", now, window=["window_start", "window_end"]), "port_graph_metrics")
+
+
+def _ports(spark: SparkSession, paths: Paths, run: str, ports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metrics of the run with names and visit counts, and its communities."""
+    nothing = spark.createDataFrame([], "country_code string, iso3 string, numeric_code string, country_name string, region string, capital_city string")
+    countries = marts.countries(stg_countries(spark.read.parquet(paths.countries))) if paths.countries else nothing
+    mine = F.col("run_id") == run
+    metrics, stays = (paths.table(spark, n, s).where(mine) for n, s in (("port_graph_metrics", schemas.METRICS), ("port_visits", schemas.VISITS)))
+    enriched = marts.port_graph_metrics_enriched(metrics, ports, countries, stays)
+    return enriched, marts.port_graph_communities(enriched)
+
+
+def _enrich(spark: SparkSession, paths: Paths, day: str) -> None:
+    """Write the day's candidates, give the new ones to the user's function, and write the enriched days."""
+    o = paths.options
+    model, prompt = o.get("model", "none"), o.get("prompt_version", "v1")
+    _write(marts.enrichment_candidates(spark.read.parquet(f"{paths.out}/vessel_daily_anomalies/day={day}"), o.get("max_rank", 100)), f"{paths.out}/enrichment_candidates", day)
+    candidates = spark.read.parquet(f"{paths.out}/enrichment_candidates/day={day}")
+    if o.get("enrich"):
+        pending = marts.pending_enrichment(candidates, paths.table(spark, "enrichment_responses", RESPONSES), None, model, prompt, o.get("limit"))
+        answers, failures = apply_enrichment(pending, o["enrich"], model, prompt)
+        paths.append(answers, "enrichment_responses")
+        _write(failures, f"{paths.out}/enrichment_failures", day)
+    history = paths.table(spark, "enrichment_responses", RESPONSES)
+    _write(marts.vessel_daily_enriched(spark.read.parquet(f"{paths.out}/vessel_daily_features/day={day}"), candidates, history, model, prompt), f"{paths.out}/vessel_daily_enriched", day)
+
+
+def _checks(spark: SparkSession, paths: Paths, day: str) -> dict[str, int]:
+    """Numbers of offending rows of what the day has written."""
+    o = paths.options
+    t = {n: spark.read.parquet(f"{paths.out}/{n}/day={day}") for n in ("vessel_daily_features", "vessel_daily_anomalies", "vessel_daily_enriched", "enrichment_candidates", "port_graph_metrics_enriched", "port_graph_communities")}
+    v, r = paths.table(spark, "port_visits", schemas.VISITS), paths.table(spark, "port_visit_runs", schemas.RUNS)
+    offending = {
+        "features": checks.unique(t["vessel_daily_features"], ["mmsi", "activity_date"]), "anomalies": checks.unique(t["vessel_daily_anomalies"], ["activity_date", "anomaly_rank"]),
+        "visits": checks.unique(versioned.active(v, ["run_id", "visit_id"], ["updated_at"]), ["run_id", "visit_id"]), "visit_dates": checks.visit_activity_dates(v, r), "current_visit_dates": checks.current_visit_dates(v, r),
+        "metrics": checks.unique(t["port_graph_metrics_enriched"], ["run_id", "port_id"]), "graph_dates": checks.graph_activity_date(t["port_graph_metrics_enriched"], t["port_graph_communities"]),
+        "community_ports": checks.community_port_counts(t["port_graph_metrics_enriched"], t["port_graph_communities"]),
+        "enrichment": checks.valid_current_enrichment(t["vessel_daily_enriched"], t["enrichment_candidates"], o.get("model", "none"), o.get("prompt_version", "v1"), o.get("max_rank", 100)),
+    }
+    return {n: df.count() for n, df in offending.items()}
 
 
-def _write(df: DataFrame, path: str, time: str | None, day: str) -> None:
-    if time is None:
-        df.write.mode("overwrite").parquet(f"{path}/day={day}")
-    else:
-        df.drop(time).withColumn(time, F.lit(day).cast("date")).write.mode("overwrite").parquet(f"{path}/day={day}")
+def _write(df: DataFrame, path: str, day: str) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/day={day}")
 
 
 def run_range(spark: SparkSession, first: str, last: str, paths: Paths) -> list[str]:
@@ -102,6 +184,3 @@ def run_range(spark: SparkSession, first: str, last: str, paths: Paths) -> list[
         run_day(spark, day, paths)
         done.append(day)
     return done
-
-
-

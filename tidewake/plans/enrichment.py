@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.shared import written
+
 #: The categories that a response may give.
 ACTIVITY_CLASSES = ("stationary", "transit", "mixed", "maneuvering", "unclear")
 STATUS_QUALITY = ("consistent", "inconsistent", "uncertain")
@@ -15,6 +17,8 @@ RESPONSE = (
     "mmsi long, activity_date date, input_hash string, activity_class string, navigation_status_quality string, summary string, notable_behavior string, data_quality_note string, "
     "response_id string, input_tokens int, output_tokens int, error string"
 )
+#: Stored responses.
+RESPONSES = RESPONSE.replace("error string", "model string, prompt_version string, created_at timestamp")
 _COLUMNS = [c.split()[0] for c in RESPONSE.split(", ")]
 
 
@@ -22,15 +26,15 @@ def apply_enrichment(pending: DataFrame, fn: Callable[[dict], dict], model: str,
     """(responses, failures): ``fn`` maps a candidate row to the response's fields.
 
     A failure of one row (an exception, a missing field, an unknown category)
-    is reported in ``failures`` and leaves the others alone. Both frames come
-    from one plan; write or cache it before using both, else ``fn`` runs twice.
+    is reported in ``failures`` and leaves the others alone. The answers are
+    written to the shared folder at once, so ``fn`` runs once for each row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             yield pd.DataFrame([_response(r, fn) for r in frame.to_dict("records")], columns=_COLUMNS)
 
-    done = pending.mapInPandas(run, RESPONSE)
+    done = written(pending.mapInPandas(run, RESPONSE), "enrichment")
     stamped = done.withColumns({"model": F.lit(model), "prompt_version": F.lit(prompt_version), "created_at": F.current_timestamp()})
     return stamped.where("error IS NULL").drop("error"), done.where("error IS NOT NULL").select("mmsi", "activity_date", "input_hash", "error")
 
