@@ -119,12 +119,12 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 
 def matched_lifecycle(gaps: DataFrame) -> DataFrame:
-    """Both events of the newest silence that has been detected and has ended (newest end, then detection, then vessel)."""
+    """Both events of the newest silence that has been detected and has ended (newest detection, then vessel)."""
     key = ["mmsi", "gap_detected_at"]
     whole = gaps.groupBy(*key).agg(
-        F.count_if(F.col("event_type") == "AIS_GAP_DETECTED").alias("detected"), F.count_if(F.col("event_type") == "AIS_GAP_ENDED").alias("ended"), F.max("gap_ended_at").alias("latest_end")
+        F.count_if(F.col("event_type") == "AIS_GAP_DETECTED").alias("detected"), F.count_if(F.col("event_type") == "AIS_GAP_ENDED").alias("ended")
     ).where("detected > 0 AND ended > 0")
-    one = whole.orderBy(F.desc("latest_end"), F.desc("gap_detected_at"), F.asc("mmsi")).limit(1)
+    one = whole.orderBy(F.desc("gap_detected_at"), F.asc("mmsi")).limit(1)
     return gaps.join(F.broadcast(one.select(*key)), key, "left_semi")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,26 +87,25 @@ def detect_visits(positions: DataFrame, ports: DataFrame, min_stay: float = 1200
 
 
 def visit_stats(positions: DataFrame, ports: DataFrame, min_stay: float = 1200, max_gap: float = 900, max_speed: float = 3.0) -> DataFrame:
-    """One row of run statistics, by aggregates over the steps of the detection."""
+    """One row of run statistics: the observations are numbered by island once, and everything is counted from the islands."""
     valid = valid_positions(positions)
-    seen = collapse_positions(valid)
-    inside = assign_ports(seen, ports, max_speed).where("nearest IS NOT NULL")
-    long_enough = (F.col("observation_count") >= 2) & (F.col("observed_stay_seconds") >= min_stay)
-    counts = [
-        positions.agg(F.count("*").alias("n")).select(F.lit("source_rows").alias("stat"), "n"),
-        valid.agg(F.count("*").alias("n")).select(F.lit("valid_rows").alias("stat"), "n"),
-        seen.agg(F.count("*").alias("n")).select(F.lit("unique_timestamps").alias("stat"), "n"),
-        seen.agg(F.count_if("conflict").alias("n")).select(F.lit("conflicting_timestamps").alias("stat"), "n"),
-        inside.agg(F.count("*").alias("n")).select(F.lit("positions_inside_ports").alias("stat"), "n"),
-    ]
-    stays = _stays(positions, ports, max_gap, max_speed).agg(F.count_if(long_enough).alias("visits"), F.count_if(~long_enough).alias("short_candidates"))
-    counts.append(stays.select(F.explode(F.map_from_arrays(F.array(F.lit("visits"), F.lit("short_candidates")), F.array("visits", "short_candidates"))).alias("stat", "n")))
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    names = ["source_rows", "valid_rows", "conflicting_timestamps", "unique_timestamps", "positions_inside_ports", "short_candidates", "visits"]
-    wide = out.groupBy().pivot("stat", names).agg(F.max("n"))
-    return wide.withColumn("invalid_rows", F.col("source_rows") - F.col("valid_rows")).drop("valid_rows")
+    rows = valid.groupBy("mmsi", "msgtime").agg(F.count("*").alias("rows"))
+    e = visit_islands(assign_ports(collapse_positions(valid).join(rows, ["mmsi", "msgtime"]), ports, max_speed), max_gap)
+    stay = (F.unix_micros(F.max("msgtime")) - F.unix_micros(F.min("msgtime"))) / 1e6
+    i = e.groupBy("mmsi", "island").agg(
+        F.any_value("eligible").isNotNull().alias("at_port"), F.sum("rows").alias("rows"), F.count("*").alias("seen"), F.count_if("conflict").alias("conflicts"), F.count("nearest").alias("inside"), stay.alias("stay")
+    )
+    long_enough = (F.col("seen") >= 2) & (F.col("stay") >= min_stay)
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    one = i.agg(
+        total("rows").alias("valid_rows"), total("seen").alias("unique_timestamps"), total("conflicts").alias("conflicting_timestamps"), total("inside").alias("positions_inside_ports"),
+        F.count_if(F.col("at_port") & long_enough).alias("visits"), F.count_if(F.col("at_port") & ~long_enough).alias("short_candidates"),
+    )
+    one = one.withColumn("source_rows", positions.agg(F.count("*").alias("n")).scalar())
+    return one.withColumn("invalid_rows", F.col("source_rows") - F.col("valid_rows")).drop("valid_rows")
 
 
 def visit_summaries(visits: DataFrame) -> DataFrame:

@@ -206,8 +206,9 @@ def latest_gap_events(gaps: DataFrame, as_of: Column, hours: int = 24, n: int =
     return g.select(label(F.col("event_type"), GAP_LABELS).alias("event_type"), "name", "mmsi", "ship_category", "navigation_status_name", "gap_detected_at", "gap_ended_at", round_(F.col("gap_duration_seconds") / 60, 1).alias("gap_minutes"), "event_time")
 
 
-def long_recovered(gaps: DataFrame, seconds: float = 1800) -> DataFrame:
-    return gaps.where((F.col("event_type") == "AIS_GAP_ENDED") & (F.col("gap_duration_seconds") >= seconds))
+def long_recovered(gaps: DataFrame, seconds: float = 1800, n: int = 20) -> DataFrame:
+    """The longest silences that have ended (ties: vessel, detection)."""
+    return gaps.where((F.col("event_type") == "AIS_GAP_ENDED") & (F.col("gap_duration_seconds") >= seconds)).orderBy(F.desc("gap_duration_seconds"), "mmsi", "gap_detected_at").limit(n)
 
 
 def gaps_by_type(gaps: DataFrame) -> DataFrame:
@@ -230,6 +231,5 @@ def run_list(runs: DataFrame) -> DataFrame:
 
 
 def newest_gaps(gaps: DataFrame, n: int = 20) -> DataFrame:
-    """The gap events of the newest times, detections and ends alike."""
-    g = gaps.withColumn("event_time", F.coalesce("gap_ended_at", "gap_detected_at"))
-    return g.orderBy(F.desc("event_time"), "mmsi", "event_type").limit(n)
+    """The gap events of the newest detections (ties: vessel, event type)."""
+    return gaps.orderBy(F.desc("gap_detected_at"), "mmsi", "event_type").limit(n)

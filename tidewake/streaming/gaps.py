@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidewake.operators.joins import label_stream
 
 TIMEOUT = 600
-STATE = "seen_ms long, alerted boolean, name string, msgtime string, latitude double, longitude double, ship_type int, navigation_status int, timer_ms long"
+STATE = "seen_ms long, alerted boolean, name string, msgtime string, latitude double, longitude double, ship_type int, navigation_status int, timer_ms long, detected_ms long"
 EVENTS = (
     "event_type string, mmsi long, name string, last_event_msgtime string, previous_event_msgtime string, resumed_event_msgtime string, last_latitude double, last_longitude double, "
     "gap_detected_ms long, gap_ended_ms long, gap_duration_seconds double, gap_timeout_seconds double, ship_type int, navigation_status int, previous_navigation_status int, resumed_navigation_status int"
@@ -34,7 +34,8 @@ class GapDetector(StatefulProcessor):
 
     Time is processing time. An observation cancels the timer, so one that
     comes in the same batch as a due timer means no gap. A reported silence
-    keeps its state until the vessel returns.
+    keeps its state until the vessel returns, with the time of its report, which
+    both events of a silence carry.
     """
 
     def __init__(self, timeout: float = TIMEOUT) -> None:
@@ -56,7 +57,7 @@ class GapDetector(StatefulProcessor):
                     out.append(self._ended(mmsi, old, event, now))
                 old = {
                     "seen_ms": now, "alerted": False, "name": event["name"] or (old or {}).get("name"), "msgtime": event["msgtime"], "latitude": event["latitude"], "longitude": event["longitude"],
-                    "ship_type": event["ship_type"], "navigation_status": event["navigation_status"], "timer_ms": (old or {}).get("timer_ms"),
+                    "ship_type": event["ship_type"], "navigation_status": event["navigation_status"], "timer_ms": (old or {}).get("timer_ms"), "detected_ms": None,
                 }
         if event is not None:
             if old["timer_ms"]:
@@ -70,7 +71,7 @@ class GapDetector(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, old = timerValues.getCurrentProcessingTimeInMs(), self._state()
         if old and not old["alerted"] and now - old["seen_ms"] >= self.timeout * 1000:
-            self._keep(old | {"alerted": True, "timer_ms": None})
+            self._keep(old | {"alerted": True, "timer_ms": None, "detected_ms": now})
             yield _frame([_row(
                 event_type="AIS_GAP_DETECTED", mmsi=int(key[0]), name=old["name"], last_event_msgtime=old["msgtime"], last_latitude=old["latitude"], last_longitude=old["longitude"],
                 gap_detected_ms=now, gap_timeout_seconds=float(self.timeout), ship_type=old["ship_type"], navigation_status=old["navigation_status"],
@@ -86,12 +87,12 @@ class GapDetector(StatefulProcessor):
         def whole(x):
             return None if x is None else int(x)
 
-        self.state.update((int(s["seen_ms"]), bool(s["alerted"]), s["name"], s["msgtime"], s["latitude"], s["longitude"], whole(s["ship_type"]), whole(s["navigation_status"]), whole(s["timer_ms"])))
+        self.state.update((int(s["seen_ms"]), bool(s["alerted"]), s["name"], s["msgtime"], s["latitude"], s["longitude"], whole(s["ship_type"]), whole(s["navigation_status"]), whole(s["timer_ms"]), whole(s["detected_ms"])))
 
     def _ended(self, mmsi: int, old: dict, event: dict, now: int) -> dict:
         return _row(
             event_type="AIS_GAP_ENDED", mmsi=mmsi, name=event["name"] or old["name"], previous_event_msgtime=old["msgtime"], resumed_event_msgtime=event["msgtime"], last_latitude=old["latitude"],
-            last_longitude=old["longitude"], gap_detected_ms=old["seen_ms"] + int(self.timeout * 1000), gap_ended_ms=now, gap_duration_seconds=(now - old["seen_ms"]) / 1000, gap_timeout_seconds=float(self.timeout),
+            last_longitude=old["longitude"], gap_detected_ms=old["detected_ms"], gap_ended_ms=now, gap_duration_seconds=(now - old["seen_ms"]) / 1000, gap_timeout_seconds=float(self.timeout),
             ship_type=event["ship_type"], navigation_status=event["navigation_status"], previous_navigation_status=old["navigation_status"], resumed_navigation_status=event["navigation_status"],
         )
 

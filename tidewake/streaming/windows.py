@@ -59,8 +59,14 @@ def dedupe_stream(events: DataFrame, keys: tuple[str, ...] = ("mmsi", "event_tim
     return events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def start_query(df: DataFrame, path: str, checkpoint: str, available_now: bool = False, name: str | None = None):
-    """An append query to Parquet files; offsets, state and timers recover from the checkpoint, and the file sink writes each row once."""
+def start_query(df: DataFrame, path: str, checkpoint: str, available_now: bool = False, name: str | None = None, idle_sources: bool = False):
+    """An append query to Parquet files; offsets, state and timers recover from the checkpoint, and the file sink writes each row once.
+
+    With ``idle_sources`` the watermark of several sources follows the fastest
+    one, so that one without events does not hold back the others' windows; a
+    query keeps the policy that it first started with.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max" if idle_sources else "min")
     w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.queryName(name) if name else w
     return (w.trigger(availableNow=True) if available_now else w).start()
