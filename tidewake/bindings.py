@@ -27,17 +27,33 @@ SIZES, SLIDE = (5, 15, 30, 60), 5
 GAP_TIMEOUT = 600
 
 
+#: First numbers of the ranges from which single users' identity numbers are taken; the first is a ship's, the others are not, or have too few digits.
+NUMBERS = (257_001_000, 111_000_000, 970_000_000, 1_000, 992_570_000)
+#: The identity number, and the shown name before it is blanked, of an event in SQL.
+MMSI_SQL = "(CASE WHEN user_id % 4 < 3 THEN 257000000 + user_id % 4 " + " ".join(f"WHEN user_id // 4 % 5 = {k} THEN {n} + user_id" for k, n in enumerate(NUMBERS)) + " END)"
+NAME_SQL = "(CASE WHEN user_id % 4 < 3 THEN 'VESSEL ' || (user_id % 4) WHEN user_id % 3 = 0 THEN 'Test boat ' || user_id WHEN event_id % 5 = 0 THEN 'FORMER ' || user_id ELSE 'BOAT ' || user_id END)"
+
+
 def positions_of(events: DataFrame) -> DataFrame:
-    """Positions of the event table, batch or stream: users are folded into three vessels, which move between five places."""
+    """Positions of the event table, batch or stream.
+
+    Three users of four are folded into three vessels, which move between five
+    places; every other user is a vessel of its own, of some class of number,
+    and some have test names or two names.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     ts, seconds = F.col("ts").cast("timestamp"), F.unix_seconds(F.col("ts").cast("timestamp"))
     status = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 5).when(F.col("event_type") == "signup", 8)
-    place = F.pmod(F.floor(seconds / 7200) + F.col("user_id") % 3, F.lit(5)).cast("double")
+    user = F.col("user_id")
+    place = F.pmod(F.floor(seconds / 7200) + user % 4, F.lit(5)).cast("double")
+    single = F.element_at(F.array(*map(F.lit, NUMBERS)), (F.floor(user / 4) % 5 + 1).cast("int")) + user
+    own = F.when(user % 3 == 0, F.concat(F.lit("Test boat "), user)).when(F.col("event_id") % 5 == 0, F.concat(F.lit("FORMER "), user)).otherwise(F.concat(F.lit("BOAT "), user))
+    name = F.when(user % 4 < 3, F.concat(F.lit("VESSEL "), user % 4)).otherwise(own)
     return events.select(
-        (F.lit(257000000) + F.col("user_id") % 3).cast("long").alias("mmsi"), ts.alias("msgtime"), F.col("event_id").alias("seq"),
+        F.when(user % 4 < 3, F.lit(257000000) + user % 4).otherwise(single).cast("long").alias("mmsi"), ts.alias("msgtime"), F.col("event_id").alias("seq"),
         (60.0 + 0.1 * place + F.when(F.col("event_id") % 10 == 0, 0.05).otherwise(0.0)).alias("latitude"), F.lit(5.0).alias("longitude"),
         F.col("value").alias("speed_over_ground"), ((F.col("event_id") * 7) % 360).cast("double").alias("course_over_ground"), (F.col("event_id") % 512).cast("int").alias("true_heading"),
-        status.cast("int").alias("navigational_status"), (30 + k % 60).cast("int").alias("ship_type"), F.when(k % 10 != 0, F.concat(F.lit("VESSEL "), (F.col("user_id") % 3).cast("string"))).alias("name"),
+        status.cast("int").alias("navigational_status"), (30 + k % 60).cast("int").alias("ship_type"), F.when(k % 10 != 0, name).alias("name"),
         F.col("event_type").alias("stream"), ts.alias("ingested_at"),
     )
 
@@ -126,23 +142,27 @@ _R = sql_round
 _STATUS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(STATUS_NAMES))
 _CATEGORY = " ".join(f"WHEN {t} THEN '{c}'" for t, c in CATEGORIES.items())
 
+#: The class of an identity number in SQL.
+CLASS_SQL = """(CASE WHEN length(CAST(mmsi AS VARCHAR)) <> 9 THEN 'invalid_length' WHEN mmsi // 1000000 = 111 THEN 'sar_aircraft' WHEN mmsi // 10000000 = 99 THEN 'aid_to_navigation'
+          WHEN mmsi // 1000000 = 970 THEN 'ais_sart' WHEN mmsi // 100000000 BETWEEN 2 AND 7 THEN 'ship' ELSE 'nonstandard' END)"""
+
 #: DuckDB definitions; a name used in a text is defined before it.
 CTES: dict[str, str] = {
-    "positions_raw": """
-        SELECT 257000000 + user_id % 3 AS mmsi, ts AS msgtime, event_id AS seq,
-          6e1 + 1e-1 * CAST((epoch_us(ts) // 1000000 // 7200 + user_id % 3) % 5 AS DOUBLE) + CASE WHEN event_id % 10 = 0 THEN 5e-2 ELSE 0e0 END AS latitude, 5e0 AS longitude,
+    "positions_raw": f"""
+        SELECT {MMSI_SQL} AS mmsi, ts AS msgtime, event_id AS seq,
+          6e1 + 1e-1 * CAST((epoch_us(ts) // 1000000 // 7200 + user_id % 4) % 5 AS DOUBLE) + CASE WHEN event_id % 10 = 0 THEN 5e-2 ELSE 0e0 END AS latitude, 5e0 AS longitude,
           value AS speed_over_ground, CAST((event_id * 7) % 360 AS DOUBLE) AS course_over_ground, event_id % 512 AS true_heading,
           CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 5 WHEN 'signup' THEN 8 END AS navigational_status,
           30 + CAST(json_extract_string(props, '$.k') AS INT) % 60 AS ship_type,
-          CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 <> 0 THEN 'VESSEL ' || (user_id % 3) END AS name,
+          CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 <> 0 THEN {NAME_SQL} END AS name,
           event_type AS stream, ts AS ingested_at FROM events
         UNION ALL BY NAME
-        SELECT 257000000 + user_id % 3 AS mmsi, ts AS msgtime, event_id AS seq,
-          6e1 + 1e-1 * CAST((epoch_us(ts) // 1000000 // 7200 + user_id % 3) % 5 AS DOUBLE) + CASE WHEN event_id % 10 = 0 THEN 5e-2 ELSE 0e0 END AS latitude, 5e0 AS longitude,
+        SELECT {MMSI_SQL} AS mmsi, ts AS msgtime, event_id AS seq,
+          6e1 + 1e-1 * CAST((epoch_us(ts) // 1000000 // 7200 + user_id % 4) % 5 AS DOUBLE) + CASE WHEN event_id % 10 = 0 THEN 5e-2 ELSE 0e0 END AS latitude, 5e0 AS longitude,
           value + 1 AS speed_over_ground, CAST((event_id * 7) % 360 AS DOUBLE) AS course_over_ground, event_id % 512 AS true_heading,
           CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 5 WHEN 'signup' THEN 8 END AS navigational_status,
           30 + CAST(json_extract_string(props, '$.k') AS INT) % 60 AS ship_type,
-          CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 <> 0 THEN 'VESSEL ' || (user_id % 3) END AS name,
+          CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 <> 0 THEN {NAME_SQL} END AS name,
           event_type AS stream, ts + INTERVAL 1 HOUR AS ingested_at FROM events WHERE event_id % 17 = 0""",
     "positions": "SELECT * FROM positions_raw QUALIFY row_number() OVER (PARTITION BY mmsi, msgtime ORDER BY ingested_at DESC, stream DESC) = 1",
     "ports": "SELECT 'WPI:' || s_suppkey AS port_id, s_name AS name, n_name AS country, 6e1 + 1e-1 * (s_suppkey % 250) AS latitude, 5e0 AS longitude, 1500e0 AS radius_m FROM supplier JOIN nation ON s_nationkey = n_nationkey",
@@ -162,12 +182,12 @@ CTES: dict[str, str] = {
           arg_max(course_over_ground, (msgtime, ingested_at, course_over_ground)) AS last_course, arg_max(true_heading, (msgtime, ingested_at, true_heading)) AS last_heading,
           arg_max(navigational_status, (msgtime, ingested_at, navigational_status)) FILTER (navigational_status IS NOT NULL) AS last_navigational_status
         FROM positions GROUP BY mmsi""",
-    "vessels": """
+    "vessels": f"""
         SELECT v.*, coalesce(nullif(trim(st.ship_type_name), ''), 'Unknown') AS ship_type_name, coalesce(nullif(trim(st.ship_category), ''), 'Unknown') AS ship_category,
           coalesce(ns.navigational_status_name, 'Unknown') AS last_navigational_status_name, length(CAST(v.mmsi AS VARCHAR)) = 9 AS is_valid_mmsi, name_count > 1 AS has_identity_conflict,
           v.ship_type IS NOT NULL AND st.ship_type_name IS NULL AS has_unknown_ship_type, coalesce(contains(lower(vessel_name), 'test'), false) AS is_test_record,
-          length(CAST(v.mmsi AS VARCHAR)) = 9 AND NOT coalesce(contains(lower(vessel_name), 'test'), false) AS is_dashboard_eligible, 'ship' AS mmsi_format_class,
-          length(CAST(v.mmsi AS VARCHAR)) = 9 AND NOT coalesce(contains(lower(vessel_name), 'test'), false) AS is_ai_enrichment_eligible
+          length(CAST(v.mmsi AS VARCHAR)) = 9 AND NOT coalesce(contains(lower(vessel_name), 'test'), false) AS is_dashboard_eligible, {CLASS_SQL} AS mmsi_format_class,
+          length(CAST(v.mmsi AS VARCHAR)) = 9 AND NOT coalesce(contains(lower(vessel_name), 'test'), false) AND {CLASS_SQL} = 'ship' AS is_ai_enrichment_eligible
         FROM stg_vessels v LEFT JOIN ship_types st USING (ship_type) LEFT JOIN status_names ns ON v.last_navigational_status = ns.navigational_status""",
     "points": "SELECT *, CAST(msgtime AS DATE) AS activity_date, lag(navigational_status) OVER (PARTITION BY mmsi, CAST(msgtime AS DATE) ORDER BY msgtime, ingested_at, stream) AS before FROM positions",
     "dominant": f"""
