@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewake.shared import discard
+from tidewake.shared import written as cut
+
+__all__ = ["SPACES", "SPACE_RUN", "cut", "discard", "row_key", "row_name", "ship", "table", "words"]
+
 #: Words are maximal runs of characters other than ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,26 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(*columns: str) -> Column:
-    """Names a row by its content; equal rows share it."""
+    """A 64-bit name of a row's content, for lookups that a clash does not harm; equal rows share it."""
     return F.xxhash64(*columns)
 
 
+def row_name(*columns: str) -> Column:
+    """Names a row by 128-bit digests of some columns; equal rows share it, nulls differ from all values."""
+    return F.concat_ws("/", *(F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-")) for c in columns))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application."""
     sc = spark.sparkContext
@@ -47,14 +45,3 @@ def ship(spark: SparkSession) -> None:
         root = Path(__file__).resolve().parents[2]
         sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/tidewake", "zip", root, "tidewake"))
         sc._tidewake_shipped = True
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    It cuts the lineage, survives the loss of any executor, and (other than
-    ``checkpoint()``) computes a plan without shuffles only once.
-    """
-    path = f"{shared_dir(df.sparkSession)}/tidewake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut
+from tidewake.llm.common import cut, discard
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,20 +28,31 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == last or not seen["n"]:
             break
         last = seen
-        e = cut(_small_star(cut(_large_star(e), "edges")), "edges")
+        large = cut(_star(e, "x", _both(e), _larger), "edges")
+        small = cut(_star(large, "u", large, _smaller), "edges")
+        discard(e, large)
+        e = small
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
+def _star(e: DataFrame, node: str, neighbours: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """One half of a round; the minima of ``neighbours`` are written, as the join would otherwise not be split at hubs."""
+    value = next(c for c in neighbours.columns if c != node)
+    least = cut(neighbours.groupBy(node).agg(F.min(value).alias("m")), "least")
+    return step(e, least)
+
+
+def _both(e: DataFrame) -> DataFrame:
+    return e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
+
+
+def _larger(e: DataFrame, least: DataFrame) -> DataFrame:
     larger = e.select(F.col("v").alias("x"), F.col("u").alias("y"))
-    return larger.join(least, "x").where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+    return larger.join(least.select("x", F.least("x", "m").alias("m")), "x").where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = cut(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+def _smaller(e: DataFrame, least: DataFrame) -> DataFrame:
     moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -8,7 +8,8 @@ and the text around the hit.
 
 Items are a bounded broadcast: they are taken in blocks of at most
 ``BLOCK_BYTES`` of text, and every block passes over all documents, which stay
-where they are.
+where they are. Several blocks run one after the other, each written and
+released before the next is sent out.
 """
 
 from __future__ import annotations
@@ -19,21 +20,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import ship, table
+from tidewake.llm.common import cut, discard, ship, table
 
 ERRORS = 0.15
-#: Items of fewer words are ordinary phrases rather than leaks and are not sought.
-LEAST_WORDS = 5
 BLOCK_BYTES = 16 << 20
-WORD = re.compile(r"[^\W_]+")
+#: Ranges of scripts that are written without spaces; each of their characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W_{UNSPACED}]+|[{UNSPACED}]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters and digits, in lower case."""
+    """Runs of letters and digits, in lower case; single characters in scripts without spaces."""
     return WORD.findall((text or "").lower())
 
 
@@ -64,64 +66,63 @@ def myers(pattern: list, text: list, limit: int) -> tuple[int, int] | None:
     return best
 
 
+#: Bits of the table that tells at once that a run of words begins no piece.
+FILTER_BITS = 20
+
+
 @dataclass
 class Index:
-    """Pieces of a block of items: word numbers, and for each piece its (item, offset, length)."""
+    """Pieces of a block of items: word numbers, and for each length of piece its (item, offset) by words."""
 
     items: list[tuple[int, list[str], int]]
     vocabulary: dict[str, int] = field(default_factory=dict)
     pieces: dict[int, dict[tuple, list[tuple[int, int]]]] = field(default_factory=dict)
-    stems: np.ndarray | None = None
-    stem: int = 0
+    filters: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
-    def of(rows: list[tuple[int, str]], errors: float = ERRORS, least: int = LEAST_WORDS) -> Index:
+    def of(rows: list[tuple[int, str]], errors: float = ERRORS) -> Index:
         out = Index([])
         for item_id, text in rows:
-            w = words_of(text)
-            if len(w) >= least:
+            if w := words_of(text):
                 out.items.append((item_id, w, int(errors * len(w))))
-        split = []
         for k, (_, w, e) in enumerate(out.items):
             edges = [len(w) * i // (e + 1) for i in range(e + 2)]
             for a, b in zip(edges, edges[1:], strict=False):
                 ids = tuple(out.vocabulary.setdefault(x, len(out.vocabulary)) for x in w[a:b])
-                split.append((ids, k, a))
-        for ids, k, a in split:
-            out.pieces.setdefault(len(ids), {}).setdefault(ids, []).append((k, a))
-        out.stem = min(out.pieces, default=0)
-        if out.stem:
-            first = np.array([p[: out.stem] for found in out.pieces.values() for p in found], np.int64).reshape(-1, out.stem)
-            out.stems = np.unique(_rolled(first.ravel(), out.stem)[:: out.stem])
+                out.pieces.setdefault(b - a, {}).setdefault(ids, []).append((k, a))
+        for length, found in out.pieces.items():
+            hashes = next(_rolled(np.array(list(found), np.int64).ravel(), {length}))[1][::length]
+            marked = np.zeros(1 << FILTER_BITS, bool)
+            marked[hashes >> np.uint64(64 - FILTER_BITS)] = True
+            out.filters[length] = marked, np.unique(hashes)
         return out
 
     def candidates(self, texts: list[list[str]]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, where the item would start, piece offset) of every exact hit of a piece."""
-        if not self.stem:
+        if not self.pieces:
             return
-        get, gap = self.vocabulary.get, [-1] * self.stem
-        ids = [x for w in texts for x in (*[get(v, -1) for v in w], *gap)]
-        starts = np.cumsum([0] + [len(w) + self.stem for w in texts])
-        stream = np.array(ids, np.int64)
-        if len(stream) < self.stem:
-            return
-        hashes = _rolled(stream, self.stem)
-        at = np.searchsorted(self.stems, hashes)
-        at[at == len(self.stems)] = 0
-        for p in np.flatnonzero(self.stems[at] == hashes):
-            p = int(p)
-            for length, pieces in self.pieces.items():
-                for k, a in pieces.get(tuple(ids[p : p + length]), ()):
+        get = self.vocabulary.get
+        ids = [x for w in texts for x in (*[get(v, -1) for v in w], -1)]
+        starts = np.cumsum([0] + [len(w) + 1 for w in texts])
+        for length, hashes in _rolled(np.array(ids, np.int64), set(self.pieces)):
+            marked, known = self.filters[length]
+            maybe = np.flatnonzero(marked[hashes >> np.uint64(64 - FILTER_BITS)])
+            at = np.searchsorted(known, hashes[maybe])
+            at[at == len(known)] = 0
+            for p in maybe[known[at] == hashes[maybe]].tolist():
+                for k, a in self.pieces[length].get(tuple(ids[p : p + length]), ()):
                     t = int(np.searchsorted(starts, p, "right")) - 1
                     yield t, k, p - int(starts[t]) - a, a
 
 
-def _rolled(ids: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        out = (out ^ (ids[k : len(ids) - n + 1 + k].astype(np.uint64) + np.uint64(1))) * MIX
+def _rolled(ids: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each wanted length the hashes of all runs of so many words, each length from the one before."""
+    out = np.zeros(len(ids), np.uint64)
+    for k in range(min(max(lengths), len(ids))):
+        out = (out[: len(ids) - k] ^ (ids[k:].astype(np.uint64) + np.uint64(1))) * MIX
         out ^= out >> np.uint64(29)
-    return out
+        if k + 1 in lengths:
+            yield k + 1, out * MIX
 
 
 def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -148,31 +149,32 @@ def matches(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int, i
             yield t, item_id, best[0], best[1] - (back[1] if back else len(pattern)), best[1]
 
 
-def _indexes(benchmark: DataFrame, errors: float) -> Iterator:
-    """Broadcast indexes of the items, in blocks of about ``BLOCK_BYTES`` of text at most."""
+def _blocks(benchmark: DataFrame, errors: float) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast indexes of the items, in blocks of about ``BLOCK_BYTES`` of text at most, and whether there are several."""
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-2 * size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     for k in range(n_blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(block == k).collect()]
-        yield benchmark.sparkSession.sparkContext.broadcast(Index.of(sorted(rows, key=lambda r: (r[0] is None, r)), errors))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.of(sorted(rows, key=lambda r: (r[0] is None, r)), errors)), n_blocks > 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, distance, first_word and end_word of its best place.
 
     An item is held if some stretch of the document's words is within
-    ``errors`` times the item's words (rounded down) of it. Case, punctuation
-    and line breaks do not count. Null and empty texts hold nothing, null and
-    short items (under ``LEAST_WORDS`` words) are held nowhere; of places
-    equally near the first counts; repeated documents or items each give their
-    rows; other columns are ignored; empty tables give an empty result.
+    ``errors`` times the item's words (rounded down) of it; items of few words
+    allow no errors and are sought as they are. Case, punctuation and line
+    breaks do not count. Null and empty texts hold nothing; items without any
+    letter or digit are held nowhere (see :func:`unsought`); of places equally
+    near the first counts; repeated documents or items each give their rows;
+    other columns are ignored; empty tables give an empty result.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, item_id long, distance int, first_word int, end_word int"
     found = None
-    for index in _indexes(benchmark, errors):
+    for index, several in _blocks(benchmark, errors):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -183,15 +185,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
                         yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "distance", "first_word", "end_word"), h, strict=True)) for h in hits], schema=ARROW)
 
         part = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        if several:
+            part = cut(part, "leaks")
+            index.unpersist()
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def unsought(benchmark: DataFrame) -> DataFrame:
+    """item_id of the items that no search can find: null ones and those without any letter or digit."""
+    return benchmark.where(~F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))).select(F.col("item_id").cast("long").alias("item_id"))
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows are dropped where they are, without a shuffle."""
+    """The rows of ``docs`` that hold no benchmark item; rows are dropped where they are, without a shuffle.
+
+    Null and empty texts, repeated rows and all other columns stay; an empty
+    table of documents or items is returned as it is.
+    """
     ship(docs.sparkSession)
-    at = docs.columns.index("text")
-    for index in _indexes(benchmark, errors):
+    at, own = docs.columns.index("text"), []
+    for index, several in _blocks(benchmark, errors):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -201,7 +215,13 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS)
                         clean[low + t] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        left = docs.mapInArrow(run, docs.schema)
+        if several:
+            left = cut(left, "without-leaks")
+            index.unpersist()
+            discard(*own)
+            own = [left]
+        docs = left
     return docs
 
 

@@ -11,11 +11,11 @@ any prefix of the schedule holds the target mix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, row_key, table, words
+from tidewake.llm.common import cut, row_name, table, words
 
 #: 2**32 divided by the golden ratio, odd.
 GOLDEN = 2_654_435_769
@@ -75,7 +75,7 @@ def schedule(sources: DataFrame, block_words: int, n_slots: int, max_repeats: in
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, max_slots: int = 1 << 20) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, max_slots: int = 1 << 20, name: Column | None = None) -> DataFrame:
     """Words that the mix takes from each document: doc_id, source, size, source_size, target, taken.
 
     The mix has as many words as the corpus. A block has ``ceil(all words /
@@ -85,11 +85,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     Null and empty texts have size 0 and give nothing; a null source is a
     source of its own; repeated rows are documents of their own; an empty
     table gives an empty result. Reruns agree, since the shuffle is a hash of
-    doc_id (ties: doc_id, size).
+    doc_id (ties: doc_id, size). ``name`` may stand in for doc_id.
     """
     by_row = ["doc_id", "source", "size"]
     sizes = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size")),
+        docs.select((F.col("doc_id").cast("long") if name is None else name).alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size")),
         "mix-sizes",
     )
     sources = cut(source_targets(sizes, weights, max_repeats), "mix-sources")
@@ -116,12 +116,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: each as often as its words are taken, rounded; not at all below half."""
-    keyed = docs.withColumn("mix_key", row_key("doc_id", "text", "source"))
-    copies = mix(keyed.select(F.col("mix_key").alias("doc_id"), "text", "source")).where("taken > 0")
-    copies = copies.groupBy(F.col("doc_id").alias("mix_key")).agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("mix_copies"))
-    one = keyed.join(copies.where("mix_copies > 0"), "mix_key").withColumn("mix_row", F.row_number().over(W.partitionBy("mix_key").orderBy("doc_id")))
-    return one.where("mix_row = 1").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """The rows of ``docs`` as the mix takes them: each as often as its words are taken, rounded; not at all below half.
+
+    Rows keep all their columns, of whatever name. Rows of equal doc_id, text
+    and source are taken together: one of them stands for all, as often as all
+    are taken. Texts without words are never taken; an empty table gives an
+    empty one.
+    """
+    name = row_name("doc_id", "text", "source")
+    copies = mix(docs, name=name).where("taken > 0")
+    copies = copies.groupBy(F.col("doc_id").alias("name")).agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("copies")).where("copies > 0")
+    one = docs.select(F.struct("*").alias("row"), name.alias("name")).join(copies, "name")
+    first = F.row_number().over(W.partitionBy("name").orderBy(F.lit(1)))
+    return one.withColumn("place", first).where("place = 1").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

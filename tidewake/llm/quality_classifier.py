@@ -21,17 +21,17 @@ FOLDS = 5
 CUTOFF = 0.3
 
 
-def text_statistics(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``kept`` columns and ``x1..xd`` of every document, from its whole text alone; zeros where a text has no words."""
+def text_statistics(docs: DataFrame, carried: Column | None = None) -> DataFrame:
+    """``x1..xd`` of every document, from its whole text alone, and ``carried`` (doc_id if not given) as the column ``carried``; zeros where a text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(*kept, text.alias("t"), words(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE_RUN[:-1].replace("[", "[^"))).alias("lines"))
+    d = docs.select((F.col("doc_id") if carried is None else carried).alias("carried"), text.alias("t"), words(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE_RUN[:-1].replace("[", "[^"))).alias("lines"))
     n, chars = F.size("w"), F.length("t")
 
     def without(pattern: str) -> Column:
         return chars - F.length(F.regexp_replace("t", pattern, ""))
 
     d = d.select(
-        *kept, n.alias("n_words"), chars.alias("length"), F.length(F.array_join("w", "")).alias("inside"), F.size(F.array_distinct("w")).alias("distinct"),
+        "carried", n.alias("n_words"), chars.alias("length"), F.length(F.array_join("w", "")).alias("inside"), F.size(F.array_distinct("w")).alias("distinct"),
         without(r"[#*$%&<>]").alias("symbols"), without(r"\|").alias("bars"), without("!").alias("shouts"), without(r"\p{Lu}").alias("upper"), without(r"[0-9]").alias("digits"),
         F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("dup_lines"), without(r"[.,;:?]").alias("stops"),
     )
@@ -47,7 +47,7 @@ def text_statistics(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",)) -> Dat
         rate("digits", "length"), share("distinct", "n_words") * F.log1p("n_words"), rate("dup_lines", "n_lines"), rate("stops", "n_words"), F.log1p(share("n_words", "n_lines")),
     ]
     xs[1] = F.least(xs[1], F.lit(40.0))
-    return d.select(*kept, *(x.alias(f"x{k}") for k, x in enumerate(xs, 1)))
+    return d.select("carried", *(x.alias(f"x{k}") for k, x in enumerate(xs, 1)))
 
 
 @dataclass(frozen=True)
@@ -98,20 +98,26 @@ def fit(rows: DataFrame, shrink: float = 0.3, ridge: float = 0.02) -> Discrimina
     return Discriminant(None, tuple(means), tuple(inverses), tuple(offsets))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant]:
-    """Statistics of all documents (doc_id, held_out, x1..xd) and the model fitted to those not held out."""
-    x = cut(text_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "classifier-statistics")
+def learn(docs: DataFrame, labels: DataFrame, carried: Column | None = None) -> tuple[DataFrame, Discriminant]:
+    """Statistics of all documents (doc_id, held_out, carried if given, x1..xd), written once, and the model fitted to those not held out."""
+    more = [] if carried is None else [carried.alias("carried")]
+    x = cut(text_statistics(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), *more)), "classifier-statistics")
+    x = x.select("carried.*", *(c for c in x.columns if c != "carried"))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(True))
     known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    return x.withColumn("held_out", held_out), fit(x.where(~held_out).join(known, "doc_id").drop("doc_id"))
+    return x.withColumn("held_out", held_out), fit(x.where(~held_out).drop("carried").join(known, "doc_id").drop("doc_id"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
-    kept = tuple(docs.columns)
-    _, model = learn(docs, labels)
-    x = text_statistics(docs, kept)
-    return x.where(model.score([F.col(c) for c in x.columns[len(kept):]]) >= cutoff).select(*kept)
+    """The rows of ``docs`` that the classifier does not reject, as they are, with all their columns of whatever name.
+
+    The rows are written once with their statistics, so that texts are looked
+    at once. Null and empty texts are scored as texts without words, repeated
+    rows alike; without labels of both kinds all rows share one score; an
+    empty table gives an empty one.
+    """
+    x, model = learn(docs, labels, F.struct("*"))
+    return x.where(model.score([F.col(c) for c in x.columns if c.startswith("x")]) >= cutoff).select("carried.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, row_key, ship, table
+from tidewake.llm.common import cut, row_name, ship, table
 from tidewake.llm.components import connected_components
 
 SEED = 42
@@ -310,7 +310,7 @@ def _met(rows: DataFrame, name: str) -> DataFrame:
 def _exact_links(docs: DataFrame, items: DataFrame, maybe: DataFrame) -> DataFrame:
     """Links (a, b) that connect all items of one group of ``maybe`` whose sets of shingles are similar."""
     wanted = items.join(maybe, items["item"] == maybe["node"]).groupBy("item").agg(F.min("key").alias("wanted_key"))
-    texts = docs.select(row_key("doc_id", "text").alias("wanted_key"), "text").join(wanted, "wanted_key").select("item", "text")
+    texts = docs.select(row_name("doc_id", "text").alias("wanted_key"), "text").join(wanted, "wanted_key").select("item", "text")
     sets = cut(texts.dropDuplicates(["item"]).mapInArrow(_hash_sets, "item long, hashes binary"), "shingles")
     met = _met(maybe.select(F.col("node").alias("item"), F.col("component").alias("bucket")), "item")
     return met.join(sets, "item").select("bucket", "item", "hashes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified, "a long, b long")
@@ -326,11 +326,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     near fingerprints, and sketches of 128 minimal hashes that agree in 0.65
     join texts to groups. These only say who may be alike: within a group all
     sets of shingle hashes are compared exactly, and links of 0.8 decide. Texts
-    without words are copies of each other.
+    without words are copies of each other. Rows keep all their columns, of
+    whatever name; of rows with equal doc_id and text one stays; an empty table
+    gives an empty one.
     """
     ship(docs.sparkSession)
-    rows = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = cut(rows.mapInArrow(_sketches, "key long, doc_id long, item long, fp long, sketch binary, bands array<long>"), "sketches")
+    rows = docs.select(row_name("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items = cut(rows.mapInArrow(_sketches, "key string, doc_id long, item long, fp long, sketch binary, bands array<long>"), "sketches")
     met = _met(items.select("item", F.explode("bands").alias("bucket")).distinct(), "item")
     info = items.groupBy("item").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
     links_ = met.join(info, "item").select("bucket", "item", "fp", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_similar, "a long, b long")
@@ -338,9 +340,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     grouped = cut(connected_components(_exact_links(docs, items, maybe)), "copy-groups")
     named = items.select("key", "doc_id", "item").join(grouped, items["item"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "item"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
-    chosen = named.groupBy("component").agg(first).select(F.col("first.key").alias("chosen_key"))
-    met_docs = docs.withColumn("chosen_key", row_key("doc_id", "text")).join(chosen, "chosen_key")
-    return met_docs.withColumn("chosen_row", F.row_number().over(W.partitionBy("chosen_key").orderBy("doc_id"))).where("chosen_row = 1").select(*docs.columns)
+    chosen = named.groupBy("component").agg(first).select(F.col("first.key").alias("name"))
+    met = docs.select(F.struct("*").alias("row"), row_name("doc_id", "text").alias("name"), F.col("doc_id").alias("id")).join(chosen, "name")
+    return met.withColumn("place", F.row_number().over(W.partitionBy("name").orderBy("id"))).where("place = 1").select("row.*")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
