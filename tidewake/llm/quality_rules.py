@@ -4,8 +4,8 @@ Words and word pairs are hashed into a fixed number of buckets. Two
 multinomials over the buckets are counted: one of a trusted target (documents
 labelled good), one of the whole raw corpus. A document's score is the mean,
 over its n-grams, of log p_target - log p_raw; it is kept if it passes the base
-rules and its score reaches a fixed threshold, so equal texts get equal
-verdicts whatever else is in the batch.
+rules and its score reaches a fixed threshold. Equal texts of one corpus get
+equal verdicts; with ratios counted before, verdicts depend on the text alone.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from tidewake.llm.common import SPACE_RUN, cut, table, words
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 THRESHOLD = -0.1
-#: At most so many labelled documents (those of the smallest hashes) make the trusted target.
-TARGET_DOCS = 20_000
 #: Log ratios are added up as integers, so a score does not depend on the order of addition.
 UNIT = 1_000_000
 SYMBOLS = r"[#*$%&|<>]"
@@ -34,55 +32,59 @@ def grams(hashes: Column) -> Column:
     return F.concat(F.transform(hashes, lambda x: _bucket(x)), F.transform(hashes, lambda x, i: _bucket(F.xxhash64(x, F.get(hashes, i + 1)))))
 
 
-def target_ids(labels: DataFrame, limit: int = TARGET_DOCS) -> DataFrame:
-    """doc_id of the trusted documents: labelled good, the ``limit`` smallest hashes (ties: doc_id)."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(limit)
+def _counts(docs: DataFrame, name: str) -> DataFrame:
+    """(bucket, name): n-grams of all texts by bucket; each task sends ``BUCKETS`` rows at most."""
+    hashes = docs.select(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return hashes.select(F.explode(grams(F.col("h"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The ``BUCKETS`` rows (bucket, ratio), the log ratio in millionths.
+def log_ratios(docs: DataFrame, labels: DataFrame) -> list[int]:
+    """The log ratio of each of the ``BUCKETS`` buckets, in millionths.
 
-    Raw counts cover every document. Only ``BUCKETS`` rows per task are
-    shuffled, as counts are combined first. Without any trusted word all
-    ratios are 0.
+    Raw counts cover every document, target counts every document that is
+    labelled good, whatever their number: ids and labels meet in an ordinary
+    semi join. Without any trusted word all ratios are 0.
     """
-    known = docs.select("doc_id", "text").join(F.broadcast(target_ids(labels)), F.col("doc_id") == F.col("trusted_id"), "left")
-    hashes = known.select(F.col("trusted_id").isNotNull().cast("long").alias("trusted"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    listed = hashes.select("trusted", F.explode(grams(F.col("h"))).alias("bucket"))
-    counts = cut(listed.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target")), "rule-counts")
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("trusted_id"))
+    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    both = _counts(docs, "raw").join(_counts(trusted, "target"), "bucket", "left").fillna(0, ["target"])
+    counts = cut(both, "rule-counts")
     totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
+    if not totals["target"]:
+        return [0] * BUCKETS
 
     def log_share(count: str, total: int) -> Column:
         return F.log((F.coalesce(F.col(count), F.lit(0)) + SMOOTHING) / (total + SMOOTHING * BUCKETS))
 
-    ratio = log_share("target", totals["target"]) - log_share("raw", totals["raw"]) if totals["target"] else F.lit(0.0)
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    return every.join(counts, "bucket", "left").select("bucket", F.round(ratio * UNIT).cast("long").alias("ratio"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    ratio = log_share("target", totals["target"]) - log_share("raw", totals["raw"])
+    found = every.select("bucket", F.round(ratio * UNIT).cast("int").alias("ratio")).orderBy("bucket").collect()
+    return [r["ratio"] for r in found]
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, ratios: list[int] | None = None) -> DataFrame:
     """Counts, base verdict, score and verdict of every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept and score. Null and empty texts have no
     words: all counts 0, score 0, base_failed. Repeated rows are judged alike.
-    Labels of unknown documents, null labels and other columns are ignored.
-    Each column that a lambda reads more than once is projected first, so that
+    Labels of unknown documents, null labels and other columns are ignored; an
+    empty table gives an empty result. ``ratios`` (see :func:`log_ratios`) may
+    come from another corpus; the labels are then not needed. They are one
+    constant array of the plan, over which each text's n-grams are summed where
+    the text is, so nothing is shuffled. Each column that a lambda reads more than once is projected first, so that
     it is not computed again for every element.
     """
     text, space = F.coalesce(F.col("text"), F.lit("")), SPACE_RUN[:-1]
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(space.replace("[", "[^")))
     d = docs.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         words(text).alias("w"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
-    counted = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    counted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     d = d.select(
-        "row",
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -99,12 +101,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     d = d.select(*counted, "grams", F.sort_array(F.transform(same, lambda e: e["i"])).alias("at"))
     new = F.transform("at", lambda p, j: F.least(F.lit(5), p - F.coalesce(F.get(F.col("at"), j - 1), p - 5)))
     d = d.withColumn("n_repeat_words", F.coalesce(F.aggregate(new, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
-    d = d.select(*counted, "n_repeat_words", F.explode_outer("grams").alias("bucket"))
-    d = d.join(F.broadcast(log_ratios(docs, labels)), "bucket", "left")
-    d = d.groupBy(*counted, "n_repeat_words").agg(F.sum("ratio").alias("sum"))
+    known = F.split(F.lit(",".join(map(str, log_ratios(docs, labels) if ratios is None else ratios))), ",").cast("array<int>")
+    d = d.withColumn("sum", F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.get(known, g)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     score = F.coalesce(F.try_divide(F.col("sum"), 2 * UNIT * F.col("n_words")), F.lit(0.0))
-    return d.select(*counted[1:], "n_repeat_words", failed.alias("base_failed"), (~failed & (score >= threshold)).alias("kept"), score.alias("score"))
+    return d.select(*counted, "n_repeat_words", failed.alias("base_failed"), (~failed & (score >= threshold)).alias("kept"), score.alias("score"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
