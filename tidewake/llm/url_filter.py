@@ -49,20 +49,39 @@ def address(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(path_of(url), r"/+$", ""), query))
 
 
+def _resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    ends_in_folder = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends_in_folder & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def targets(url: Column, html: Column) -> Column:
-    """Absolute targets of a page's canonical link and meta refresh (unique, without nulls)."""
-    scheme = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"))
+    """Absolute targets of a page's canonical links and meta refreshes (unique, without nulls); other schemes and bare fragments are none."""
+    scheme, here = F.regexp_extract(url, r"(?s)^(.*?)://", 1), path_of(url)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.regexp_replace(here, r"[^/]*$", "")
 
     def absolute(to: Column) -> Column:
+        path, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
         return (
-            F.when(to.contains("://"), to)
-            .when(to.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), to))
-            .when(to.startswith("/"), F.concat(scheme, host_of(url), to))
+            F.when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+            .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+            .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$"), None)
+            .when(to.startswith("?"), F.concat(site, here, to))
+            .when(to.startswith("/"), F.concat(site, _resolved(path), rest))
+            .otherwise(F.concat(site, _resolved(F.concat(folder, path)), rest))
         )
 
-    canonical = absolute(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1))
-    refresh = absolute(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
-    return F.when(html.rlike("(?i)canonical|refresh"), F.array_compact(F.array_distinct(F.array(canonical, refresh))))
+    def of(tag: str, target: str) -> Column:
+        return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: absolute(F.regexp_extract(x, target, 1)))
+
+    return F.when(html.rlike("(?i)canonical|refresh"), F.array_compact(F.array_distinct(F.concat(of(CANONICAL, HREF), of(REFRESH, REFRESH_URL)))))
 
 
 def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataFrame:
