@@ -1,11 +1,13 @@
 """Suffix arrays by induced sorting and permuted common prefixes, in numpy.
 
 Suffixes are classified as S (smaller than the next) or L; the leftmost S ones
-(LMS) are sorted by sorting their substrings, naming them and ordering the
-string of names; all others follow from them in two linear scans. A scan takes
+(LMS) are sorted by sorting their substrings and naming them; unless all names
+differ, the suffixes of the string of names are sorted in the same way, and all
+others follow from them in two linear scans. Over a small alphabet a scan takes
 a bucket of equal first characters at a time: all entries of it that are known
 push their predecessors in order, those that fall into the bucket itself make
-the next wave.
+the next wave. Names have about as many buckets as entries, so their scans take
+one entry at a time.
 """
 
 from __future__ import annotations
@@ -13,29 +15,26 @@ from __future__ import annotations
 import numpy as np
 
 NONE = np.uint16(0xFFFF)
+#: Buckets are scanned as arrays if they are few and have about so many entries at least.
+MOST_BUCKETS, ENTRIES = 4096, 64
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a uint16 array whose last element is 0 and the only 0."""
+    """Suffix array of an array of small non-negative integers whose last element is 0 and the only 0."""
     n = len(text)
     if n < 3:
         return np.argsort(text, kind="stable").astype(np.int32)
-    s_type = _s_types(text)
+    s_type, counts = _s_types(text), np.bincount(text)
     lms = np.flatnonzero(s_type & np.r_[False, ~s_type[:-1]]).astype(np.int32)
-    before = np.r_[NONE, text[:-1]]
-    pred_s = np.where(np.r_[False, s_type[:-1]], before, NONE)
-    pred_l = np.where(np.r_[False, ~s_type[:-1]], before, NONE)
-    counts = np.bincount(text)
-    ends = np.cumsum(counts)
-    frame = (text, pred_l, pred_s, ends - counts, ends)
+    induce = _by_buckets if len(counts) <= MOST_BUCKETS and n >= ENTRIES * len(counts) else _by_entries
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    rough = _induce(*frame, lms)
+    rough = induce(text, s_type, counts, lms)
     by_substring = rough[is_lms[rough]]
     names, distinct = _names(text, lms, by_substring)
     if distinct < len(lms):
-        by_substring = lms[order_of_names(names)]
-    return _induce(*frame, by_substring)
+        by_substring = lms[suffix_array(names)]
+    return induce(text, s_type, counts, by_substring)
 
 
 def _s_types(text: np.ndarray) -> np.ndarray:
@@ -50,8 +49,35 @@ def _s_types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _induce(text, pred_l, pred_s, starts, ends, lms) -> np.ndarray:
-    """The array that the given order of LMS positions induces."""
+def _by_entries(text, s_type, counts, lms) -> np.ndarray:
+    """The array that the given order of LMS positions induces, an entry at a time."""
+    chars, smaller, ends = text.tolist(), s_type.tolist(), np.cumsum(counts)
+    sa, tails, heads = [-1] * len(chars), ends.tolist(), (ends - counts).tolist()
+    for p in reversed(lms.tolist()):
+        c = chars[p]
+        tails[c] -= 1
+        sa[tails[c]] = p
+    for p in sa:
+        if p > 0 and not smaller[p - 1]:
+            c = chars[p - 1]
+            sa[heads[c]] = p - 1
+            heads[c] += 1
+    tails = ends.tolist()
+    for i in range(len(sa) - 1, -1, -1):
+        p = sa[i]
+        if p > 0 and smaller[p - 1]:
+            c = chars[p - 1]
+            tails[c] -= 1
+            sa[tails[c]] = p - 1
+    return np.array(sa, np.int32)
+
+
+def _by_buckets(text, s_type, counts, lms) -> np.ndarray:
+    """The same a bucket at a time."""
+    before, ends = np.r_[NONE, text[:-1]], np.cumsum(counts)
+    pred_s = np.where(np.r_[False, s_type[:-1]], before, NONE)
+    pred_l = np.where(np.r_[False, ~s_type[:-1]], before, NONE)
+    starts = ends - counts
     sa = np.empty(len(text), np.int32)
     first = text[lms]
     order = np.argsort(first, kind="stable")
@@ -114,43 +140,6 @@ def _names(text, lms, by_substring):
     return rank[lms], int(len(by_substring) - np.count_nonzero(same))
 
 
-def order_of_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string over a large alphabet: names are merged into names of twice the length until all differ."""
-    m = len(names)
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    rank = _settle(rank, order, rank[order])
-    width = 1
-    tied = np.flatnonzero(_tied(rank[order]))
-    while len(tied):
-        at = order[tied]
-        follow = np.full(len(at), -1, np.int64)
-        inside = at + width < m
-        follow[inside] = rank[at[inside] + width]
-        key = rank[at] * (m + 1) + follow + 1
-        local = np.argsort(key)
-        at, key = at[local], key[local]
-        order[tied] = at
-        new_group = np.r_[True, key[1:] != key[:-1]]
-        rank[at] = tied[np.maximum.accumulate(np.where(new_group, np.arange(len(at)), 0))]
-        tied = tied[~(new_group & np.r_[new_group[1:], True])]
-        width *= 2
-    return order
-
-
-def _settle(rank, order, ordered):
-    """Ranks as the place of the first equal element, so that they stay valid while ties are broken."""
-    heads = np.r_[True, ordered[1:] != ordered[:-1]]
-    out = np.empty(len(rank), np.int64)
-    out[order] = np.maximum.accumulate(np.where(heads, np.arange(len(rank)), 0))
-    return out
-
-
-def _tied(ordered):
-    same = np.r_[False, ordered[1:] == ordered[:-1]]
-    return same | np.r_[same[1:], False]
-
-
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each position: its lexicographic predecessor (itself for the first) and their common prefix.
 

@@ -37,7 +37,7 @@ SLAB = 1 << 18
 SHARD = 3 << 20
 #: Longer texts are taken in overlapping stretches of so many bytes.
 STRETCH = 1 << 22
-#: The bitmap of texts has at most this many rows of 64 bits.
+#: The bitmap of texts has at most this many rows of 64 bits; beyond some ten million marked texts it lets nearly all pass, and the join on keys alone decides.
 BITMAP_ROWS = 1 << 18
 WHOLE = 1 << 30
 
@@ -302,6 +302,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     A key names a row's content. Should different rows share one, they get
     each other's contexts too, which do no harm, as they are looked up by hash.
+    Equal rows are made one before their contexts are fetched, so that no
+    context comes to its shard more than once.
     """
     texts = docs.select(row_key("doc_id", "text").alias("key"), "text").where(F.octet_length("text") >= LENGTH)
     occurs = cut(texts.mapInArrow(_occurrences, "key long, h long, ctx long, n int"), "occurrences")
@@ -310,7 +312,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     repeated = cut(merged.join(anchors, "h").select("h", "ctx", "n", "key", "kinds"), "contexts")
 
     wanted = repeated.where("kinds > 1").groupBy("key").agg(F.collect_list(F.struct("h", "ctx", "n", (F.col("kinds") > CAP).alias("split"))).alias("wanted"))
-    holders = _marked(texts, _bitmap(repeated.where("kinds > 1").select("key"))).where("marked").select("key", "text")
+    holders = _marked(texts, _bitmap(repeated.where("kinds > 1").select("key"))).where("marked").select("key", "text").distinct()
     pieces = cut(holders.join(wanted, "key").select("text", "wanted").mapInArrow(_fetch, PIECES), "pieces")
 
     contexts_ = pieces.where("grp = h AND id = ctx").select("grp", "id", "n", "piece")
@@ -354,4 +356,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumn("repeated", F.col("n_removed") > 0)
