@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -166,17 +167,19 @@ def test_decontamination(spark, docs, nothing):
             at = rng.randrange(len(w))
             w[at : at + 1] = rng.choice([[], ["zzz"], [w[at], "zzz"]])
         items.append((k, " ".join(w).upper() if k % 2 else ", ".join(w)))
-    items += [(100, None), (101, ""), (102, "the the"), (None, items[0][1]), (0, items[0][1])]
+    items += [(100, None), (101, ""), (102, "the the"), (103, "?! --"), (104, " ".join(words(clean[0][1])[3:7])), (105, "日本語"), (None, items[0][1]), (0, items[0][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     expected = Counter()
     for r in ROWS:
         for i, t in items:
             p, w = decontamination.words_of(t), decontamination.words_of(r[1])
-            if len(p) >= decontamination.LEAST_WORDS and w:
+            if p and w:
                 d = word_distance(p, w)
                 if d <= int(decontamination.ERRORS * len(p)):
                     expected[(r[0], i, d)] += 1
     assert got(decontamination.leaks(docs, benchmark), "doc_id", "item_id", "distance") == expected
+    assert expected[(clean[0][0], 104, 0)] and any(k[1] == 105 for k in expected) and any(k[1] == 102 for k in expected)
+    assert sorted(r["item_id"] for r in decontamination.unsought(benchmark).collect()) == [100, 101, 103]
     leaky = {(d, t) for d, t, *_ in ROWS if any(k[0] == d for k in expected)}
     kept = decontamination.without_leaks(docs, benchmark)
     assert kept.columns == docs.columns and 0 < kept.count() < len(ROWS) and len(leaky) > 5
@@ -186,8 +189,10 @@ def test_decontamination(spark, docs, nothing):
 def test_decontamination_in_blocks(docs, spark, monkeypatch):
     benchmark = spark.createDataFrame([(k, r[1]) for k, r in enumerate(ROWS[:8])], "item_id long, text string")
     whole = got(decontamination.leaks(docs, benchmark), "doc_id", "item_id", "distance")
+    kept = got(decontamination.without_leaks(docs, benchmark), "doc_id", "text")
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
     assert got(decontamination.leaks(docs, benchmark), "doc_id", "item_id", "distance") == whole
+    assert got(decontamination.without_leaks(docs, benchmark), "doc_id", "text") == kept and docs.count() == len(ROWS)
 
 
 # ---------------------------------------------------------------- 3
@@ -205,7 +210,7 @@ def test_classifier_against_numpy(docs, labels):
     for r in labels.collect():
         if r["quality"] in (0, 1) and r["doc_id"] is not None:
             kept[r["doc_id"]] = max(kept.get(r["doc_id"], 0), r["quality"])
-    x = [(r["doc_id"], np.array([r[f"x{k}"] for k in range(1, 12)])) for r in quality_classifier.text_statistics(docs).collect()]
+    x = [(r["carried"], np.array([r[f"x{k}"] for k in range(1, 12)])) for r in quality_classifier.text_statistics(docs).collect()]
     train = [(v, kept[i]) for i, v in x if i in kept and zlib.crc32(str(i).encode()) % 5]
     per = [np.array([v for v, y in train if y == k]) for k in (0, 1)]
     cov = [np.cov(p.T, bias=True) for p in per]
@@ -216,6 +221,59 @@ def test_classifier_against_numpy(docs, labels):
     assert np.allclose(sorted(r["score"] for r in quality_classifier.classify(docs, labels).collect()), expected, atol=1e-6)
 
 
+def plain_statistics(t):
+    t = t or ""
+    w, lines = words(t), [x for x in t.split("\n") if WORD.search(x)]
+    n, m = max(1, len(w)), max(1, len(lines))
+
+    def rate(count, whole):
+        return math.log1p(50 * count / whole) if whole else 0.0
+
+    def having(pattern):
+        return len(re.findall(pattern, t))
+
+    upper = sum(unicodedata.category(c) == "Lu" for c in t)
+    return [
+        math.log1p(len(w)), min(40.0, sum(map(len, w)) / n), rate(having(r"[#*$%&<>]"), len(w)), rate(t.count("|"), len(w)), rate(t.count("!"), len(w)), rate(upper, len(t)), rate(having("[0-9]"), len(t)),
+        len(set(w)) / n * math.log1p(len(w)), rate(len(lines) - len(set(lines)), m if lines else 0), rate(having(r"[.,;:?]"), len(w)), math.log1p(len(w) / m) if lines else 0.0,
+    ]
+
+
+def test_text_statistics(docs):
+    found = sorted((r["carried"] or -1, [round(r[f"x{k}"], 9) for k in range(1, 12)]) for r in quality_classifier.text_statistics(docs).collect())
+    assert found == sorted((r[0] or -1, [round(x, 9) for x in plain_statistics(r[1])]) for r in ROWS)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, t string, w string, lines string, carried string, x1 string, name string, row string, place string, copies string, label string, mix_key string, chosen_key string"
+
+
+def test_stages_keep_columns_of_any_name(spark, labels):
+    d = spark.createDataFrame([(*r[:5], *(f"{c}{i}" for c in "abcdefghijkl")) for i, r in enumerate(ROWS)], CLASHING)
+    given = {r["chosen_key"]: r for r in d.collect()}
+    for stage in (lambda: quality_classifier.accepted(d, labels, 0.01), lambda: simhash.one_of_each(d), lambda: mixing.mixed(d), lambda: decontamination.without_leaks(d, d.select(F.lit(1).alias("item_id"), F.lit("not there at all").alias("text")))):
+        out = stage()
+        assert out.columns == d.columns
+        rows = out.collect()
+        assert rows and all(given[r["chosen_key"]] == r for r in rows)
+
+
+def test_long_texts(spark, labels):
+    """Texts of some megabytes, as one line and as many."""
+    rng = random.Random(12)
+    parts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)) for _ in range(150)]
+    notice = license_scan.TEMPLATES[0][1]
+    texts = [" ".join([*parts, notice]), "\n".join([*parts[::-1], notice]), None, ""]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    n = 150 * 2000 + 7
+    assert {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality_rules.judge(d, labels).collect()} == {0: (n, 0), 1: (n, 0), 2: (0, 0), 3: (0, 0)}
+    assert {r["doc_id"] for r in quality_classifier.classify(d, labels).collect()} == {0, 1, 2, 3}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(d).collect()} == {0: n, 1: n, 2: 0, 3: 0}
+    assert {(r["doc_id"], r["license"], r["dice"]) for r in license_scan.scan(d).collect()} == {(0, "Apache-2.0", 1.0), (1, "Apache-2.0", 1.0)}
+    assert {r["doc_id"]: r["size"] for r in sharding.shard_documents(d).collect()} == {0: len(texts[0]) + 1, 1: len(texts[1]) + 1, 2: 1, 3: 1}
+    assert {r["doc_id"]: r["n_removed"] > 2_000_000 for r in suffix_dedup.remove_repeats(d).collect()} == {0: True, 1: True, 2: False, 3: False}
+    assert {r["doc_id"] for r in decontamination.leaks(d, spark.createDataFrame([(1, parts[7][100:400])], "item_id long, text string")).collect()} == {0, 1}
+
+
 def test_classifier_without_enough_labels(docs, labels, nothing):
     r = quality_classifier.classify(docs, labels.where("quality = 1")).collect()
     assert len(r) == len(ROWS) and len({x["score"] for x in r}) == 1
@@ -253,7 +311,9 @@ def test_mix(docs, nothing):
 
 def test_mixed_rows(docs):
     rows = Counter(r["doc_id"] for r in mixing.mixed(docs.where("doc_id >= 20")).collect())
-    taken = {r["doc_id"]: r for r in mixing.mix(docs.where("doc_id >= 20").withColumn("doc_id", F.xxhash64("doc_id", "text", "source"))).collect()}
+    from tidewake.llm.common import row_name
+
+    taken = {r["doc_id"]: r for r in mixing.mix(docs.where("doc_id >= 20"), name=row_name("doc_id", "text", "source")).collect()}
     assert sum(rows.values()) == sum(math.floor(r["taken"] / r["size"] + 0.5) for r in taken.values() if r["size"])
 
 
@@ -273,6 +333,16 @@ def test_token_counts(docs, nothing):
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
+def test_token_counts_of_another_kind_of_tokenizer(tmp_path):
+    """A file that does not cut texts as byte-level BPE does goes through the library whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    assert token_counts.count_tokens([r[1] for r in ROWS], path, {}) == [len(t.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS]
+
+
 def test_token_cache_limit(monkeypatch):
     import public_tokenizers
 
@@ -375,29 +445,41 @@ def test_components(spark):
 # ---------------------------------------------------------------- 7
 
 
+def best_windows(t):
+    """The best window of each template in a text, over all windows that begin and end anywhere."""
+    w = re.findall("[a-z0-9]+", t.lower())
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    for k, (name, text) in enumerate(license_scan.TEMPLATES):
+        own, best = set(license_scan.bigrams(text)), None
+        for i, first in enumerate(grams):
+            held = set()
+            for j in range(i, min(len(grams), i + 2 * len(own)) if first in own else i):
+                held |= {grams[j]} & own
+                dice = 2 * len(held) / (j - i + 1 + len(own))
+                if dice >= 0.8 and (best is None or dice > best[0]):
+                    best = (dice, i, j + 2)
+        if best:
+            yield (name, k, *best)
+
+
 def test_license_scan(spark, nothing):
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 200)
+    gpl = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and len(t) > 100)
     lines = [
         "LICENSED under the Apache license - version 2.0", "Licensed under a bakery license", "Released under the MIT License", "mit", "Some words. " * 9, "",
-        "Licensed under CC BY-SA 4.0.", license_scan.TEMPLATES[5][1],
+        "Licensed under CC BY-SA 4.0.", mit,
+    ]
+    comment = "/*\n" + "\n".join(f" * {mit[i : i + 60]}" for i in range(0, len(mit), 60)) + "\n *\n * More of the file is told here.\n */"
+    texts = [
+        "\n".join(lines), None, "", "Licensed under the\nApache License,\nVersion 2.0.\n\nanother paragraph", mit.replace(" to ", "\n to ", 3), comment, "# " + gpl.replace(", ", ",\n# ") + " # end",
+        "The figures in this chapter were drawn by the authors. Licensed under CC BY 4.0.", "See the file. This project is licensed under the MIT License. Contributions are welcome.", "licensed license software " * 50, f"{mit} {gpl} {mit}",
     ]
-    texts = ["\n".join(lines), None, "", "Licensed under the\nApache License,\nVersion 2.0.\n\nanother paragraph", license_scan.TEMPLATES[5][1].replace(" to ", "\n to ", 3)]
     rows = [(k, t, 1) for k, t in enumerate(texts)] + [(None, lines[2], 1), (0, texts[0], 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string, n long")
-    expected = Counter()
-    for i, t, _ in rows:
-        if t is None:
-            continue
-        paragraphs = re.split(r"\n[\x20\x09\x0B-\x0D]*\n", t.lower())
-        units = [("line", k, x) for k, x in enumerate(t.lower().split("\n"))] + [("paragraph", k, x) for k, x in enumerate(paragraphs) if "\n" in x] + [("text", 0, t.lower())] * (len(paragraphs) > 1)
-        for unit, k, x in units:
-            a = set(license_scan.bigrams(x))
-            for n, (name, text) in enumerate(license_scan.TEMPLATES):
-                b = set(license_scan.bigrams(text))
-                if a and 2 * len(a & b) / (len(a) + len(b)) >= 0.8:
-                    expected[(i, unit, k, name, n, 2 * len(a & b) / (len(a) + len(b)))] += 1
-    assert len(expected) > 6
-    assert got(license_scan.scan(d), "doc_id", "unit", "position", "license", "template", "dice") == expected
-    assert license_scan.scan(nothing).count() == 0
+    expected = Counter((i, *found) for i, t, _ in rows if t is not None for found in best_windows(t))
+    assert len(expected) > 12 and {k[0] for k in expected} >= {0, 3, 4, 5, 6, 7, 8, 10}
+    assert got(license_scan.scan(d), "doc_id", "license", "template", "dice", "first_word", "end_word") == expected
+    assert license_scan.scan(nothing).count() == 0 and license_scan.scan(d, ()).count() == 0
 
 
 def test_marks_cover_every_match():
@@ -434,6 +516,19 @@ def test_url_filter(spark, nothing):
     assert url_filter.filter_urls(d.limit(0), url_filter.rule_table(spark, url_filter.RULES), 5).count() == 0
 
 
+def test_link_targets(spark):
+    base = "https://Host.com/a/b/c?d=1"
+    links = {
+        "page2.html": "https://host.com/a/b/page2.html", "../x": "https://host.com/a/x", "../../../x?q#f": "https://host.com/x?q#f", "?id=3": "https://host.com/a/b/c?id=3", "./": "https://host.com/a/b/", "/r/./s/../t": "https://host.com/r/t",
+        "//other.org/p": "https://other.org/p", "http://x.y/z": "http://x.y/z", "mailto:a@b.c": None, "#top": None, "..": "https://host.com/a/",
+    }
+    rows = [(k, base, f"<link rel='canonical' href='{k}'>") for k in links] + [("both", base, '<link rel=canonical href="u"><LINK href="v" REL="canonical"><meta http-equiv="refresh" content="3; url=w"><meta content="url=/n" http-equiv=Refresh>'), ("none", base, None), ("null", None, "<link rel=canonical href=u>")]
+    d = spark.createDataFrame(rows, "k string, url string, html string").select("k", url_filter.targets(F.col("url"), F.col("html")).alias("t"))
+    found = {r["k"]: r["t"] for r in d.collect()}
+    assert {k: found[k] for k in links} == {k: [v] if v else [] for k, v in links.items()}
+    assert sorted(found["both"]) == ["https://host.com/a/b/u", "https://host.com/a/b/v", "https://host.com/a/b/w", "https://host.com/n"] and found["none"] is None and not found["null"]
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -450,6 +545,51 @@ def brute_removal(texts):
         yield len(t), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(t) else 0, hashlib.sha256(kept).hexdigest()
 
 
+def window_hashes(data, width=400):
+    """Two polynomial hashes of every string of ``width`` bytes, packed in one number; widths are put together from powers of two."""
+    packed = np.zeros(len(data) - width + 1, np.uint64)
+    for base, prime in ((257, 2147483647), (263, 2147483629)):
+        p, h, size, done, offset = np.uint64(prime), data.astype(np.uint64), 1, np.zeros(len(packed), np.uint64), 0
+        while size <= width:
+            if width & size:
+                done = (done * np.uint64(pow(base, size, prime)) + h[offset : offset + len(packed)]) % p
+                offset += size
+            h = (h[: len(h) - size] * np.uint64(pow(base, size, prime)) + h[size:]) % p
+            size *= 2
+        packed = packed << np.uint64(32) | done
+    return packed
+
+
+def test_window_hashes():
+    data = np.random.default_rng(1).integers(0, 3, 900).astype(np.uint8)
+    data[450:] = data[:450]
+    h = window_hashes(data)
+    assert (h[:51] == h[450:]).all() and len(np.unique(h)) == len({data[i : i + 400].tobytes() for i in range(501)})
+
+
+def test_suffix_dedup_of_a_whole_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in d.collect()}
+    ends = np.cumsum([len(t) for t in texts.values()])
+    data = np.frombuffer(b"".join(texts.values()), np.uint8)
+    h = window_hashes(data)
+    of_one = np.zeros(len(h), bool)
+    for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        of_one[a : max(a, b - 399)] = True
+    _, name, count = np.unique(h[of_one], return_inverse=True, return_counts=True)
+    gone = np.zeros(len(data) + 1, int)
+    at = np.flatnonzero(of_one)[count[name] > 1]
+    gone[at] += 1
+    gone[at + 400] -= 1
+    gone = np.cumsum(gone[:-1]) > 0
+    expected = {}
+    for i, t, a, b in zip(texts, texts.values(), np.r_[0, ends[:-1]], ends, strict=True):
+        g = gone[a:b]
+        expected[i] = len(t), int(g.sum()), int((g & ~np.r_[False, g[:-1]]).sum()), hashlib.sha256(data[a:b][~g].tobytes()).hexdigest()
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(d).collect()}
+    assert found == expected and sum(x[1] for x in found.values()) > 1_000_000
+
+
 @pytest.mark.parametrize("cap", [suffix_dedup.CAP, 2])
 def test_suffix_dedup(docs, spark, monkeypatch, cap):
     monkeypatch.setattr(suffix_dedup, "CAP", cap)
@@ -466,6 +606,15 @@ def test_suffix_dedup(docs, spark, monkeypatch, cap):
     assert got(suffix_dedup.remove_repeats(d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+def test_equal_rows_send_their_contexts_once(spark):
+    rng = random.Random(8)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(3))
+    rows = [(7, a + b), (None, a + b)] * 60 + [(8, c + a[100:800])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = Counter((i, *e) for (i, _), e in zip(rows, brute_removal([t.encode() for _, t in rows]), strict=True))
+    assert got(suffix_dedup.remove_repeats(d), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
 def test_suffix_dedup_of_nothing(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
@@ -489,6 +638,9 @@ def test_suffix_arrays():
         order = sorted(range(len(plain)), key=lambda i: plain[i:])
         sa = suffix_array(text)
         assert sa.tolist() == order
+        if trial % 3 == 0:
+            wide = np.r_[rng.integers(1, 40, 3 * len(t)), 0].astype(np.int32)
+            assert suffix_array(wide).tolist() == sorted(range(len(wide)), key=lambda i, w=wide.tolist(): w[i:])
         phi, common = permuted_prefixes(text, sa)
         for a, b in zip(order, order[1:], strict=False):
             k = 0

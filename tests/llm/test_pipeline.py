@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -9,9 +10,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import word_distance
+from tests.llm.test_operators import word_distance, words
 from tidewake.llm import decontamination, mixing, quality_classifier, simhash
-from tidewake.llm.common import cut, table
+from tidewake.llm.common import cut, row_name, table
 
 
 def similarities(texts):
@@ -58,9 +59,16 @@ def test_stages(spark, small):
     assert clean.columns == d.columns and ids(clean) == Counter({r["doc_id"] for r in one.collect()} - held) and held
 
     mixture = cut(mix(spark, clean, small), "test-mix")
-    taken = {r["doc_id"]: r for r in mixing.mix(clean).collect()}
-    assert mixture.columns == d.columns and set(ids(mixture)) <= set(taken)
-    assert sum(r["size"] * ids(mixture)[i] for i, r in taken.items()) > 0.8 * sum(r["size"] for r in taken.values())
+    taken = {r["doc_id"]: r for r in mixing.mix(clean, name=row_name("doc_id", "text", "source")).collect()}
+    copies = ids(mixture)
+    assert mixture.columns == d.columns and {r["doc_id"]: copies[r["doc_id"]] for r in clean.collect()} == {r["doc_id"]: math.floor(t["taken"] / t["size"] + 0.5) if t["size"] else 0 for r in clean.withColumn("name", row_name("doc_id", "text", "source")).collect() for t in [taken[r["name"]]]}
+    words_of, target = Counter(), {r["source"]: r["target"] for r in taken.values()}
+    for r in mixture.collect():
+        words_of[r["source"]] += len(words(r["text"]))
+    longest = max(r["size"] for r in taken.values())
+    for source, want in target.items():
+        # a document is taken whole or not at all, so a source is met to some of its documents
+        assert abs(words_of[source] - want) <= 0.35 * want + 2 * longest
 
     placed = shards(spark, mixture, small)
     assert ids(placed) == ids(mixture) and {r["shard"] for r in placed.collect()} <= set(range(16))

@@ -9,6 +9,7 @@ those summaries alone are added up. The table affects the speed only.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +41,15 @@ def _tools(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, regex.compile(PRE_TOKEN).findall, special, {}
+    return tokenizer, regex.compile(PRE_TOKEN).findall if _is_byte_level(tokenizer) else None, special, {}
+
+
+def _is_byte_level(tokenizer) -> bool:
+    """Whether the file cuts texts as ``PRE_TOKEN`` does and encodes the pieces apart; others are encoded whole by the library."""
+    spec = json.loads(tokenizer.to_str())
+    cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and spec["normalizer"] is None
+    return plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
 
 
 def _encode(tokenizer, pieces: list[str]) -> list[int]:
@@ -59,7 +68,7 @@ def count_tokens(texts: list[str | None], path: str, frequent: dict[str, int]) -
     for text in texts:
         if not text:
             out.append(0)
-        elif any(s in text for s in special):
+        elif split is None or any(s in text for s in special):
             out.append(_encode(tokenizer, [text])[0])
         else:
             pieces = split(text)
@@ -78,6 +87,8 @@ def count_tokens(texts: list[str | None], path: str, frequent: dict[str, int]) -
 def _summaries(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, split, _, _ = _tools(path)
+        if split is None:
+            return
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
