@@ -1,58 +1,5 @@
-"""The corpus pipeline: stages over documents, each reading what the one before kept."""
+"""The corpus pipeline: its stages, its SQL (none can express it) and a run over all of them."""
 
-from __future__ import annotations
+from tidewake.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tidewake.llm.common import cut, table
-from tidewake.llm.decontamination import without_leaks
-from tidewake.llm.mixing import mixed
-from tidewake.llm.quality_classifier import accepted
-from tidewake.llm.sharding import shard_documents
-from tidewake.llm.simhash import one_of_each
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of this stage's input."""
-    return accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest id."""
-    return one_of_each(docs.select(*COLUMNS))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays as often as the mix takes it: not at all, once or several times."""
-    return mixed(docs.select(*COLUMNS))
-
-
-def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row; equal texts share a shard."""
-    return shard_documents(docs)
-
-
-STAGES = [
-    ("quality classifier", quality),
-    ("near-dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("mixing", mixing),
-    ("sharding", sharding),
-]
-
-#: SimHash components and a fitted classifier cannot be written as DuckDB SQL; tests/llm compares each stage with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
