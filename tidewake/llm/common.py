@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from tidewake.shared import discard
 from tidewake.shared import written as cut
 
-__all__ = ["SPACES", "SPACE_RUN", "cut", "discard", "row_key", "row_name", "ship", "table", "words"]
+__all__ = ["SPACES", "SPACE_RUN", "bitmap", "cut", "discard", "marked", "row_key", "row_name", "ship", "table", "words"]
 
 #: Words are maximal runs of characters other than ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: A bitmap of keys has at most this many rows of 64 bits; beyond some ten million keys it lets nearly all rows pass, and the join on keys alone decides.
+BITMAP_ROWS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
+def bitmap(keys: DataFrame) -> DataFrame:
+    """A bounded summary (word, bits) of a column ``key`` of 64-bit hashes."""
+    word = F.pmod(F.col("key"), F.lit(BITMAP_ROWS))
+    bit = F.expr("shiftleft(1L, CAST(shiftright(key, 40) & 63 AS INT))")
+    return keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``: false only if the row's ``key`` is certainly not in the bitmap, which is bounded and broadcast."""
+    found = rows.withColumn("word", F.pmod(F.col("key"), F.lit(BITMAP_ROWS))).join(F.broadcast(bits), "word", "left")
+    return found.withColumn("marked", F.expr("coalesce(shiftright(bits, CAST(shiftright(key, 40) & 63 AS INT)) & 1, 0) = 1")).drop("word", "bits")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application."""
     sc = spark.sparkContext

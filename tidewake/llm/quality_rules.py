@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import SPACE_RUN, cut, table, words
+from tidewake.llm.common import SPACE_RUN, bitmap, cut, marked, table, words
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -42,11 +42,14 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[int]:
     """The log ratio of each of the ``BUCKETS`` buckets, in millionths.
 
     Raw counts cover every document, target counts every document that is
-    labelled good, whatever their number: ids and labels meet in an ordinary
-    semi join. Without any trusted word all ratios are 0.
+    labelled good, whatever their number: a bounded bitmap of their ids drops
+    most other texts where they are, and a semi join by sorting, which needs no
+    side to be small, decides. Without any trusted word all ratios are 0.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("trusted_id"))
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted_id"))
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted_id"), "text").withColumn("key", F.xxhash64("trusted_id"))
+    maybe = marked(named, bitmap(good.select(F.xxhash64("trusted_id").alias("key")))).where("marked").select("trusted_id", "text")
+    trusted = maybe.join(good.hint("merge"), "trusted_id", "left_semi")
     both = _counts(docs, "raw").join(_counts(trusted, "target"), "bucket", "left").fillna(0, ["target"])
     counts = cut(both, "rule-counts")
     totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, row_key, ship, table
+from tidewake.llm.common import bitmap, cut, marked, row_key, ship, table
 from tidewake.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 400
@@ -37,8 +37,6 @@ SLAB = 1 << 18
 SHARD = 3 << 20
 #: Longer texts are taken in overlapping stretches of so many bytes.
 STRETCH = 1 << 22
-#: The bitmap of texts has at most this many rows of 64 bits; beyond some ten million marked texts it lets nearly all pass, and the join on keys alone decides.
-BITMAP_ROWS = 1 << 18
 WHOLE = 1 << 30
 
 _POSITION = np.uint64((1 << 24) - 1)
@@ -285,18 +283,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _bitmap(keys: DataFrame) -> DataFrame:
-    word = F.pmod(F.col("key"), F.lit(BITMAP_ROWS))
-    bit = F.expr("shiftleft(1L, CAST(shiftright(key, 40) & 63 AS INT))")
-    return keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-
-
-def _marked(docs: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """``docs`` with ``marked``: false only if the key is certainly not in the bitmap (which is bounded and broadcast)."""
-    found = docs.withColumn("word", F.pmod(F.col("key"), F.lit(BITMAP_ROWS))).join(F.broadcast(bitmap), "word", "left")
-    return found.withColumn("marked", F.expr("coalesce(shiftright(bits, CAST(shiftright(key, 40) & 63 AS INT)) & 1, 0) = 1")).drop("word", "bits")
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, found): for each text with repeats, its contexts and their repeated bytes.
 
@@ -312,7 +298,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     repeated = cut(merged.join(anchors, "h").select("h", "ctx", "n", "key", "kinds"), "contexts")
 
     wanted = repeated.where("kinds > 1").groupBy("key").agg(F.collect_list(F.struct("h", "ctx", "n", (F.col("kinds") > CAP).alias("split"))).alias("wanted"))
-    holders = _marked(texts, _bitmap(repeated.where("kinds > 1").select("key"))).where("marked").select("key", "text").distinct()
+    holders = marked(texts, bitmap(repeated.where("kinds > 1").select("key"))).where("marked").select("key", "text").distinct()
     pieces = cut(holders.join(wanted, "key").select("text", "wanted").mapInArrow(_fetch, PIECES), "pieces")
 
     contexts_ = pieces.where("grp = h AND id = ctx").select("grp", "id", "n", "piece")
@@ -347,7 +333,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cut(repeated_spans(docs), "found")
-    rows = _marked(docs.withColumn("key", row_key("doc_id", "text")), _bitmap(found.select("key")))
+    rows = marked(docs.withColumn("key", row_key("doc_id", "text")), bitmap(found.select("key")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     hit = rows.where("marked").select("key", "doc_id", "text").join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(_remove, schema)
     text = F.coalesce("text", F.lit(""))
