@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import word_distance, words
@@ -130,6 +131,44 @@ def test_near_copies_are_settled_by_exact_similarity(spark, monkeypatch, part):
     assert left == {100 + 2 * k for k in range(40)} | {1000 + k for k in range(80)} | {2000}
 
 
+def test_large_families_are_settled_in_linear_work(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 8)
+    met_rows = []
+
+    def compared(reach):
+        def run(met):
+            met_rows.append(met.count())
+            x, y = met.alias("x"), met.alias("y")
+            pairs = x.join(y, F.expr("x.bucket = y.bucket and x.item < y.item")).where(reach)
+            return pairs.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
+
+        return run
+
+    def settled(items, reach):
+        met_rows.clear()
+        rows = spark.createDataFrame(items, "bucket long, item long")
+        return {r["node"]: r["component"] for r in simhash._settled(rows, "item", compared(reach), "test").collect()}
+
+    # one family of 400, all alike: parts and leaders meet, and nothing again
+    assert settled([(1, k) for k in range(400)], "true") == dict.fromkeys(range(400), 0)
+    assert len(met_rows) == 1 and met_rows[0] <= 400 + 50 * 25
+    # a family of 400 and ten others that nobody but one member of it, or one of them, is alike with
+    odd = {10_000 + k: 7 * k for k in range(5)} | {20_000 + k: 20_000 + (k + 1) % 5 for k in range(5)}
+    reach = "(x.item < 1000 and y.item < 1000) or " + " or ".join(f"(x.item = {min(p)} and y.item = {max(p)})" for p in odd.items())
+    found = settled([(1, k) for k in [*range(400), *odd]], reach)
+    assert found == dict.fromkeys([*range(400), *range(10_000, 10_005)], 0) | dict.fromkeys(range(20_000, 20_005), 20_000)
+    assert sum(met_rows) <= 10 * 400
+    # chains have no leaders: whatever is not joined at first meets afterwards
+    rng = random.Random(12)
+    items = [(rng.randrange(3), k) for k in range(150)]
+    nodes, label = dict((k, b) for b, k in items), {k: k for _, k in items}
+    linked = [(a, b) for a in nodes for b in range(a + 1, min(a + 4, 150)) if nodes[a] == nodes[b]]
+    for _ in range(150):
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    assert settled(items, "y.item - x.item < 4") == {k: label[k] for k in {k for p in linked for k in p}}
+
+
 def test_repeated_passages_do_not_hide_near_copies(spark):
     rng, texts = random.Random(10), {}
     for k in range(12):

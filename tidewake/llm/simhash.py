@@ -12,7 +12,7 @@ pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import cut, row_name, ship, table
+from tidewake.llm.common import cut, discard, row_name, ship, table
 from tidewake.llm.components import connected_components
 
 SEED = 42
@@ -307,13 +307,52 @@ def _met(rows: DataFrame, name: str) -> DataFrame:
     return met.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), name)
 
 
-def _exact_links(docs: DataFrame, items: DataFrame, maybe: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all items of one group of ``maybe`` whose sets of shingles are similar."""
+def _settled(rows: DataFrame, name: str, compared: Callable[[DataFrame], DataFrame], what: str) -> DataFrame:
+    """(node, component) of different rows (bucket, name); ``compared`` gives the links (a, b) within buckets of a few parts.
+
+    A bucket of one part is compared as it is. Of a larger one every part first
+    meets the first part alone, which links the members of large families. Two
+    members of one component need not meet again, so the largest component of
+    the bucket then meets only the rows outside it: a family of any size costs
+    work in proportion to its size, and every pair of different components is
+    still compared.
+    """
+    rows = cut(rows, what)
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut(counts.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), what)
+
+    def place(parts: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.col(parts)).cast("int")
+
+    parts = F.when(place("parts") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(place("parts")))
+    first = rows.join(sizes, "bucket").select(name, "bucket", F.explode(parts).alias("part")).select(F.xxhash64("bucket", "part").alias("bucket"), name)
+    found = cut(connected_components(compared(first)), what)
+    crowded = sizes.where("parts > 1").select("bucket")
+    if not crowded.isEmpty():
+        joined = rows.join(crowded, "bucket").join(found, F.col(name) == F.col("node"), "left")
+        named = cut(joined.select("bucket", name, F.coalesce("component", name).alias("family")), what)
+        families = named.groupBy("bucket", "family").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "family")).alias("main"), F.sum("n").alias("n"))
+        others = F.ceil((F.col("n") - F.col("main.n")) / PART).cast("int").alias("others")
+        main = cut(families.select("bucket", F.col("main.family").alias("main"), others, F.ceil(F.col("main.n") / PART).cast("int").alias("mains")).where("others > 0"), what)
+        inside = F.col("family") == F.col("main")
+        if not main.isEmpty():
+            met = named.join(main, "bucket").select(
+                name, "bucket", F.when(inside, F.col("others") + place("mains")).otherwise(place("others")).alias("i"),
+                F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(inside, 0).otherwise(F.col("mains")))).alias("j"),
+            )
+            again = compared(met.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), name))
+            old, found = found, cut(connected_components(again.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), what)
+            discard(old)
+        discard(named, main)
+    discard(rows, sizes)
+    return found
+
+
+def _sets(docs: DataFrame, items: DataFrame, maybe: DataFrame) -> DataFrame:
+    """(item, hashes) of all items of ``maybe``, from one of the texts of each."""
     wanted = items.join(maybe, items["item"] == maybe["node"]).groupBy("item").agg(F.min("key").alias("wanted_key"))
     texts = docs.select(row_name("doc_id", "text").alias("wanted_key"), "text").join(wanted, "wanted_key").select("item", "text")
-    sets = cut(texts.dropDuplicates(["item"]).mapInArrow(_hash_sets, "item long, hashes binary"), "shingles")
-    met = _met(maybe.select(F.col("node").alias("item"), F.col("component").alias("bucket")), "item")
-    return met.join(sets, "item").select("bucket", "item", "hashes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified, "a long, b long")
+    return cut(texts.dropDuplicates(["item"]).mapInArrow(_hash_sets, "item long, hashes binary"), "shingles")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -324,8 +363,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     agree, so texts meet by bands of two minimal shingle hashes (ten bands
     miss a pair at 0.8 in 1 of 27,000); the bit-sliced comparison then finds
     near fingerprints, and sketches of 128 minimal hashes that agree in 0.65
-    join texts to groups. These only say who may be alike: within a group all
-    sets of shingle hashes are compared exactly, and links of 0.8 decide. Texts
+    join texts to groups. These only say who may be alike: within a group the
+    sets of shingle hashes are compared exactly, other than those already linked
+    (see ``_settled``), and links of 0.8 decide. Texts
     without words are copies of each other. Rows keep all their columns, of
     whatever name; of rows with equal doc_id and text one stays; an empty table
     gives an empty one.
@@ -333,11 +373,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(row_name("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = cut(rows.mapInArrow(_sketches, "key string, doc_id long, item long, fp long, sketch binary, bands array<long>"), "sketches")
-    met = _met(items.select("item", F.explode("bands").alias("bucket")).distinct(), "item")
     info = items.groupBy("item").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
-    links_ = met.join(info, "item").select("bucket", "item", "fp", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_similar, "a long, b long")
-    maybe = cut(connected_components(links_), "maybe-groups")
-    grouped = cut(connected_components(_exact_links(docs, items, maybe)), "copy-groups")
+
+    def alike(met: DataFrame) -> DataFrame:
+        return met.join(info, "item").select("bucket", "item", "fp", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_similar, "a long, b long")
+
+    maybe = _settled(items.select("item", F.explode("bands").alias("bucket")).distinct(), "item", alike, "maybe-groups")
+    sets = _sets(docs, items, maybe)
+
+    def similar(met: DataFrame) -> DataFrame:
+        return met.join(sets, "item").select("bucket", "item", "hashes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified, "a long, b long")
+
+    grouped = _settled(maybe.select(F.col("node").alias("item"), F.col("component").alias("bucket")), "item", similar, "copy-groups")
+    discard(maybe, sets)
     named = items.select("key", "doc_id", "item").join(grouped, items["item"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "item"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
     chosen = named.groupBy("component").agg(first).select(F.col("first.key").alias("name"))
