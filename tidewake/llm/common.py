@@ -7,12 +7,13 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.shared import discard
 from tidewake.shared import written as cut
 
-__all__ = ["SPACES", "SPACE_RUN", "bitmap", "cut", "discard", "marked", "row_key", "row_name", "ship", "table", "words"]
+__all__ = ["SPACES", "SPACE_RUN", "bitmap", "cut", "discard", "in_order", "marked", "named", "places", "row_key", "row_name", "ship", "table", "words"]
 
 #: Words are maximal runs of characters other than ASCII white space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -53,6 +54,35 @@ def marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return found.withColumn("marked", F.expr("coalesce(shiftright(bits, CAST(shiftright(key, 40) & 63 AS INT)) & 1, 0) = 1")).drop("word", "bits")
 
 
+def named(value: Column) -> Column:
+    """A text that is never null and tells null from all values; it sorts as the values' UTF-8 bytes do, null first."""
+    return F.when(value.isNotNull(), F.concat(F.lit("="), value.cast("string"))).otherwise(F.lit(""))
+
+
+def in_order(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` sorted by ``keys`` over all tasks, with ``at``, a number that rises in this order; written to the shared folder.
+
+    Rows are dealt by ranges of all keys, so no group of equal first keys is one task's work. ``at`` has the task
+    above its lowest 33 bits and counts a task's rows from 0 in these.
+    """
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return cut(dealt.withColumn("at", F.monotonically_increasing_id()), name)
+
+
+def places(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` of ``in_order`` (sorted by ``by`` first) with ``place``, a row's number from 0 among those of equal ``by``, none of which is null.
+
+    A group's rows in one task are numbered by ``at``; the numbers of rows in
+    the tasks before, one row for each group and task, are added up and joined
+    on group and task.
+    """
+    task = F.shiftright("at", 33).alias("task")
+    parts = rows.groupBy(*by, task).agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(*by).orderBy("task").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    parts = parts.select(*by, "task", "first_at", before.alias("before"))
+    return rows.withColumn("task", task).join(parts, [*by, "task"]).withColumn("place", F.col("before") + F.col("at") - F.col("first_at")).drop("task", "first_at", "before")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application."""
     sc = spark.sparkContext
