@@ -464,3 +464,48 @@ def test_daily_job_enriches_each_input_once(spark, tmp_path):
         e = spark.read.parquet(f"{tmp_path}/out/vessel_daily_enriched/day=2026-09-21").collect()
         assert {(r["mmsi"], r["ai_summary"], r["has_ai_enrichment"]) for r in e} == {(257000001, "rank 1", 1), (257000002, "rank 2", 1)}
     assert calls.value == 2
+
+
+def test_windows_open_only_their_folders(spark, tmp_path):
+    import contextlib
+    import io
+
+    rows = [(m, T0 + timedelta(hours=7 * k), 60.0, 5.0, 1.0) for m in (1, 2) for k in range(300)]
+    p = spark.createDataFrame(rows, POINTS)
+    for unit in ("month", "day"):
+        files.write_partitioned(p, f"{tmp_path}/{unit}", "msgtime", unit)
+        d = spark.read.parquet(f"{tmp_path}/{unit}")
+        for start, end in ((at(0), at(1440)), (at(100), at(100_000)), (datetime(2026, 10, 1), datetime(2026, 11, 1)), (at(-5000), at(1))):
+            w = positions.positions_window(d, start, end)
+            assert sorted(map(tuple, w.select(*p.columns).collect())) == sorted(r for r in rows if start <= r[1] < end)
+        plan = io.StringIO()
+        with contextlib.redirect_stdout(plan):
+            positions.positions_window(d, datetime(2026, 10, 1), datetime(2026, 11, 1)).explain()
+        assert f"PartitionFilters: [isnotnull({unit}#" in plan.getvalue() or f"PartitionFilters: [(cast({unit}" in plan.getvalue() or f"PartitionFilters: [({unit}" in plan.getvalue()
+        read = positions.positions_window(d, datetime(2026, 10, 1), datetime(2026, 11, 1)).select(F.input_file_name().alias("f"), unit)
+        assert {str(r[unit])[:7] for r in read.collect()} == {"2026-10"}
+    assert positions.positions_window(p.withColumn("month", F.lit("x")), at(0), at(1440)).count() == sum(at(0) <= r[1] < at(1440) for r in rows)
+
+
+def test_vessel_dimension_covers_more_than_ninety_days(spark, tmp_path):
+    """Every day's run equals the whole history up to it, whatever the order of runs, and reads no day twice."""
+    start = datetime(2026, 1, 1, tzinfo=UTC)
+    rows = [(257000001 + k % 3, start + timedelta(hours=20 * k, minutes=k % 7), 60.0 + k % 5, 5.0, float(k % 40), k % 9, 70 + k % 3, None if k % 4 else f"NAME {k // 60}", start + timedelta(days=300, hours=k)) for k in range(150)]
+    rows += [(257000001, r[1], 1.0, 1.0, 200.0, 1, 80, "LATER", start + timedelta(days=400)) for r in rows[::30]]
+    p = spark.createDataFrame(rows, "mmsi long, msgtime timestamp, latitude double, longitude double, speed_over_ground double, navigational_status int, ship_type int, name string, ingested_at timestamp")
+    p = p.withColumns({"course_over_ground": F.col("latitude"), "true_heading": F.lit(1), "stream": F.lit("s")})
+    files.write_partitioned(p, f"{tmp_path}/positions", "msgtime", "day")
+    paths = daily_job.Paths(f"{tmp_path}/positions", "", "", "", f"{tmp_path}/out")
+    for day in ("2026-05-05", "2026-03-01", "2026-05-06", "2026-05-06"):
+        at_, end = daily_job.activity_window({"activity_date": day}, start)
+        got = daily.fold_vessel_days(daily_job._vessel_days(spark, paths, at_, end))
+        expected = daily.stg_vessels(p.where(F.col("msgtime") < F.lit(end)))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.count() == 3
+    assert (expected.agg(F.max(F.datediff("last_seen", "first_seen"))).first()[0]) > 90
+    done = spark.read.parquet(f"{tmp_path}/out/vessel_days_done")
+    assert {r["count"] for r in done.groupBy("activity_date").count().where("activity_date NOT IN ('2026-03-01', '2026-05-06')").collect()} == {1}
+    late = daily_job.Paths(f"{tmp_path}/positions", "", "", "", f"{tmp_path}/late", options={"analysis_start": "2026-04-01"})
+    at_, end = daily_job.activity_window({"activity_date": "2026-05-05"}, start)
+    got = daily.fold_vessel_days(daily_job._vessel_days(spark, late, at_, end))
+    expected = daily.stg_vessels(p.where((F.col("msgtime") < F.lit(end)) & (F.col("msgtime") >= "2026-04-01")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))

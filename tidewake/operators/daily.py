@@ -39,6 +39,47 @@ def stg_vessels(positions: DataFrame, start: str | None = None, max_speed: float
     )
 
 
+#: What the vessel dimension shows of the newest position that has it, by column of the positions.
+_LAST = {
+    "name": "vessel_name", "ship_type": "ship_type", "speed": "last_speed_kn", "latitude": "last_latitude", "longitude": "last_longitude",
+    "course_over_ground": "last_course", "true_heading": "last_heading", "navigational_status": "last_navigational_status",
+}
+
+
+def vessel_days(positions: DataFrame, max_speed: float = MAX_VALID_SPEED_KN) -> DataFrame:
+    """Mergeable partials of the vessel dimension: one row for each vessel and day of the positions.
+
+    Versions of a position share its time, hence its day, so the days of a
+    vessel can be computed apart and folded by ``fold_vessel_days`` in any
+    order. Of each value shown, the newest is kept with its time, ingestion
+    and, for ties, itself; of names, the different ones.
+    """
+    p = newest_positions(positions).withColumns({"name": F.nullif(F.trim("name"), F.lit("")), "speed": valid_speed(F.col("speed_over_ground"), max_speed)})
+
+    def newest(column: str) -> Column:
+        known = F.struct("msgtime", "ingested_at", F.col(column).alias("value"))
+        return F.max(F.when(F.col(column).isNotNull(), known)).alias(f"newest_{column}")
+
+    return p.groupBy("mmsi", F.to_date("msgtime").alias("activity_date")).agg(
+        F.min("msgtime").alias("first_seen"), F.max("msgtime").alias("last_seen"), F.count("*").alias("messages"), F.sum("speed").alias("speed_sum"), F.count("speed").alias("speeds"),
+        F.max("speed").alias("max_speed_kn"), F.collect_set("name").alias("names"), *map(newest, _LAST),
+    )
+
+
+def fold_vessel_days(days: DataFrame) -> DataFrame:
+    """The vessel dimension's aggregate (as ``stg_vessels`` gives it) of partials, one row a vessel and day."""
+    names = days.select("mmsi", F.explode("names").alias("name")).groupBy("mmsi").agg(F.count_distinct("name").alias("name_count"))
+    folded = days.groupBy("mmsi").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("messages").alias("ais_message_count"),
+        F.try_divide(F.sum("speed_sum"), F.sum("speeds")).alias("avg_speed_kn"), F.max("max_speed_kn").alias("max_speed_kn"), *(F.max(f"newest_{c}")["value"].alias(shown) for c, shown in _LAST.items()),
+    )
+    v = folded.join(names, "mmsi", "left").withColumn("name_count", F.coalesce("name_count", F.lit(0)).cast("long"))
+    return v.select(
+        "mmsi", "vessel_name", "ship_type", "first_seen", "last_seen", "name_count", "ais_message_count", "avg_speed_kn", "max_speed_kn", "last_speed_kn", "last_latitude", "last_longitude",
+        "last_course", "last_heading", "last_navigational_status",
+    )
+
+
 def vessel_flags(vessels: DataFrame, known_type: Column) -> DataFrame:
     """Quality flags and eligibility of vessels; ``known_type`` says whether the ship type has a label."""
     valid = F.length(F.col("mmsi").cast("string")) == 9

@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewake.operators.segments import across, ends, inside, segment_of
 from tidewake.shared import discard, written
 
 
 def consecutive_visits(visits: DataFrame) -> DataFrame:
-    """Moves between consecutive visits of a vessel (order: arrival, visit id), to the same port too."""
-    order = W.partitionBy("mmsi").orderBy("arrival_at", "visit_id")
-    v = visits.withColumns({"from_port_id": F.lag("port_id").over(order), "from_arrival_at": F.lag("arrival_at").over(order)})
-    return v.where("from_port_id IS NOT NULL").select("mmsi", "from_port_id", F.col("port_id").alias("to_port_id"), "from_arrival_at", "arrival_at")
+    """Moves between consecutive visits of a vessel (order: arrival, visit id), to the same port too.
+
+    Moves within a day come from a window over vessel and day, those over
+    midnight from each day's first and last visit.
+    """
+    here, order = F.struct("port_id", "arrival_at"), F.struct("arrival_at", "visit_id")
+    v = visits.select("mmsi", "port_id", "arrival_at", "visit_id", segment_of("arrival_at").alias("segment"))
+    within = v.select("mmsi", F.lag(here).over(inside("mmsi", "arrival_at", "visit_id")).alias("a"), here.alias("b"))
+    over = across(ends(v, "mmsi", here, order), "mmsi").select("mmsi", F.col("previous").alias("a"), F.col("first").alias("b"))
+    moves = within.unionByName(over).where("a IS NOT NULL")
+    return moves.select("mmsi", F.col("a.port_id").alias("from_port_id"), F.col("b.port_id").alias("to_port_id"), F.col("a.arrival_at").alias("from_arrival_at"), F.col("b.arrival_at").alias("arrival_at"))
 
 
 def port_connections(visits: DataFrame) -> DataFrame:

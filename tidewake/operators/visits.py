@@ -1,4 +1,4 @@
-"""Port visits from positions, as window functions over islands of equal eligible ports."""
+"""Port visits from positions: islands of equal eligible ports, scanned by vessel and day."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewake.functions.expressions import MAX_MMSI, visit_id
 from tidewake.operators.joins import ports_within_radius
+from tidewake.operators.segments import across, inside, segment_of
+from tidewake.shared import written
 
 #: Speeds outside [0, this) are no reports.
 NO_SPEED_KN = 102.3
@@ -38,26 +40,77 @@ def assign_ports(observations: DataFrame, ports: DataFrame, max_speed: float = 3
     return out.withColumns({"inside": inside, "eligible": F.when(F.col("speed_over_ground") <= max_speed, F.col("nearest"))})
 
 
+def _seconds(start: Column, end: Column) -> Column:
+    return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
+
+
+def _breaks(before: Column, here: Column, max_gap: float) -> Column:
+    """Whether an island ends between two neighbours: after a gap, or where the eligible port changes."""
+    return F.coalesce(_seconds(before["msgtime"], here["msgtime"]) > max_gap, F.lit(False)) | ~before["eligible"].eqNullSafe(here["eligible"])
+
+
+def _runs(events: DataFrame, max_gap: float) -> DataFrame:
+    """Observations with their neighbours and their island's number within the vessel's day, from 0."""
+    day = inside("mmsi", "msgtime")
+    e = events.withColumns({"segment": segment_of("msgtime"), "here": F.struct("msgtime", "eligible", "inside")})
+    e = e.withColumns({"before": F.lag("here").over(day), "after": F.lead("here").over(day)})
+    fresh = F.col("before").isNotNull() & _breaks(F.col("before"), F.col("here"), max_gap)
+    return e.withColumn("run", F.sum(fresh.cast("long")).over(day.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _numbered(days: DataFrame, max_gap: float) -> DataFrame:
+    """Vessel-days (mmsi, segment, first, last, last_run) with ``base``, which makes a day's runs islands of the vessel, and with the observations around the day."""
+    c = across(days, "mmsi")
+    opens = (F.col("previous").isNull() | _breaks(F.col("previous"), F.col("first"), max_gap)).cast("long")
+    c = c.withColumn("opens", opens)
+    earlier = F.sum(F.col("last_run") + F.col("opens")).over(W.partitionBy("mmsi").orderBy("segment").rowsBetween(W.unboundedPreceding, -1))
+    return c.select("mmsi", "segment", "previous", "following", (F.coalesce(earlier, F.lit(0)) + F.col("opens")).alias("base"))
+
+
 def visit_islands(events: DataFrame, max_gap: float = 900) -> DataFrame:
-    """Observations numbered by island: a maximal run of one eligible port (or none) without a gap."""
-    order = W.partitionBy("mmsi").orderBy("msgtime")
-    seconds = (F.unix_micros("msgtime") - F.unix_micros(F.lag("msgtime").over(order))) / 1e6
-    e = events.withColumns({
-        "gap": F.coalesce(seconds > max_gap, F.lit(False)), "first": F.lag("msgtime").over(order).isNull(), "previous_inside": F.lag("inside").over(order),
-        "same": F.col("eligible").eqNullSafe(F.lag("eligible").over(order)), "next_time": F.lead("msgtime").over(order), "next_inside": F.lead("inside").over(order),
+    """Observations numbered by island: a maximal run of one eligible port (or none) without a gap.
+
+    A vessel's rows are never in one task: they are scanned by day, and one row a day carries the number on.
+    """
+    rows = written(_runs(events, max_gap).drop("before", "after"), "visit-runs")
+    days = rows.groupBy("mmsi", "segment").agg(F.min_by("here", "msgtime").alias("first"), F.max_by("here", "msgtime").alias("last"), F.max("run").alias("last_run"))
+    numbered = _numbered(days, max_gap).select("mmsi", "segment", "base")
+    return rows.join(numbered, ["mmsi", "segment"]).withColumn("island", F.col("base") + F.col("run")).select(*events.columns, "island")
+
+
+def island_table(events: DataFrame, max_gap: float = 900, sums: dict[str, Column] | None = None) -> DataFrame:
+    """One row an island: mmsi, island, eligible, seen, ``head`` and ``tail`` (first and last observation with the one before or after), and sums of what is counted.
+
+    Days are reduced to their islands first; the pieces of an island that
+    passes midnight are put together afterwards.
+    """
+    head, tail, counts = F.struct("here", "before"), F.struct("here", "after"), {"seen": F.count("*")} | (sums or {})
+    of_run = _runs(events, max_gap).groupBy("mmsi", "segment", "run").agg(
+        F.any_value("eligible").alias("eligible"), F.min_by(head, "msgtime").alias("head"), F.max_by(tail, "msgtime").alias("tail"), *(c.alias(n) for n, c in counts.items())
+    )
+    pieces = written(of_run, "visit-pieces")
+    days = pieces.groupBy("mmsi", "segment").agg(F.min_by("head.here", "run").alias("first"), F.max_by("tail.here", "run").alias("last"), F.max("run").alias("last_run"))
+    p = pieces.join(_numbered(days, max_gap), ["mmsi", "segment"]).withColumn("island", F.col("base") + F.col("run"))
+    p = p.withColumns({
+        "head": F.struct(F.col("head.here").alias("here"), F.coalesce("head.before", "previous").alias("before")),
+        "tail": F.struct(F.col("tail.here").alias("here"), F.coalesce("tail.after", "following").alias("after")),
     })
-    e = e.withColumns({"next_gap": F.coalesce((F.unix_micros("next_time") - F.unix_micros("msgtime")) / 1e6 > max_gap, F.lit(False)), "break": (F.col("first") | F.col("gap") | ~F.col("same")).cast("int")})
-    return e.withColumn("island", F.sum("break").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return p.groupBy("mmsi", "island").agg(
+        F.any_value("eligible").alias("eligible"), F.min_by("head", "head.here.msgtime").alias("head"), F.max_by("tail", "tail.here.msgtime").alias("tail"), *(F.sum(n).alias(n) for n in counts)
+    )
 
 
 def _stays(positions: DataFrame, ports: DataFrame, max_gap: float, max_speed: float) -> DataFrame:
     """All islands at a port, short ones too, with what came before and after."""
-    e = visit_islands(assign_ports(collapse_positions(valid_positions(positions)), ports, max_speed), max_gap).where("eligible IS NOT NULL")
-    head = F.struct("msgtime", "first", "gap", "previous_inside")
-    tail = F.struct("msgtime", "next_time", "next_gap", "next_inside")
-    s = e.groupBy("mmsi", "island", F.col("eligible").alias("port_id")).agg(F.count("*").alias("observation_count"), F.min_by(head, "msgtime").alias("head"), F.max_by(tail, "msgtime").alias("tail"))
+    i = island_table(assign_ports(collapse_positions(valid_positions(positions)), ports, max_speed), max_gap).where("eligible IS NOT NULL")
+    before, after = F.col("head.before"), F.col("tail.after")
+    s = i.select(
+        "mmsi", F.col("eligible").alias("port_id"), F.col("seen").alias("observation_count"),
+        F.struct(F.col("head.here.msgtime").alias("msgtime"), before.isNull().alias("first"), (_seconds(before["msgtime"], F.col("head.here.msgtime")) > max_gap).alias("gap"), before["inside"].alias("previous_inside")).alias("head"),
+        F.struct(F.col("tail.here.msgtime").alias("msgtime"), after["msgtime"].alias("next_time"), (_seconds(F.col("tail.here.msgtime"), after["msgtime"]) > max_gap).alias("next_gap"), after["inside"].alias("next_inside")).alias("tail"),
+    )
     stay = (F.unix_micros("tail.msgtime") - F.unix_micros("head.msgtime")) / 1e6
-    unsure = F.col("head.first") | F.col("head.gap") | F.col("head.previous_inside").isNull() | F.array_contains("head.previous_inside", F.col("port_id"))
+    unsure = F.col("head.first") | F.coalesce("head.gap", F.lit(False)) | F.col("head.previous_inside").isNull() | F.array_contains("head.previous_inside", F.col("port_id"))
     left = ~F.array_contains("tail.next_inside", F.col("port_id"))
     reason = (
         F.when(F.col("tail.next_time").isNull(), "window_end").when(F.col("tail.next_gap"), "data_gap")
@@ -90,11 +143,9 @@ def visit_stats(positions: DataFrame, ports: DataFrame, min_stay: float = 1200,
     """One row of run statistics: the observations are numbered by island once, and everything is counted from the islands."""
     valid = valid_positions(positions)
     rows = valid.groupBy("mmsi", "msgtime").agg(F.count("*").alias("rows"))
-    e = visit_islands(assign_ports(collapse_positions(valid).join(rows, ["mmsi", "msgtime"]), ports, max_speed), max_gap)
-    stay = (F.unix_micros(F.max("msgtime")) - F.unix_micros(F.min("msgtime"))) / 1e6
-    i = e.groupBy("mmsi", "island").agg(
-        F.any_value("eligible").isNotNull().alias("at_port"), F.sum("rows").alias("rows"), F.count("*").alias("seen"), F.count_if("conflict").alias("conflicts"), F.count("nearest").alias("inside"), stay.alias("stay")
-    )
+    e = assign_ports(collapse_positions(valid).join(rows, ["mmsi", "msgtime"]), ports, max_speed)
+    i = island_table(e, max_gap, {"rows": F.sum("rows"), "conflicts": F.count_if("conflict"), "inside": F.count("nearest")})
+    i = i.withColumns({"at_port": F.col("eligible").isNotNull(), "stay": _seconds(F.col("head.here.msgtime"), F.col("tail.here.msgtime"))})
     long_enough = (F.col("seen") >= 2) & (F.col("stay") >= min_stay)
 
     def total(c: str) -> Column:

@@ -39,7 +39,9 @@ class Paths:
     ``countries`` (raw country records) may be left out; ports then have no
     country names. ``options`` overrides thresholds, names ``model`` and
     ``prompt_version``, and gives ``enrich``, the user's function for
-    candidates; without it they stay pending.
+    candidates; without it they stay pending. ``analysis_start`` (a date; else
+    that of the first position) is where the vessel dimension's history begins;
+    ``max_rows`` refuses a window of positions with more rows.
     """
 
     positions: str
@@ -89,14 +91,46 @@ def run_day(spark: SparkSession, day: str, paths: Paths, now: datetime | None =
     return found
 
 
+def _vessel_days(spark: SparkSession, paths: Paths, start: datetime, end: datetime) -> DataFrame:
+    """Partials of the vessel dimension from the analysis start to the end of the day, one folder a day.
+
+    The run's day is computed again, since its positions may have changed, and
+    of the days before those that no run has noted as done: all of them in the
+    first run, none later. Other days' positions are not read. Days without
+    positions are noted too. A late position of an earlier day counts once that
+    day is run again.
+    """
+    out, today = f"{paths.out}/vessel_days", start.date()
+    p = spark.read.parquet(paths.positions)
+    noted = paths.table(spark, "vessel_days_done", "activity_date date, completed_at timestamp").select("activity_date").distinct()
+    known = {r["activity_date"] for r in noted.collect()}  # a row a day
+    given = paths.options.get("analysis_start")
+    first = date.fromisoformat(str(given)) if given else min(known) if known else p.agg(F.to_date(F.min("msgtime")).alias("d")).first()["d"]
+    first = today if first is None else min(first, today)
+    missing = [d for d in (first + timedelta(days=k) for k in range((today - first).days)) if d not in known]
+    day = daily.vessel_days(positions_window(p, start, end, paths.options.get("max_rows")))
+    if missing:
+        low = datetime.combine(missing[0], datetime.min.time(), UTC)
+        past = daily.vessel_days(positions_window(p, low, start)).where(F.col("activity_date").isin(missing)).withColumn("day", F.col("activity_date").cast("string"))
+        past.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(out)
+    _write(day, out, today.isoformat())
+    done = [(d, datetime.now(UTC)) for d in (*missing, today)]
+    paths.append(spark.createDataFrame(done, "activity_date date, completed_at timestamp").coalesce(1), "vessel_days_done")
+    return spark.read.schema(f"{_ddl(day)}, day string").parquet(out).where((F.col("day") >= first.isoformat()) & (F.col("day") <= today.isoformat()))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def _movement(spark: SparkSession, paths: Paths, start: datetime, end: datetime, status_names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Features and anomalies of the day and of the seven before it, which the baseline needs; vessels are written on the way."""
     o, p = paths.options, spark.read.parquet(paths.positions)
-    known = positions_window(p, start - timedelta(days=o.get("vessel_days", 90)), end)
-    vessels = marts.vessels(daily.stg_vessels(known), spark.read.parquet(paths.ship_types), status_names)
+    vessels = marts.vessels(daily.fold_vessel_days(_vessel_days(spark, paths, start, end)), spark.read.parquet(paths.ship_types), status_names)
     _write(vessels, f"{paths.out}/vessels", start.date().isoformat())
     vessels = spark.read.parquet(f"{paths.out}/vessels/day={start.date().isoformat()}")
-    features = written(marts.vessel_daily_features(positions_window(p, start - timedelta(days=7), end), vessels, status_names, stationary=o.get("stationary", 0.5)), "features")
+    recent = positions_window(p, start - timedelta(days=7), end, o.get("max_rows"))
+    features = written(marts.vessel_daily_features(recent, vessels, status_names, stationary=o.get("stationary", 0.5)), "features")
     return features, daily.daily_anomalies(features, o.get("hours", 12), o.get("points", 100))
 
 
@@ -105,7 +139,7 @@ def _publish_visits(spark: SparkSession, paths: Paths, run: str, start: datetime
     o, day = paths.options, start.date().isoformat()
     runs = paths.table(spark, "port_visit_runs", schemas.RUNS)
     versioned.check_run_window(runs, run, start, end)
-    seen = daily.newest_positions(positions_window(spark.read.parquet(paths.positions), start, end))
+    seen = daily.newest_positions(positions_window(spark.read.parquet(paths.positions), start, end, o.get("max_rows")))
     limits = (o.get("min_stay", 1200), o.get("max_gap", 900), o.get("max_speed", 3.0))
     new = visits.detect_visits(seen, ports, *limits).withColumns({"run_id": F.lit(run), "activity_date": F.lit(day).cast("date")})
     new = written(new, "day-visits")

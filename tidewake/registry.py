@@ -176,6 +176,14 @@ def stg_vessels(t: Tables) -> DataFrame:
     return daily.stg_vessels(t.positions_raw).withColumn("avg_speed_kn", round_(F.col("avg_speed_kn"), 6))
 
 
+@query("fold_vessel_days", f"SELECT mmsi, vessel_name, ship_type, {us('first_seen', 'last_seen')}, name_count, ais_message_count, {B.sql_round('avg_speed_kn', 6)} AS avg_speed_kn, max_speed_kn, last_speed_kn, last_latitude, last_longitude, last_course, last_heading, last_navigational_status FROM stg_vessels")
+def fold_vessel_days(t: Tables) -> DataFrame:
+    """The vessel dimension from partials by vessel and day, which a job keeps instead of reading all positions again."""
+    from tidewake.functions.expressions import round_
+
+    return daily.fold_vessel_days(daily.vessel_days(t.positions_raw)).withColumn("avg_speed_kn", round_(F.col("avg_speed_kn"), 6))
+
+
 @query("vessels", f"SELECT mmsi, vessel_name, ship_type_name, ship_category, last_navigational_status_name, mmsi_format_class, {bits('is_valid_mmsi', 'has_identity_conflict', 'has_unknown_ship_type', 'is_test_record', 'is_dashboard_eligible', 'is_ai_enrichment_eligible')} FROM vessels")
 def vessels(t: Tables) -> DataFrame:
     return vessel_table(t).select("mmsi", "vessel_name", "ship_type_name", "ship_category", "last_navigational_status_name", "mmsi_format_class", "is_valid_mmsi", "has_identity_conflict", "has_unknown_ship_type", "is_test_record", "is_dashboard_eligible", "is_ai_enrichment_eligible")

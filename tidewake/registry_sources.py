@@ -111,6 +111,20 @@ def write_partitioned(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month"), "mmsi").agg(F.count("*").alias("positions"))
 
 
+_TWO_DAYS = "msgtime >= TIMESTAMP '2024-01-05 12:00:00' AND msgtime < TIMESTAMP '2024-01-07'"
+
+
+@query("positions_window_by_folder", f"SELECT unit, mmsi, epoch_us(msgtime) AS msgtime, seq FROM positions_raw, (VALUES ('month'), ('day')) u(unit) WHERE {_TWO_DAYS}")
+def positions_window_by_folder(t: Tables) -> DataFrame:
+    """A time range of positions that lie in folders of months and of days; only folders of the range are opened."""
+    def of(unit: str) -> DataFrame:
+        path = shared_folder(t.spark, f"by-{unit}")
+        files.write_partitioned(t.positions_raw, path, "msgtime", unit)
+        return positions.positions_window(t.spark.read.parquet(path), "2024-01-05 12:00:00", "2024-01-07").select(F.lit(unit).alias("unit"), "mmsi", "msgtime", "seq")
+
+    return of("month").unionByName(of("day"))
+
+
 @query("read_seed", "SELECT CAST(n_nationkey AS INT) AS code, CASE WHEN n_regionkey > 0 THEN n_name END AS label FROM nation", False)
 def read_seed(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "seed")

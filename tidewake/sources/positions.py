@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewake import schemas
 from tidewake.functions.expressions import MAX_MMSI
+from tidewake.sources.files import time_range
 
 #: A time with a zone, as the strict policy wants it.
 ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
@@ -90,8 +91,11 @@ def normalize_historic(df: DataFrame, stream: str = "historic") -> DataFrame:
 
 
 def positions_window(df: DataFrame, start, end, max_rows: int | None = None) -> DataFrame:
-    """Positions of [start, end). With ``max_rows`` a window of more rows is refused before it is used, never cut."""
-    rows = df.where((F.col("msgtime") >= F.lit(start).cast("timestamp")) & (F.col("msgtime") < F.lit(end).cast("timestamp")))
+    """Positions of [start, end); only folders of that range are opened where positions lie by month or day.
+
+    With ``max_rows`` a window of more rows is refused before it is used, never cut.
+    """
+    rows = time_range(df, "msgtime", start, end)
     if max_rows is not None and (n := rows.limit(max_rows + 1).count()) > max_rows:
         raise ValueError(f"the window holds at least {n} rows; the ceiling is {max_rows}")
     return rows

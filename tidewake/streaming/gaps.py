@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewake.operators.joins import label_stream
+from tidewake.operators.segments import across, ends, inside, segment_of
+from tidewake.shared import written
 
 TIMEOUT = 600
 STATE = "seen_ms long, alerted boolean, name string, msgtime string, latitude double, longitude double, ship_type int, navigation_status int, timer_ms long, detected_ms long"
@@ -111,15 +112,25 @@ def gap_events_batch(positions: DataFrame, timeout: float = TIMEOUT, as_of: Colu
     """The same over history: silences between consecutive observations longer than the timeout, and those open at ``as_of`` (default: any last observation).
 
     Detection is the timeout after the last observation; the duration is from
-    observation to observation.
+    observation to observation. Within a vessel's day, only silences and the
+    day's first and last observation are kept, and a vessel's days are joined
+    by these, so no task has all rows of a vessel.
     """
-    order = W.partitionBy("mmsi").orderBy("msgtime")
-    after = {f"next_{c}": F.lead(c).over(order) for c in ("msgtime", "name", "ship_type", "navigational_status")}
-    p = positions.select("mmsi", "msgtime", "name", "latitude", "longitude", "ship_type", "navigational_status").withColumns(after)
-    detected = F.timestamp_micros(F.unix_micros("msgtime") + F.lit(int(timeout * 1_000_000)))
-    silent = F.unix_micros("next_msgtime") - F.unix_micros("msgtime") > int(timeout * 1_000_000)
-    open_ = F.col("next_msgtime").isNull() & (F.lit(True) if as_of is None else (detected <= as_of))
-    p = p.where(silent | open_).withColumn("gap_detected_at", detected)
+    here = F.struct("msgtime", "name", "ship_type", "navigational_status")
+    day = inside("mmsi", "msgtime")
+    p = positions.select("mmsi", here.alias("here"), "msgtime", segment_of("msgtime").alias("segment"))
+    p = p.withColumns({"next": F.lead("here").over(day), "opens": F.lag("msgtime").over(day).isNull()})
+
+    def micros(time: str) -> Column:
+        return F.unix_micros(time)
+
+    silent = micros("next.msgtime") - micros("here.msgtime") > int(timeout * 1_000_000)
+    kept = written(p.where(silent | F.col("next").isNull() | F.col("opens")).select("mmsi", "segment", "here", "next"), "gap-ends")
+    over = across(ends(kept, "mmsi", F.col("here"), F.col("here.msgtime")), "mmsi").select("mmsi", F.col("last").alias("here"), F.col("following").alias("next"))
+    detected = F.timestamp_micros(micros("here.msgtime") + F.lit(int(timeout * 1_000_000)))
+    open_ = F.col("next").isNull() & (F.lit(True) if as_of is None else (detected <= as_of))
+    p = kept.where("next IS NOT NULL").select("mmsi", "here", "next").unionByName(over).where(silent | open_).withColumn("gap_detected_at", detected)
+    p = p.select("mmsi", "here.*", "gap_detected_at", *(F.col(f"next.{c}").alias(f"next_{c}") for c in ("msgtime", "name", "ship_type", "navigational_status")))
     one = p.select(
         F.lit("AIS_GAP_DETECTED").alias("event_type"), "mmsi", "name", F.col("msgtime").alias("last_event_msgtime"), F.lit(None).cast("timestamp").alias("resumed_event_msgtime"), "gap_detected_at",
         F.lit(None).cast("timestamp").alias("gap_ended_at"), F.lit(None).cast("double").alias("gap_duration_seconds"), "ship_type", F.col("navigational_status").alias("navigation_status"),
