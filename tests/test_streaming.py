@@ -119,3 +119,109 @@ def test_gap_detector(spark, tmp_path):
         assert len(again) == 2
     finally:
         q.stop()
+
+
+def test_detector_takes_a_hundred_thousand_rows_of_a_vessel_at_once(spark, tmp_path):
+    """The batch's last known name and last values are kept; reading the rows takes no Python step for each."""
+    import pandas as pd
+
+    columns = [c.split()[0] for c in GAP_EVENTS.split(", ")][1:]
+    n = 100_000
+    frames = [pd.DataFrame({"name": ["A" if k == 7 else None for k in range(part * n // 10, (part + 1) * n // 10)], "msgtime": [f"t{k}" for k in range(part * n // 10, (part + 1) * n // 10)], "latitude": 60.0, "longitude": 5.0, "ship_type": 70, "navigation_status": 1})[columns] for part in range(10)]
+
+    class Value:
+        kept = (0, True, "OLD", "t", 1.0, 2.0, None, 5, None, 1000)
+
+        def exists(self):
+            return True
+
+        def get(self):
+            return self.kept
+
+        def update(self, row):
+            self.kept = row
+
+    class Timers:
+        def getCurrentProcessingTimeInMs(self):
+            return 5000
+
+        def registerTimer(self, at):
+            self.at = at
+
+    detector = gaps.GapDetector(10)
+    detector.state, detector.handle = Value(), Timers()
+    began = time.perf_counter()
+    (out,) = detector.handleInputRows((1,), iter(frames), Timers())
+    assert time.perf_counter() - began < 1
+    (ended,) = out.to_dict("records")
+    assert (ended["event_type"], ended["name"], ended["resumed_event_msgtime"], ended["gap_duration_seconds"]) == ("AIS_GAP_ENDED", "OLD", "t0", 5.0)
+    assert detector.state.kept == (5000, False, "A", f"t{n - 1}", 60.0, 5.0, 70, 1, 15000, None) and detector.handle.at == 15000
+
+
+STATE = "mmsi long, msgtime timestamp, seq long, name string"
+
+
+def test_upsert_sink_takes_each_batch_once(spark, tmp_path):
+    from tidewake.streaming.upsert import UpsertSink
+
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), STATE)
+
+    def state():
+        return sorted(map(tuple, sink.read().collect()))
+
+    sink = UpsertSink(spark, str(tmp_path / "state"), "mmsi", ("msgtime", "seq"), STATE, buckets=4)
+    assert state() == []
+    sink(batch(*((m, at(0), 0, "first") for m in range(20))), 0)
+    sink(batch((1, at(5), 1, "new"), (1, at(3), 9, "old"), (2, at(-5), 7, "late"), (3, at(0), 0, "z"), (99, None, None, None)), 1)
+    expected = sorted([(1, at(5), 1, "new"), (3, at(0), 0, "z"), (99, None, None, None)] + [(m, at(0), 0, "first") for m in range(20) if m not in (1, 3)])
+    assert state() == expected
+    sink(batch((1, at(50), 1, "repeated with other rows")), 1)
+    sink(batch((4, at(50), 1, "older batch")), 0)
+    assert state() == expected and sink.commits() == [0, 1]
+
+    # a crash while batch 2 is committed: its folders are there, its commit is not closed
+    sink(batch((5, at(9), 2, "five")), 2)
+    (tmp_path / "state/commits/000000000002/_SUCCESS").unlink()
+    assert state() == expected
+    sink(batch((5, at(9), 2, "five")), 2)
+    after = sorted([r for r in expected if r[0] != 5] + [(5, at(9), 2, "five")])
+    assert state() == after
+    sink(batch(), 3)
+    assert state() == after and sink.commits() == [2, 3]
+    untouched = {r["bucket"]: r["folder"] for r in spark.read.parquet(f"{tmp_path}/state/commits/000000000003").collect()}
+    assert len({f.split("/data/")[1].split("/")[0] for f in untouched.values()}) > 1
+
+
+def test_settings_of_a_stream_stay_with_it(spark):
+    before = {k: spark.conf.get(k, None) for s in (windows.RECOVERABLE, windows.IDLE_SOURCES) for k in s}
+    own = windows.stream_session(spark, windows.RECOVERABLE, windows.IDLE_SOURCES)
+    assert own.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "max" and own.sparkContext is spark.sparkContext
+    assert {k: spark.conf.get(k, None) for k in before} == before
+
+
+def test_panes_are_what_goes_into_longer_windows(spark):
+    """Events are aggregated once, by pane; no plan node multiplies them."""
+    import contextlib
+    import io
+
+    e = spark.createDataFrame([(m, at(k / 7), f"V{k}" if k % 3 else None, float(k % 50), 70, k % 4) for m in (1, 2) for k in range(2000)], EVENTS)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        windows.window_features(e).explain()
+    lines = text.getvalue().split("\n")
+    generate = [k for k, line in enumerate(lines) if "Generate explode" in line]
+    assert len(generate) == 1 and "- Expand" not in text.getvalue() and "Aggregate(key" in "".join(lines[generate[0] + 1 : generate[0] + 4])
+    slow = {}
+    for r in e.collect():
+        for size in windows.SIZES:
+            first = int((r["event_time"] - T0).total_seconds() // 300)
+            for w in range(first - size // 5 + 1, first + 1):
+                slow.setdefault((r["mmsi"], size, T0 + timedelta(minutes=5 * w)), []).append(r)
+    got = {(r["mmsi"], r["window_minutes"], r["window_start"]): r for r in windows.window_features(e).collect()}
+    assert set(got) == set(slow)
+    for key, rs in slow.items():
+        r, newest = got[key], max(rs, key=lambda x: x["event_time"])
+        names = [x for x in rs if x["name"]]
+        assert (r["position_count"], r["min_speed"], r["max_speed"], r["last_navigation_status"]) == (len(rs), min(x["speed"] for x in rs), max(x["speed"] for x in rs), newest["navigation_status"])
+        assert r["name"] == max(names, key=lambda x: x["event_time"])["name"] and abs(r["avg_speed"] - sum(x["speed"] for x in rs) / len(rs)) < 1e-9

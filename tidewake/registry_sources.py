@@ -236,55 +236,151 @@ def stream_late_events(t: Tables) -> DataFrame:
     return out.select("mmsi", "window_minutes", "window_start", "position_count")
 
 
-@query("stream_gap_events", """
+_SILENCES_SQL = """
     WITH n AS (SELECT user_id AS mmsi, epoch_us(ts) AS stamp, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
     a AS (SELECT * FROM n WHERE k = 1), b AS (SELECT * FROM n WHERE k = 2)
     SELECT 'AIS_GAP_DETECTED' AS event_type, mmsi, 'V' || mmsi AS name, CAST(a.stamp AS VARCHAR) AS earlier_msgtime, '' AS resumed_msgtime, CAST(a.event_id % 9 AS INT) AS earlier_status, -1 AS resumed_status, 1 AS paired FROM a JOIN b USING (mmsi)
-    UNION ALL SELECT 'AIS_GAP_ENDED', mmsi, 'V' || mmsi, CAST(a.stamp AS VARCHAR), CAST(b.stamp AS VARCHAR), CAST(a.event_id % 9 AS INT), CAST(b.event_id % 9 AS INT), 1 FROM a JOIN b USING (mmsi)""", False)
-def stream_gap_events(t: Tables) -> DataFrame:
-    """Every user reports once, is silent past the timeout, and reports again without a name; ``paired`` says whether both events name one detection."""
-    from pyspark.sql import Window as W
+    UNION ALL SELECT 'AIS_GAP_ENDED', mmsi, 'V' || mmsi, CAST(a.stamp AS VARCHAR), CAST(b.stamp AS VARCHAR), CAST(a.event_id % 9 AS INT), CAST(b.event_id % 9 AS INT), 1 FROM a JOIN b USING (mmsi)"""
+
+
+class Silences:
+    """Every user reports once, is silent past the timeout, and reports again without a name; the detector runs beside, and may be stopped and started again."""
+
+    def __init__(self, t: Tables, name: str, timeout: float) -> None:
+        from tidewake.streaming.windows import RECOVERABLE, stream_session
+
+        self.spark, self.timeout, self.folder, self.query = stream_session(t.spark, RECOVERABLE), timeout, shared_folder(t.spark, name), None
+        self.events = _two_reports(t)
+        self.vessels = self.events.where("k = 1").count()
+        self.schema = self.events.drop("k").schema
+
+    def send(self, k: int) -> None:
+        self.events.where(F.col("k") == k).drop("k").write.mode("append").parquet(f"{self.folder}/in")
+
+    def start(self) -> None:
+        """From the checkpoint, if there is one. A batch that comes again after a stop writes its folder again."""
+        from tidewake.streaming.gaps import gap_events
+
+        found = gap_events(self.spark.readStream.schema(self.schema).parquet(f"{self.folder}/in"), timeout=self.timeout)
+        self.columns = found.schema.simpleString()[7:-1].replace(":", " ")
+        out = found.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{self.folder}/out/batch={n}")).outputMode("update")
+        self.query = out.option("checkpointLocation", f"{self.folder}/checkpoint").trigger(processingTime="1 second").start()
+
+    def stop(self) -> None:
+        while self.query.isActive and self.query.status["isTriggerActive"]:
+            time.sleep(0.1)
+        self.query.stop()
+
+    def out(self) -> DataFrame:
+        return files.read_or_empty(self.spark, f"{self.folder}/out", self.columns)
+
+    def wait(self, what: str, reached) -> None:
+        end = time.monotonic() + 300
+        while time.monotonic() < end and self.query.isActive:
+            if reached():
+                return
+            time.sleep(0.5)
+        raise TimeoutError(f"{what} of {self.vessels} vessels did not come: {self.query.exception()}")
+
+    def wait_for(self, kind: str) -> None:
+        self.wait(kind, lambda: self.out().where(F.col("event_type") == kind).select("mmsi").distinct().count() >= self.vessels)
 
-    from tidewake.streaming.gaps import gap_events
+
+def _two_reports(t: Tables) -> DataFrame:
+    from pyspark.sql import Window as W
 
     order = W.partitionBy("mmsi").orderBy("ts", "event_id")
     e = t.read("events").select(F.col("user_id").cast("long").alias("mmsi"), F.col("ts").cast("timestamp").alias("ts"), "event_id").withColumns({"k": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("mmsi"))})
-    e = written(e.where("k <= 2 AND n > 1").select(
+    return written(e.where("k <= 2 AND n > 1").select(
         "k", "mmsi", F.when(F.col("k") == 1, F.concat(F.lit("V"), "mmsi")).alias("name"), F.unix_micros("ts").cast("string").alias("msgtime"), F.lit(60.0).alias("latitude"), F.lit(5.0).alias("longitude"), F.lit(70).alias("ship_type"), (F.col("event_id") % 9).cast("int").alias("navigation_status"),
     ), "gap-input")
-    vessels, folder = e.where("k = 1").count(), shared_folder(t.spark, "gap-stream")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(provider)
-    t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = e.drop("k").schema
-    e.where("k = 1").drop("k").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    found = gap_events(t.spark.readStream.schema(schema).parquet(f"{folder}/in"), timeout=2)
-    q = found.writeStream.foreachBatch(lambda df, n: df.write.parquet(f"{folder}/out/batch={n}")).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime="1 second").start()
-
-    def wait(kind: str) -> None:
-        end = time.monotonic() + 300
-        while time.monotonic() < end and q.isActive:
-            if files.read_or_empty(t.spark, f"{folder}/out", found.schema.simpleString()[7:-1].replace(":", " ")).where(F.col("event_type") == kind).count() >= vessels:
-                return
-            time.sleep(0.5)
-        raise TimeoutError(f"{kind} of {vessels} vessels did not come: {q.exception()}")
 
+
+@query("stream_gap_events", _SILENCES_SQL, False)
+def stream_gap_events(t: Tables) -> DataFrame:
+    """``paired`` says whether both events of a silence name one detection."""
+    s = Silences(t, "gap-stream", 2)
+    s.send(1)
+    s.start()
     try:
-        if vessels:
-            wait("AIS_GAP_DETECTED")
-            e.where("k = 2").drop("k").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-            wait("AIS_GAP_ENDED")
+        if s.vessels:
+            s.wait_for("AIS_GAP_DETECTED")
+            s.send(2)
+            s.wait_for("AIS_GAP_ENDED")
     finally:
-        while q.isActive and q.status["isTriggerActive"]:
-            time.sleep(0.1)
-        q.stop()
-        t.spark.conf.set(provider, before)
-    out = files.read_or_empty(t.spark, f"{folder}/out", found.schema.simpleString()[7:-1].replace(":", " "))
-    first = e.where("k = 1").select("mmsi", F.col("msgtime").alias("first_msgtime"))
-    g = out.join(first, "mmsi").withColumn("earlier_msgtime", F.coalesce("previous_event_msgtime", "last_event_msgtime")).where("earlier_msgtime = first_msgtime")
+        s.stop()
+    return _first_silences(t, s)
+
+
+@query("stream_gap_recovery", _SILENCES_SQL, False)
+def stream_gap_recovery(t: Tables) -> DataFrame:
+    """The detector is stopped when it has read the first reports, with timers pending, and again after its own; from one checkpoint it still reports every silence once and every return once."""
+    s = Silences(t, "gap-recovery", 5)
+    s.send(1)
+    s.start()
+    try:
+        if s.vessels:
+            s.wait("reports", lambda: sum(p.numInputRows for p in s.query.recentProgress) >= s.vessels)
+            s.stop()
+            s.start()
+            s.wait_for("AIS_GAP_DETECTED")
+            s.stop()
+            s.send(2)
+            s.start()
+            s.wait_for("AIS_GAP_ENDED")
+    finally:
+        s.stop()
+    return _first_silences(t, s)
+
+
+def _first_silences(t: Tables, s: Silences) -> DataFrame:
+    """The events of the silence between the two reports of each vessel."""
+    first = s.events.where("k = 1").select("mmsi", F.col("msgtime").alias("first_msgtime"))
+    g = s.out().join(first, "mmsi").withColumn("earlier_msgtime", F.coalesce("previous_event_msgtime", "last_event_msgtime")).where("earlier_msgtime = first_msgtime")
     paired = joins.distinct_per(g, ["mmsi"], "gap_detected_at").select("mmsi", (F.col("distinct_gap_detected_at") == 1).alias("paired"))
     ended = F.col("event_type") == "AIS_GAP_ENDED"
     return g.join(paired, "mmsi").select(
         "event_type", "mmsi", "name", "earlier_msgtime", F.coalesce("resumed_event_msgtime", F.lit("")).alias("resumed_msgtime"),
         F.when(ended, F.col("previous_navigation_status")).otherwise(F.col("navigation_status")).alias("earlier_status"), F.coalesce("resumed_navigation_status", F.lit(-1)).alias("resumed_status"), "paired",
     )
+
+
+@query("stream_vessel_state", "SELECT mmsi, epoch_us(msgtime) AS msgtime, seq, name FROM positions QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY msgtime DESC, seq DESC) = 1")
+def stream_vessel_state(t: Tables) -> DataFrame:
+    """Newest state per vessel, kept by a stream of several batches; the last of them is run twice, as after a crash before its checkpoint."""
+    from tidewake.streaming.upsert import UpsertSink
+
+    folder = shared_folder(t.spark, "vessel-state")
+    p = R.positions(t).select("mmsi", "msgtime", "seq", "name")
+    p.repartition(4, "seq").write.parquet(f"{folder}/in")
+    sink = UpsertSink(t.spark, f"{folder}/state", "mmsi", ("msgtime", "seq"), "mmsi long, msgtime timestamp, seq long, name string", 16)
+
+    def run() -> None:
+        s = t.spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if commits := sink.commits():
+        files.forget(t.spark, f"{folder}/checkpoint/commits/{commits[-1]}")
+        run()
+    return sink.read()
+
+
+@query("stream_idle_source", f"""
+    SELECT mmsi, {B.SLIDE * 3} AS window_minutes, epoch_us(make_timestamp(w * {B.SLIDE * 60_000_000})) AS window_start, count(*) AS position_count, max(value) AS max_speed
+    FROM (SELECT {B.MMSI_SQL} AS mmsi, value, unnest(range(epoch_us(ts) // {B.SLIDE * 60_000_000} - 2, epoch_us(ts) // {B.SLIDE * 60_000_000} + 1)) AS w FROM events)
+    WHERE w * {B.SLIDE * 60_000_000} + {B.SLIDE * 3 * 60_000_000} <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 30000000 FROM events) GROUP BY mmsi, w""", False)
+def stream_idle_source(t: Tables) -> DataFrame:
+    """Two sources, one of which has sent only its first event: the other's windows close all the same."""
+    from tidewake.streaming import windows as W
+
+    own = W.stream_session(t.spark, W.IDLE_SOURCES)
+    folder = shared_folder(t.spark, "idle-source")
+    p = B.positions_of(t.read("events")).select("seq", "mmsi", F.col("msgtime").alias("event_time"), "name", F.col("speed_over_ground").alias("speed"), "ship_type", F.col("navigational_status").alias("navigation_status"))
+    first = p.agg(F.min_by("seq", F.struct("event_time", "seq"))).first()[0]
+    p.where(F.col("seq") != F.lit(first)).drop("seq").write.parquet(f"{folder}/busy")
+    p.where(F.col("seq") == F.lit(first)).drop("seq").write.parquet(f"{folder}/idle")
+    sources = [own.readStream.schema(p.drop("seq").schema).parquet(f"{folder}/{n}").withWatermark("event_time", "30 seconds") for n in ("busy", "idle")]
+    both = W.window_features(sources[0].unionByName(sources[1]), (3 * B.SLIDE,), B.SLIDE, watermark="")
+    W.start_query(both, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return t.spark.read.schema(both.schema).parquet(f"{folder}/out").select("mmsi", "window_minutes", "window_start", "position_count", "max_speed")
