@@ -309,6 +309,25 @@ def test_mix(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("max_slots", [16, 1024, 1 << 20])
+def test_mix_meets_every_target_with_long_blocks(spark, max_slots):
+    """Sources of a tenth of a block to many blocks take their targets to a word, and every word of a source as often as any other or once more."""
+    rng = random.Random(6)
+    counts = {"a": (1, 100_000), "b": (50, 40), "c": (20, 110), "d": (3, 1), "e": (400, 37), None: (7, 500)}
+    rows = [(f"{s}{k}", s, n) for s, (docs, n) in counts.items() for k in range(docs)]
+    rows = [(i, " ".join(["w"] * n), s) for i, (_, s, n) in enumerate(rng.sample(rows, len(rows)))]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), max_slots=max_slots).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r["source"]].append(r)
+    assert set(by) == set(counts)
+    for rs in by.values():
+        target, size = rs[0]["target"], rs[0]["source_size"]
+        assert abs(sum(r["taken"] for r in rs) - target) <= 1
+        rounds = math.floor(math.floor(target) / size)
+        assert all(rounds * r["size"] <= r["taken"] <= min(3, rounds + 1) * r["size"] for r in rs)
+
+
 def test_mixed_rows(docs):
     rows = Counter(r["doc_id"] for r in mixing.mixed(docs.where("doc_id >= 20")).collect())
     from tidewake.llm.common import row_name

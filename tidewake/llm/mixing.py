@@ -1,12 +1,15 @@
 """Mixing sources to target weights by a low-discrepancy schedule (operator 4).
 
 Every source's documents are shuffled by a hash and laid end to end as one
-line of words, which is cut into blocks of equally many words. Slots of the
+line of words. Slots of the
 mix are golden-ratio points (Fibonacci hashing in 32-bit fixed point, so both
 ends of a comparison are integers); the cumulative target shares map each
 point to a source, and the r-th slot of a source takes its r-th block, round
-after round up to the repeat limit. Because the points have low discrepancy,
-any prefix of the schedule holds the target mix.
+after round over the line. A source's target is cut into equal blocks, one for
+each of its slots, so every source meets its target to a word, however few
+slots it has; a source that no point falls to gets one slot. Because the points
+have low discrepancy, blocks of all sources are about as long, and any prefix
+of the schedule holds the target mix.
 """
 
 from __future__ import annotations
@@ -51,37 +54,61 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     return s.select("sid", "source", "source_size", "target", "total", F.coalesce(F.lag("high").over(W.orderBy("sid")), F.lit(0)).alias("low"), "high")
 
 
-def schedule(sources: DataFrame, block_words: int, n_slots: int, max_repeats: int = 3) -> DataFrame:
-    """The slots of the mix: slot, sid, block (its place in the source's line) and round.
+def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
+    """The slots of the mix: slot, sid, rank among the source's slots and their number (``slots``).
 
     Points meet shares by an equality join on cells of the point range. Slots
     of one source are ranked in chunks of consecutive slots, so a source with
-    most of the mix is not ranked in one task.
+    most of the mix is not ranked in one task. A source with a target that no
+    point falls to has one slot without a place in the order (null).
     """
     cells = sources.where("high > low").select(
         "*", F.explode(F.sequence(F.shiftright("low", CELL_BITS), F.shiftright(F.col("high") - 1, CELL_BITS))).alias("cell")
     )
     slots = sources.sparkSession.range(n_slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(SPAN)).alias("point"))
     slots = slots.withColumns({"cell": F.shiftright("point", CELL_BITS), "chunk": F.shiftright("slot", 12)})
-    slots = slots.join(cells, "cell").where("point >= low AND point < high").select("slot", "chunk", "sid", "source_size")
+    slots = slots.join(cells, "cell").where("point >= low AND point < high").select("slot", "chunk", "sid")
     counts = slots.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
-    offsets = counts.select("sid", "chunk", (F.sum("n").over(W.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("offset"))
+    offsets = counts.select("sid", "chunk", (F.sum("n").over(W.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("offset"), F.sum("n").over(W.partitionBy("sid")).alias("slots"))
     here = W.partitionBy("sid", "chunk").orderBy("slot")
-    ranked = slots.withColumn("rank", F.row_number().over(here)).join(offsets, ["sid", "chunk"])
-    rank, blocks = F.col("offset") + F.col("rank") - 1, F.ceil(F.col("source_size") / F.lit(block_words))
-    return (
-        ranked.select("slot", "sid", F.pmod(rank, blocks).alias("block"), F.floor(rank / blocks).alias("round"))
-        .where(F.col("round") < max_repeats)
-    )
+    ranked = slots.withColumn("rank", F.row_number().over(here)).join(offsets, ["sid", "chunk"]).select("slot", "sid", (F.col("offset") + F.col("rank") - 1).alias("rank"), "slots")
+    missed = sources.where("target >= 1").join(counts.select("sid").distinct(), "sid", "left_anti")
+    return ranked.unionByName(missed.select(F.lit(None).cast("long").alias("slot"), "sid", F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("slots")))
+
+
+def _blocks(slots: DataFrame, sources: DataFrame) -> DataFrame:
+    """(sid, cell, takes): the stretches (from, to) of a source's line that its slots take within a cell of the line, at most a few a round.
+
+    The r-th of n slots takes the r-th n-th of the target's words, counted round
+    after round over the line; the first ones take the word more that division
+    leaves. A cell is as long as a block, so a stretch lies in two at most.
+    """
+    t = slots.join(sources.select("sid", "source_size", F.floor("target").cast("long").alias("words")), "sid").where("words > 0")
+    t = t.withColumns({"each": F.expr("words div slots"), "more": F.col("words") % F.col("slots")})
+
+    def edge(rank: Column) -> Column:
+        return rank * F.col("each") + F.least(rank, F.col("more"))
+
+    t = t.withColumns({"a": edge(F.col("rank")), "b": edge(F.col("rank") + 1), "width": _width(F.col("each"), F.col("more"))}).where("b > a")
+    t = t.withColumn("round", F.explode(F.expr("sequence(a div source_size, (b - 1) div source_size)")))
+    origin = F.col("round") * F.col("source_size")
+    t = t.withColumns({"a": F.greatest(F.col("a") - origin, F.lit(0)), "b": F.least(F.col("b") - origin, F.col("source_size"))})
+    t = t.withColumn("cell", F.explode(F.expr("sequence(a div width, (b - 1) div width)")))
+    return t.groupBy("sid", "cell").agg(F.collect_list(F.struct("a", "b")).alias("takes"))
+
+
+def _width(each: Column, more: Column) -> Column:
+    """Length of a source's longest block."""
+    return each + (more > 0).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, max_slots: int = 1 << 20, name: Column | None = None) -> DataFrame:
     """Words that the mix takes from each document: doc_id, source, size, source_size, target, taken.
 
-    The mix has as many words as the corpus. A block has ``ceil(all words /
-    max_slots)`` words, so the target of a source is met to about a block
-    times the logarithm of the slots, and the schedule has ``max_slots`` rows
-    at any corpus size. No document is taken more than ``max_repeats`` times.
+    The mix has as many words as the corpus. The schedule has ``max_slots``
+    rows at most, at any corpus size, and one for each source that gets none of
+    them; a block has about ``ceil(all words / max_slots)`` words. Every source
+    meets its target to a word. No document is taken more than ``max_repeats`` times.
     Null and empty texts have size 0 and give nothing; a null source is a
     source of its own; repeated rows are documents of their own; an empty
     table gives an empty result. Reruns agree, since the shuffle is a hash of
@@ -95,10 +122,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     sources = cut(source_targets(sizes, weights, max_repeats), "mix-sources")
     total = sources.agg(F.coalesce(F.max("total"), F.lit(0)).alias("n")).first()["n"]
     block = max(1, -(-total // max_slots))
-    slots = schedule(sources, block, -(-total // block), max_repeats)
-    uses = slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-
-    line = sizes.join(sources.select("source", "sid", "source_size", "target"), sizes["source"].eqNullSafe(sources["source"]), "left").drop(sources["source"])
+    slots = cut(schedule(sources, -(-total // block)), "mix-slots")
+    takes = _blocks(slots, sources)
+    per = slots.groupBy("sid").agg(F.max("slots").alias("slots"))
+    words_ = F.floor("target").cast("long")
+    blocks = sources.join(per, "sid", "left").withColumns({"each": F.expr("CAST(floor(target) AS BIGINT) div slots"), "more": words_ % F.col("slots")})
+    blocks = blocks.select("source", "sid", "source_size", "target", F.greatest(F.coalesce(_width(F.col("each"), F.col("more")), F.lit(1)), F.lit(1)).alias("width"))
+
+    line = sizes.join(blocks, sizes["source"].eqNullSafe(blocks["source"]), "left").drop(blocks["source"])
     line = line.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     line = line.withColumn("bin", F.substring("order", 1, 3))
     bins = line.groupBy("sid", "bin").agg(F.sum("size").alias("n"))
@@ -108,9 +139,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     line = line.withColumn("start", F.col("offset") + F.col("so_far") - F.col("size"))
 
     kept = ["sid", *by_row, "source_size", "target", "start"]
-    pieces = line.where("size > 0").select(*kept, F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = pieces.join(uses, ["sid", "block"], "left").groupBy(*kept).agg(F.sum(overlap * F.coalesce("uses", F.lit(0))).alias("taken"))
+    cells = F.expr("sequence(start div width, (start + size - 1) div width)")
+    pieces = line.where("size > 0").select(*kept, "width", F.explode(cells).alias("cell"))
+    low, high = F.greatest(F.col("start"), F.col("cell") * F.col("width")), F.least(F.col("start") + F.col("size"), (F.col("cell") + 1) * F.col("width"))
+    pieces = pieces.withColumns({"low": low, "high": high}).join(takes, ["sid", "cell"], "left")
+    overlap = F.aggregate(F.coalesce("takes", F.array()), F.lit(0).cast("long"), lambda n, t: n + F.greatest(F.least(t["b"], F.col("high")) - F.greatest(t["a"], F.col("low")), F.lit(0)))
+    taken = pieces.groupBy(*kept).agg(F.sum(overlap).alias("taken"))
     nothing = line.where("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(nothing).select(*by_row, "source_size", "target", "taken")
 
@@ -153,27 +187,31 @@ s4 AS (
 ), s6 AS (
   SELECT *, CAST(least(4294967296, floor(sum(target) OVER (ORDER BY sid) / CAST(total AS DOUBLE) * 4294967296)) AS BIGINT) AS high FROM s5
 ), s AS (
-  SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0) AS low,
+  SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0) AS low, CAST(floor(target) AS BIGINT) AS words,
          greatest(1, (total + 1048575) // 1048576) AS block FROM s6
 ), slots AS (
   SELECT slot, (slot * 2654435769) % 4294967296 AS point
   FROM (SELECT unnest(range((SELECT (max(total) + max(block) - 1) // max(block) FROM s))) AS slot)
+), hits AS (
+  SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS r, count(*) OVER (PARTITION BY sid) AS k FROM slots JOIN s ON point >= low AND point < high
 ), ranked AS (
-  SELECT s.sid, s.source_size, s.block AS words, row_number() OVER (PARTITION BY s.sid ORDER BY slot) - 1 AS r
-  FROM slots JOIN s ON point >= low AND point < high
-), uses AS (
-  SELECT sid, r % ((source_size + words - 1) // words) AS block, count(*) AS uses FROM ranked
-  WHERE r // ((source_size + words - 1) // words) < 3 GROUP BY ALL
-), line AS (
-  SELECT d.*, s.sid, s.source_size, s.target, s.block AS words,
+  SELECT * FROM hits UNION ALL SELECT sid, 0, 1 FROM s WHERE words > 0 AND sid NOT IN (SELECT sid FROM hits)
+), cut AS (
+  SELECT sid, source_size, r * (words // k) + least(r, words % k) AS a, (r + 1) * (words // k) + least(r + 1, words % k) AS b FROM ranked JOIN s USING (sid) WHERE words > 0
+), rounds AS (SELECT *, unnest(range(a // source_size, (b - 1) // source_size + 1)) AS round FROM cut WHERE b > a),
+takes AS (
+  SELECT sid, greatest(a - round * source_size, 0) AS a, least(b - round * source_size, source_size) AS b FROM rounds
+), taken_cells AS (SELECT *, unnest(range(a // 256, (b - 1) // 256 + 1)) AS cell FROM takes),
+line AS (
+  SELECT d.*, s.sid, s.source_size, s.target,
          CAST(sum(d.size) OVER (PARTITION BY s.sid ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start
   FROM sizes d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 ), pieces AS (
-  SELECT *, unnest(range(start // words, (start + size - 1) // words + 1)) AS block FROM line WHERE size > 0
+  SELECT *, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS cell FROM line WHERE size > 0
 )
-SELECT doc_id, size, source_size, target,
-       CAST(sum((least(start + size, (block + 1) * words) - greatest(start, block * words)) * coalesce(uses, 0)) AS BIGINT) AS taken
-FROM pieces LEFT JOIN uses USING (sid, block) GROUP BY doc_id, size, source_size, target, start
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       CAST(coalesce(sum(greatest(least(p.start + p.size, t.b, (p.cell + 1) * 256) - greatest(p.start, t.a, p.cell * 256), 0)) FILTER (t.sid IS NOT NULL), 0) AS BIGINT) AS taken
+FROM pieces p LEFT JOIN taken_cells t ON t.sid = p.sid AND t.cell = p.cell GROUP BY p.sid, p.doc_id, p.size, p.source_size, p.target, p.start
 UNION ALL
 SELECT doc_id, size, source_size, target, 0 FROM line WHERE size = 0
 """
