@@ -523,16 +523,83 @@ def test_url_filter(spark, nothing):
         (14, "https://both.info", '<link rel=canonical href="//x.com/en/#z">'), (15, "http://x.com/en/?utm_source=a", ""), (1, "http://A.Example.COM/en/5?q=1", None), (None, "http://q.info/", '<link rel="canonical" href="/r">'), (17, "http://q.info/r?utm_a=1", ""),
     ]
     d = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, rule string")
-    r = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in url_filter.filter_urls(d, url_filter.rule_table(spark, url_filter.RULES), 5).collect()}
+    r = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in url_filter.filter_urls(d, url_filter.rule_table(spark, url_filter.RULES)).collect()}
     assert r == {
         1: ("a.example.com", "/en/5", "com/en/", "block"), 2: ("x.com", "/en/", "com/en/", "block"), 3: ("example.com", "/en/77", "example.com/en/7", "allow"), 4: ("notexample.com", "/en/7", "com/en/", "block"),
         5: ("a.net", "/de/8", "net/de/", "allow"), 6: ("b.example.net", "/de/80", "example.net/de/8", "block"), 7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("org", "/es/", "org/es/", "block"), 10: ("com", "/es/", None, "allow"),
         11: ("alias.info", "/p", None, "allow"), 12: ("alias2.info", "/p", None, "allow"), 13: ("both.info", "/", None, "allow"), 14: ("both.info", "", None, "allow"), 15: ("x.com", "/en/", "com/en/", "block"),
         None: ("q.info", "/", None, "allow"), 17: ("q.info", "/r", None, "allow"),
     } | {11: ("alias.info", "/p", None, "allow"), 12: ("alias2.info", "/p", None, "allow")}
-    alone = {x["page_id"]: x["verdict"] for x in url_filter.filter_urls(d.where("page_id NOT IN (13, 14)"), url_filter.rule_table(spark, url_filter.RULES), 5).collect()}
+    alone = {x["page_id"]: x["verdict"] for x in url_filter.filter_urls(d.where("page_id NOT IN (13, 14)"), url_filter.rule_table(spark, url_filter.RULES)).collect()}
     assert alone[11] == alone[12] == "block"
-    assert url_filter.filter_urls(d.limit(0), url_filter.rule_table(spark, url_filter.RULES), 5).count() == 0
+    assert url_filter.filter_urls(d.limit(0), url_filter.rule_table(spark, url_filter.RULES)).count() == 0
+
+
+def test_links_are_read_tag_by_tag(spark):
+    here, there = "http://host.com/a/b", "http://x.com/en/?a=1&b=2"
+    pages = {
+        "entities": ('<link rel="canonical" href="http://x.com/en/?a=1&amp;b=2">', [there]),
+        "list": ("<link href='http://x.com/en/?a=1&#38;b=2' rel=' Alternate  CANONICAL'>", [there]),
+        "greater": ('<link title="a > b" rel="canonical" href="http://x.com/en/?a=1&b=2">', [there]),
+        "base": ('<base href="http://x.com/en/page"><link rel=canonical href="?a=1&b=2"><link rel=canonical href="other">', ["http://x.com/en/page?a=1&b=2", "http://x.com/en/other"]),
+        "relative base": ('<base href="/c/"><base href="/d/"><link rel=canonical href="x">', ["http://host.com/c/x"]),
+        "comment": ('<!-- <link rel="canonical" href="http://x.com/en/"> --><p>', []),
+        "open comment": ('<!-- <link rel="canonical" href="http://x.com/en/">', []),
+        "other name": ('<link data-rel="canonical" rel="next" href="http://x.com/en/">', []),
+        "other tag": ('<linked rel="canonical" href="http://x.com/en/">', []),
+        "no href": ("<link rel=canonical>", []),
+        "first wins": ('<link rel=canonical href="http://x.com/1" href="http://x.com/2">', ["http://x.com/1"]),
+        "long": ("<p>" * 200_000 + '<link rel=canonical href="/z">', ["http://host.com/z"]),
+        "many quotes": ("<link " + 'a="b" ' * 5000 + 'rel=canonical href="/z">', []),
+        "slash": ('<link rel="canonical" href="/z"/>', ["http://host.com/z"]),
+        "refresh": ('<meta http-equiv="Refresh" content="5;URL=&quot;/q&quot;">', ["http://host.com/q"]),
+        "no refresh": ('<meta http-equiv="refresh" content="5"><meta name=refresh content="0;url=/q">', []),
+    }
+    d = spark.createDataFrame([(k, here, html) for k, (html, _) in pages.items()], "k string, url string, html string")
+    found = {r["k"]: r["t"] for r in d.select("k", url_filter.targets(F.col("url"), F.col("html")).alias("t")).collect()}
+    assert found == {k: t for k, (_, t) in pages.items()}
+    a = spark.createDataFrame([("http://h:80/x/",), ("https://h:443/x",), ("http://h:443/x",), ("h/x",)], "u string").select(url_filter.address(F.col("u")).alias("a"))
+    assert [r["a"] for r in a.collect()] == ["h/x", "h/x", "h:443/x", None]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_aliases_of_random_graphs(spark, seed):
+    """Verdicts of pages in components of random links, relative and absolute, by canonical link or refresh."""
+    rng = random.Random(seed)
+    hosts = ["x.com/en/", "example.com/en/7", "a.net/de/", "plain.info/p", "other.info/q", "o.org/es/"]
+    urls = [f"http://{rng.choice(hosts)}{k}" if rng.random() < 0.3 else f"http://plain.info/p{k}" for k in range(120)]
+    index = {u.removeprefix("http://"): k for k, u in enumerate(urls)}
+    parent = list(range(len(urls)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    pages = []
+    for k, u in enumerate(urls):
+        html = "<p>no link</p>"
+        if rng.random() < 0.5:
+            to = rng.randrange(len(urls))
+            target = urls[to].removeprefix("http://plain.info") if u.startswith("http://plain.info/") and urls[to].startswith("http://plain.info/") else urls[to]
+            html = f'<link rel="canonical" href="{target}">' if rng.random() < 0.5 else f'<meta http-equiv="refresh" content="0; url={target}">'
+            parent[root(k)] = root(to)
+        pages.append((k, u, html))
+    rules = [(v, *r.split("/", 1)) for v, r in url_filter.RULES]
+
+    def ruled(u):
+        host, path = u.removeprefix("http://").split("/", 1)
+        fits = [(len(h) + len(p), v == "allow") for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    allowed = defaultdict(list)
+    for k, u in enumerate(urls):
+        if ruled(u) is not None:
+            allowed[root(k)].append(ruled(u))
+    expected = {k: "allow" if (ruled(u) if ruled(u) is not None else any(allowed[root(k)]) or not allowed[root(k)]) else "block" for k, u in enumerate(urls)}
+    assert len(index) == len(urls) and len(set(expected.values())) == 2
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(d, url_filter.rule_table(spark, url_filter.RULES)).collect()} == expected
 
 
 def test_link_targets(spark):

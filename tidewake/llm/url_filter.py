@@ -28,10 +28,14 @@ HOST = r"^.*?://([^/?#]*)"
 PATH = r"^.*?://[^/?#]*([^?#]*)"
 QUERY = r"^[^?#]*(\?[^#]*)"
 TRACKING = r"(?<=[?&])(utm_[a-z]+=[^&]*&?)"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+#: A tag's attributes, quoted ones with any character; a tag of over 200 pieces is none.
+_REST = r"""(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+'){0,200}+>"""
+TAGS = r"(?is)<(?:link|meta|base)" + _REST
+ATTRIBUTE = r"""(?s)(?<=[\s"'/])([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+REFRESH_URL = r"""(?is)^[\s\d.]*[;,]?\s*url\s*=\s*["']?([^"'\s]+)"""
+#: Entities that addresses are written with; the ampersand comes last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,9 +48,10 @@ def path_of(url: Column) -> Column:
 
 
 def address(url: Column) -> Column:
-    """Host, path without a slash at its end, and query without campaign parameters; null without ``://``."""
+    """Host without its scheme's own port, path without a slash at its end, and query without campaign parameters; null without ``://``."""
+    host = F.when(url.rlike("(?i)^http://"), F.regexp_replace(host_of(url), ":80$", "")).when(url.rlike("(?i)^https://"), F.regexp_replace(host_of(url), ":443$", "")).otherwise(host_of(url))
     query = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, "(?s)" + QUERY, 1), TRACKING, ""), r"[?&]$", "")
-    return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(path_of(url), r"/+$", ""), query))
+    return F.when(url.contains("://"), F.concat(host, F.regexp_replace(path_of(url), r"/+$", ""), query))
 
 
 def _resolved(path: Column) -> Column:
@@ -61,27 +66,48 @@ def _resolved(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends_in_folder & (F.size(kept) > 0), "/").otherwise(""))
 
 
+def absolute(to: Column, base: Column) -> Column:
+    """The address that ``to`` means on a page of address ``base``; other schemes, bare fragments and nothing are null."""
+    scheme, here = F.regexp_extract(base, r"(?s)^(.*?)://", 1), path_of(base)
+    site, folder = F.concat(scheme, F.lit("://"), host_of(base)), F.regexp_replace(path_of(base), r"[^/]*$", "")
+    path, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$"), None)
+        .when(to.startswith("?"), F.concat(site, here, to))
+        .when(to.startswith("/"), F.concat(site, _resolved(path), rest))
+        .otherwise(F.concat(site, _resolved(F.concat(folder, path)), rest))
+    )
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """A tag's first attribute of a name, without quotes and with entities decoded; null if there is none."""
+    pairs = F.arrays_zip(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)).alias("name"), F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)).alias("value"))
+    value = F.get(F.filter(pairs, lambda p: F.lower(p["name"]) == name), F.lit(0))["value"]
+    value = F.trim(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
+    for entity, character in ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(character))
+    return value
+
+
 def targets(url: Column, html: Column) -> Column:
-    """Absolute targets of a page's canonical links and meta refreshes (unique, without nulls); other schemes and bare fragments are none."""
-    scheme, here = F.regexp_extract(url, r"(?s)^(.*?)://", 1), path_of(url)
-    site = F.concat(scheme, F.lit("://"), host_of(url))
-    folder = F.regexp_replace(here, r"[^/]*$", "")
+    """Absolute targets of a page's canonical links and meta refreshes (unique, without nulls), read tag by tag.
 
-    def absolute(to: Column) -> Column:
-        path, rest = F.regexp_extract(to, r"^([^?#]*)", 1), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
-        return (
-            F.when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-            .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-            .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$"), None)
-            .when(to.startswith("?"), F.concat(site, here, to))
-            .when(to.startswith("/"), F.concat(site, _resolved(path), rest))
-            .otherwise(F.concat(site, _resolved(F.concat(folder, path)), rest))
-        )
+    Comments are left out first; an attribute is quoted or bare, ``rel`` is a
+    list of words, and relative addresses begin at the page's ``base``, if it has one.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(html, COMMENT, ""), F.lit(TAGS), F.lit(0))
+    bases = F.filter(tags, lambda t: t.rlike(r"(?i)^<base\b") & attribute(t, "href").isNotNull())
+    base = F.coalesce(absolute(attribute(F.get(bases, F.lit(0)), "href"), url), url)
 
-    def of(tag: str, target: str) -> Column:
-        return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: absolute(F.regexp_extract(x, target, 1)))
+    def target(tag: Column) -> Column:
+        words = F.split(F.lower(attribute(tag, "rel")), r"\s+")
+        refresh = F.nullif(F.regexp_extract(attribute(tag, "content"), REFRESH_URL, 1), F.lit(""))
+        return F.when(tag.rlike(r"(?i)^<link\b") & F.array_contains(words, "canonical"), attribute(tag, "href")).when(tag.rlike(r"(?i)^<meta\b") & (F.lower(attribute(tag, "http-equiv")) == "refresh"), refresh)
 
-    return F.when(html.rlike("(?i)canonical|refresh"), F.array_compact(F.array_distinct(F.concat(of(CANONICAL, HREF), of(REFRESH, REFRESH_URL)))))
+    found = F.array_compact(F.transform(tags, target))
+    return F.when(html.rlike("(?i)canonical|refresh"), F.array_compact(F.array_distinct(F.transform(found, lambda t: absolute(t, base)))))
 
 
 def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataFrame:
@@ -89,7 +115,7 @@ def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataF
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
     ``rules`` has columns verdict (allow or block) and rule (host and path).
@@ -99,7 +125,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
     allow. A null url, or one without ``://``, has empty host and path, no rule
     and no alias, and is allowed. Null html has no links. Repeated rows are
     judged alike; other columns are ignored; an empty table gives an empty
-    result.
+    result. Very long html is read whole, in the scan, if it speaks of a canonical link or a refresh at all.
     """
     url = F.col("url")
     p = cut(
@@ -114,7 +140,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
     rule_host, rule_path = F.regexp_extract("rule", r"^([^/]*)", 1), F.regexp_extract("rule", r"^[^/]*(.*)$", 1)
     r = rules.select("verdict", "rule", rule_host.alias("suffix"), rule_path.alias("rule_path"))
     hosts = p.where("host <> ''").select("row", "path", parts.alias("parts")).select("row", "path", F.explode(suffix).alias("suffix"))
-    fits = hosts.join(F.broadcast(r) if n_rules <= BROADCAST_RULES else r, "suffix").where(F.col("path").startswith(F.col("rule_path")))
+    fits = hosts.join(F.broadcast(r) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else r, "suffix").where(F.col("path").startswith(F.col("rule_path")))
     best = F.max(F.struct(F.length("rule").alias("length"), (F.col("verdict") == "allow").alias("allow"), "rule")).alias("best")
     ruled = p.join(fits.groupBy("row").agg(best), "row", "left")
 
@@ -130,7 +156,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES), len(RULES))
+    return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
 OP8_SQL = r"""
