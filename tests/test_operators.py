@@ -428,6 +428,13 @@ def test_daily_job(spark, small, tmp_path):
     with pytest.raises(ValueError):
         daily_job.run_range(spark, "2024-01-10", "2024-01-09", paths)
 
+    # what a run publishes again depends on its own folder alone
+    mine = paths.of_run(spark, "port_visits", schemas.VISITS, "2024-01-10T00:00:00Z")
+    assert mine.count() == published.count() and mine.where("run_id <> '2024-01-10T00:00:00Z'").isEmpty()
+    assert all("/of_run=2024-01-10T000000Z/" in f for f in mine.inputFiles())
+    assert spark.read.parquet(f"{out}/port_visits").select("run_id").distinct().count() == 2
+    assert paths.of_run(spark, "port_visits", schemas.VISITS, "2030-01-01T00:00:00Z").isEmpty()
+
     # a rerun without the positions of one visit leaves a tombstone and the others alive
     gone = published.orderBy("visit_id").first()
     rest = t.positions_raw.where(~((F.col("mmsi") == gone["mmsi"]) & F.col("msgtime").between(gone["arrival_at"], gone["last_observed_at"])))

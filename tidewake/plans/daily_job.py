@@ -59,6 +59,19 @@ class Paths:
     def append(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").parquet(f"{self.out}/{name}")
 
+    def of_run(self, spark: SparkSession, name: str, schema: str, run: str) -> DataFrame:
+        """The versions of one run, which have a folder of their own in tables that runs publish to."""
+        return read_or_empty(spark, f"{self.out}/{name}/of_run={_folder(run)}", schema)
+
+    def publish(self, df: DataFrame, name: str, run: str) -> None:
+        """Append a run's versions to its folder."""
+        df.write.mode("append").parquet(f"{self.out}/{name}/of_run={_folder(run)}")
+
+
+def _folder(run: str) -> str:
+    """A run's name as a folder: no characters that file systems or readers take for something else."""
+    return run.replace(":", "")
+
 
 def run_day(spark: SparkSession, day: str, paths: Paths, now: datetime | None = None) -> dict[str, int]:
     """Compute and write the day's tables; returns the number of offending rows of each check (all must be 0).
@@ -143,10 +156,10 @@ def _publish_visits(spark: SparkSession, paths: Paths, run: str, start: datetime
     limits = (o.get("min_stay", 1200), o.get("max_gap", 900), o.get("max_speed", 3.0))
     new = visits.detect_visits(seen, ports, *limits).withColumns({"run_id": F.lit(run), "activity_date": F.lit(day).cast("date")})
     new = written(new, "day-visits")
-    paths.append(versioned.publish_snapshot(paths.table(spark, "port_visits", schemas.VISITS), new, run, ["run_id", "visit_id"], "updated_at", now), "port_visits")
+    paths.publish(versioned.publish_snapshot(paths.of_run(spark, "port_visits", schemas.VISITS, run), new, run, ["run_id", "visit_id"], "updated_at", now), "port_visits", run)
     row = {"run_id": run, "window_start": start, "window_end": end, "dataset_hash": dataset_hash(ports), "parameters": repr(limits), "source_rows": seen.count(), "visit_count": new.count(), "completed_at": now}
     paths.append(versioned.complete_run(runs.limit(0), row), "port_visit_runs")
-    return versioned.completed_visits(paths.table(spark, "port_visits", schemas.VISITS), paths.table(spark, "port_visit_runs", schemas.RUNS), run)
+    return versioned.completed_visits(paths.of_run(spark, "port_visits", schemas.VISITS, run), paths.table(spark, "port_visit_runs", schemas.RUNS), run)
 
 
 def _publish_metrics(spark: SparkSession, paths: Paths, run: str, start: datetime, end: datetime, ports: DataFrame, stays: DataFrame, now: datetime) -> None:
@@ -159,16 +172,15 @@ def _publish_metrics(spark: SparkSession, paths: Paths, run: str, start: datetim
     metrics = network.metric_rows(ranks, members, run, F.lit(start), F.lit(end))
     metrics = metrics.join(network.community_labels(metrics, ports).drop("port_count"), ["run_id", "community_id"], "left")
     metrics = written(metrics, "day-metrics")
-    history = paths.table(spark, "port_graph_metrics", schemas.METRICS)
-    paths.append(versioned.publish_snapshot(history, metrics, run, ["run_id", "port_id"], "exported_at", now, window=["window_start", "window_end"]), "port_graph_metrics")
+    history = paths.of_run(spark, "port_graph_metrics", schemas.METRICS, run)
+    paths.publish(versioned.publish_snapshot(history, metrics, run, ["run_id", "port_id"], "exported_at", now, window=["window_start", "window_end"]), "port_graph_metrics", run)
 
 
 def _ports(spark: SparkSession, paths: Paths, run: str, ports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Metrics of the run with names and visit counts, and its communities."""
     nothing = spark.createDataFrame([], "country_code string, iso3 string, numeric_code string, country_name string, region string, capital_city string")
     countries = marts.countries(stg_countries(spark.read.parquet(paths.countries))) if paths.countries else nothing
-    mine = F.col("run_id") == run
-    metrics, stays = (paths.table(spark, n, s).where(mine) for n, s in (("port_graph_metrics", schemas.METRICS), ("port_visits", schemas.VISITS)))
+    metrics, stays = (paths.of_run(spark, n, s, run) for n, s in (("port_graph_metrics", schemas.METRICS), ("port_visits", schemas.VISITS)))
     enriched = marts.port_graph_metrics_enriched(metrics, ports, countries, stays)
     return enriched, marts.port_graph_communities(enriched)
 
