@@ -25,6 +25,8 @@ RUN, WINDOW = "2024-01-01T00:00:00Z", ("2024-01-01 00:00:00", "2024-02-01 00:00:
 DAMPING, ROUNDS = 0.85, 5
 SIZES, SLIDE = (5, 15, 30, 60), 5
 GAP_TIMEOUT = 600
+#: Positions folded into the six minutes from this time, in microseconds, so that the latest window has nearly all vessels.
+FOLD_BASE, FOLD = 1_706_000_400_000_000, 360_000_000
 
 
 #: First numbers of the ranges from which single users' identity numbers are taken; the first is a ship's, the others are not, or have too few digits.
@@ -78,6 +80,11 @@ class Tables:
         again = p.where("seq % 17 = 0").withColumns({"ingested_at": F.col("ingested_at") + F.expr("INTERVAL 1 HOUR"), "speed_over_ground": F.col("speed_over_ground") + 1})
         return p.unionByName(again)
 
+    def folded(self, positions: DataFrame) -> DataFrame:
+        """Positions of all times as if of six minutes; every sixth vessel has no speeds."""
+        at = F.timestamp_micros(F.lit(FOLD_BASE) + F.pmod(F.unix_micros("msgtime"), F.lit(FOLD)))
+        return positions.withColumns({"msgtime": at, "speed_over_ground": F.when(F.col("mmsi") % 6 != 0, F.col("speed_over_ground"))})
+
     @cached_property
     def ports(self) -> DataFrame:
         s, n = self.read("supplier"), self.read("nation")
@@ -146,6 +153,13 @@ _CATEGORY = " ".join(f"WHEN {t} THEN '{c}'" for t, c in CATEGORIES.items())
 CLASS_SQL = """(CASE WHEN length(CAST(mmsi AS VARCHAR)) <> 9 THEN 'invalid_length' WHEN mmsi // 1000000 = 111 THEN 'sar_aircraft' WHEN mmsi // 10000000 = 99 THEN 'aid_to_navigation'
           WHEN mmsi // 1000000 = 970 THEN 'ais_sart' WHEN mmsi // 100000000 BETWEEN 2 AND 7 THEN 'ship' ELSE 'nonstandard' END)"""
 
+def _windows_sql(positions: str, m: int) -> str:
+    return f"""SELECT mmsi, {m} AS window_minutes, make_timestamp(w * {SLIDE * 60_000_000}) AS window_start, make_timestamp(w * {SLIDE * 60_000_000} + {m * 60_000_000}) AS window_end, count(*) AS position_count,
+          avg(speed_over_ground) AS avg_speed, min(speed_over_ground) AS min_speed, max(speed_over_ground) AS max_speed, arg_max(name, (msgtime, seq)) FILTER (name IS NOT NULL) AS name,
+          last(ship_type ORDER BY msgtime, seq) AS ship_type, last(navigational_status ORDER BY msgtime, seq) AS last_navigation_status
+          FROM (SELECT *, unnest(range(epoch_us(msgtime) // {SLIDE * 60_000_000} - {m // SLIDE - 1}, epoch_us(msgtime) // {SLIDE * 60_000_000} + 1)) AS w FROM {positions}) GROUP BY mmsi, w"""
+
+
 #: DuckDB definitions; a name used in a text is defined before it.
 CTES: dict[str, str] = {
     "positions_raw": f"""
@@ -263,14 +277,12 @@ CTES: dict[str, str] = {
           SELECT any_value(k) + 1, n.node, CAST({1 - DAMPING} AS DOUBLE) + CAST({DAMPING} AS DOUBLE) * coalesce(sum(page_rank * s) FILTER (dst = n.node), 0)
           FROM nodes n, step JOIN share ON step.node = share.src WHERE k < {ROUNDS} GROUP BY n.node)
         SELECT node, page_rank FROM step WHERE k = {ROUNDS}""",
-    "window_features": " UNION ALL ".join(
-        f"""SELECT mmsi, {m} AS window_minutes, make_timestamp(w * {SLIDE * 60_000_000}) AS window_start, make_timestamp(w * {SLIDE * 60_000_000} + {m * 60_000_000}) AS window_end, count(*) AS position_count,
-          avg(speed_over_ground) AS avg_speed, min(speed_over_ground) AS min_speed, max(speed_over_ground) AS max_speed, arg_max(name, (msgtime, seq)) FILTER (name IS NOT NULL) AS name,
-          last(ship_type ORDER BY msgtime, seq) AS ship_type, last(navigational_status ORDER BY msgtime, seq) AS last_navigation_status
-          FROM (SELECT *, unnest(range(epoch_us(msgtime) // {SLIDE * 60_000_000} - {m // SLIDE - 1}, epoch_us(msgtime) // {SLIDE * 60_000_000} + 1)) AS w FROM positions) GROUP BY mmsi, w"""
-        for m in SIZES
-    ),
+    "window_features": " UNION ALL ".join(_windows_sql("positions", m) for m in SIZES),
     "window_labels": "SELECT f.*, ship_type_name, ship_category, navigational_status_name AS last_navigation_status_name FROM window_features f LEFT JOIN ship_types USING (ship_type) LEFT JOIN status_names ON last_navigation_status = navigational_status",
+    "folded": f"""
+        SELECT * REPLACE (make_timestamp({FOLD_BASE} + epoch_us(msgtime) % {FOLD}) AS msgtime, CASE WHEN mmsi % 6 <> 0 THEN speed_over_ground END AS speed_over_ground) FROM positions""",
+    "folded_windows": _windows_sql("folded", 30),
+    "folded_labels": "SELECT f.*, ship_type_name, ship_category, navigational_status_name AS last_navigation_status_name FROM folded_windows f LEFT JOIN ship_types USING (ship_type) LEFT JOIN status_names ON last_navigation_status = navigational_status",
     "gap_pairs": f"""
         SELECT * FROM (SELECT mmsi, name, msgtime AS last_at, navigational_status, ship_type, lead(msgtime) OVER w AS resumed_at, lead(navigational_status) OVER w AS resumed_status, lead(ship_type) OVER w AS resumed_type,
             coalesce(lead(name) OVER w, name) AS resumed_name, latitude, longitude

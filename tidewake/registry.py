@@ -341,10 +341,19 @@ def louvain(t: Tables) -> DataFrame:
 
 
 def window_table(t: Tables) -> DataFrame:
+    return _window_table(t, positions(t))
+
+
+def folded_window_table(t: Tables) -> DataFrame:
+    """Windows of positions that lie close together: the latest one holds many vessels, some without speeds."""
+    return _window_table(t, t.folded(positions(t)), (30,))
+
+
+def _window_table(t: Tables, p: DataFrame, sizes: tuple[int, ...] = B.SIZES) -> DataFrame:
     from tidewake.streaming import windows as W
 
-    e = positions(t).select("mmsi", F.col("msgtime").alias("event_time"), "seq", "name", F.col("speed_over_ground").alias("speed"), "ship_type", F.col("navigational_status").alias("navigation_status"))
-    return W.labelled(W.window_features(e, B.SIZES, B.SLIDE, order=("event_time", "seq")), t.ship_types, t.status_names)
+    e = p.select("mmsi", F.col("msgtime").alias("event_time"), "seq", "name", F.col("speed_over_ground").alias("speed"), "ship_type", F.col("navigational_status").alias("navigation_status"))
+    return W.labelled(W.window_features(e, sizes, B.SLIDE, order=("event_time", "seq")), t.ship_types, t.status_names)
 
 
 def gap_table(t: Tables) -> DataFrame:
@@ -360,8 +369,6 @@ def as_of():
     return F.lit("2024-01-20 12:00:00").cast("timestamp")
 
 
-_W = "(SELECT * FROM window_labels WHERE window_minutes = 30) f"
-_LATEST = "window_end = (SELECT max(window_end) FROM window_labels WHERE window_minutes = 30)"
 R = B.sql_round
 _SPEEDS = ", ".join(f"{R(c, 2)} AS {c}" for c in ("avg_speed", "min_speed", "max_speed"))
 
@@ -435,12 +442,15 @@ def _reports() -> None:
     from tidewake import reports as P
 
     w, g = window_table, gap_table
-    _report("active_vessels_latest", f"SELECT count(DISTINCT mmsi) AS active_vessels FROM {_W} WHERE {_LATEST}", lambda t: P.active_vessels_latest(w(t), 30))
-    _report("average_speed_latest", f"SELECT {R('avg(avg_speed)', 2)} AS avg_speed FROM {_W} WHERE {_LATEST}", lambda t: P.average_speed_latest(w(t), 30))
-    _report("fastest_latest", f"SELECT mmsi, name, ship_category, last_navigation_status_name, {R('avg_speed', 2)} AS avg_speed, {R('max_speed', 2)} AS max_speed FROM {_W} WHERE {_LATEST} AND max_speed IS NOT NULL ORDER BY f.max_speed DESC, mmsi LIMIT 10", lambda t: P.fastest_latest(w(t), 30))
-    _report("categories_latest", f"SELECT coalesce(ship_category, 'Unknown') AS ship_category, count(DISTINCT mmsi) AS vessels FROM {_W} WHERE {_LATEST} GROUP BY 1", lambda t: P.categories_latest(w(t), 30))
-    _report("statuses_latest", f"SELECT coalesce(last_navigation_status_name, 'Unknown') AS navigation_status, count(DISTINCT mmsi) AS vessels FROM {_W} WHERE {_LATEST} GROUP BY 1", lambda t: P.statuses_latest(w(t), 30))
-    _report("features_latest", f"SELECT name, mmsi, ship_category, last_navigation_status_name AS navigation_status, position_count, {_SPEEDS}, {us('window_start', 'window_end')} FROM {_W} WHERE {_LATEST} ORDER BY f.max_speed DESC NULLS LAST, mmsi LIMIT 100", lambda t: P.features_latest(w(t), 30))
+    for suffix, w, labels in (("", window_table, "window_labels"), ("_of_many", folded_window_table, "folded_labels")):
+        source, latest = f"(SELECT * FROM {labels} WHERE window_minutes = 30) f", f"window_end = (SELECT max(window_end) FROM {labels} WHERE window_minutes = 30)"
+        _report(f"active_vessels_latest{suffix}", f"SELECT count(DISTINCT mmsi) AS active_vessels FROM {source} WHERE {latest}", lambda t, w=w: P.active_vessels_latest(w(t), 30))
+        _report(f"average_speed_latest{suffix}", f"SELECT {R('avg(avg_speed)', 2)} AS avg_speed FROM {source} WHERE {latest}", lambda t, w=w: P.average_speed_latest(w(t), 30))
+        _report(f"fastest_latest{suffix}", f"SELECT mmsi, name, ship_category, last_navigation_status_name, {R('avg_speed', 2)} AS avg_speed, {R('max_speed', 2)} AS max_speed FROM {source} WHERE {latest} AND max_speed IS NOT NULL ORDER BY f.max_speed DESC, mmsi LIMIT 10", lambda t, w=w: P.fastest_latest(w(t), 30))
+        _report(f"categories_latest{suffix}", f"SELECT coalesce(ship_category, 'Unknown') AS ship_category, count(DISTINCT mmsi) AS vessels FROM {source} WHERE {latest} GROUP BY 1", lambda t, w=w: P.categories_latest(w(t), 30))
+        _report(f"statuses_latest{suffix}", f"SELECT coalesce(last_navigation_status_name, 'Unknown') AS navigation_status, count(DISTINCT mmsi) AS vessels FROM {source} WHERE {latest} GROUP BY 1", lambda t, w=w: P.statuses_latest(w(t), 30))
+        _report(f"features_latest{suffix}", f"SELECT name, mmsi, ship_category, last_navigation_status_name AS navigation_status, position_count, {_SPEEDS}, {us('window_start', 'window_end')} FROM {source} WHERE {latest} ORDER BY f.max_speed DESC NULLS LAST, mmsi LIMIT 100", lambda t, w=w: P.features_latest(w(t), 30))
+    w = window_table
     _report("windows_by_size", "SELECT window_minutes, count(*) AS windows FROM window_labels GROUP BY 1", lambda t: P.windows_by_size(w(t)))
     _report("newest_features", f"SELECT mmsi, window_minutes, {us('window_start', 'window_end')}, position_count FROM window_labels f ORDER BY f.window_end DESC, mmsi, window_minutes LIMIT 20", lambda t: P.newest_features(w(t)).select("mmsi", "window_minutes", "window_start", "window_end", "position_count"))
     ended = f"FROM gap_labels WHERE event_type = 'AIS_GAP_ENDED' AND gap_ended_at >= {AS_OF_SQL} - INTERVAL"

@@ -267,7 +267,9 @@ class Silences:
         self.query = out.option("checkpointLocation", f"{self.folder}/checkpoint").trigger(processingTime="1 second").start()
 
     def stop(self) -> None:
-        while self.query.isActive and self.query.status["isTriggerActive"]:
+        """Between two batches if there is a pause soon, else within one, which is then done again from the checkpoint."""
+        end = time.monotonic() + 5
+        while time.monotonic() < end and self.query.isActive and self.query.status["isTriggerActive"]:
             time.sleep(0.1)
         self.query.stop()
 
