@@ -433,6 +433,43 @@ def test_bit_sliced_links_join_all_near_prints(spark, monkeypatch, part):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_crowded_buckets_meet_by_finer_blocks(spark):
+    # every 26-bit difference is in the blocks that one table leaves free: all prints share its bucket, and only prints of 15 or 16 more equal bits meet
+    rng = random.Random(4)
+    free = [b for b in range(64) if not simhash.MASKS[0] >> b & 1]
+    prints = {sum(1 << b for b in rng.sample(free, rng.randint(0, len(free)))) for _ in range(3000)}
+    prints |= {p ^ 1 << rng.choice(free) ^ 1 << rng.choice(free) for p in list(prints)[:500]}
+    links = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"))
+    found = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    label, todo = {}, sorted(prints)
+    steps = [1 << a | 1 << b for a in free for b in free]  # a = b: one bit
+    for p in todo:
+        if p not in label:
+            label[p], seen = p, [p]
+            while seen:
+                q = seen.pop()
+                for x in steps:
+                    if q ^ x in prints and q ^ x not in label:
+                        label[q ^ x] = p
+                        seen.append(q ^ x)
+    mine, theirs = defaultdict(set), defaultdict(set)
+    for p in prints:
+        mine[found.get(signed(p), signed(p))].add(p)
+        theirs[label[p]].add(p)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+    assert all(bin(m).count("1") >= 53 and m & kept == kept for kept, finer in zip(simhash.MASKS, simhash.FINER_MASKS, strict=True) for m in finer)
+
+
+def test_simhash_of_a_very_long_text(spark):
+    rng = random.Random(5)
+    w = [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(300_000)]
+    texts = [" ".join(w), "\t".join(w).upper(), "x" * 2_000_000, ""]
+    d = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, fp long").withColumn("bucket", F.lit(1)).withColumn("n", F.lit(1))
+    found = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(d).collect()}
+    prints = [plain_fingerprint(t) for t in texts]
+    assert found == {i: (signed(p), c) for (i, p), c in zip(enumerate(prints), brute_components(range(4), prints), strict=True)}
+
+
 def test_near_over_several_words():
     rng = np.random.default_rng(0)
     v = rng.integers(0, 1 << 63, 300).astype(np.uint64)
@@ -740,21 +777,69 @@ def test_suffix_arrays():
 # ---------------------------------------------------------------- 10
 
 
+def plain_best_fit(items, capacity, max_bins=None):
+    """Bin of each (key, size) of items in order, one at a time; None if more than max_bins are needed."""
+    left, where = [], {}
+    for key, size in items:
+        room = [(r, b) for b, r in enumerate(left) if r >= size]
+        b = min(room)[1] if room else len(left)
+        if not room:
+            left.append(capacity)
+        left[b] -= size
+        where[key] = b
+        if size > capacity or (max_bins is not None and len(left) > max_bins):
+            return None
+    return where
+
+
 def test_best_fit_decreasing():
     rng = random.Random(9)
-    for _ in range(30):
-        items = [(f"{k}", rng.randint(1, 100)) for k in range(rng.randint(1, 120))]
-        left, where = [], {}
-        for key, size in sorted(items, key=lambda x: (-x[1], x[0])):
-            room = [(r, b) for b, r in enumerate(left) if r >= size]
-            if room:
-                b = min(room)[1]
-                left[b] -= size
-            else:
-                b = len(left)
-                left.append(100 - size)
-            where[key] = b
-        assert sharding.best_fit_decreasing(items, 100) == where
+    for trial in range(60):
+        sizes = [rng.randint(1, 100 if trial % 2 else 6) for _ in range(rng.randint(1, 120))]
+        where = plain_best_fit([(k, s) for k, s in enumerate(sorted(sizes, reverse=True))], 100)
+        runs = sharding.best_fit_decreasing(Counter(sizes).items(), 100)
+        assert [b for s in sorted(runs, reverse=True) for b, n in runs[s] for _ in range(n)] == list(where.values())
+        few = max(where.values())
+        assert sharding.best_fit_decreasing(Counter(sizes).items(), 100, few) is None or not few
+    assert sharding.best_fit_decreasing([(101, 1)], 100) is None and sharding.best_fit_decreasing([], 0) == {}
+
+
+def test_shards_of_a_whole_table(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    # one text is a third of all rows; texts of equal sizes differ
+    d = d.unionByName(spark.range(10_000, 10_500).select(F.col("id").alias("doc_id"), F.lit("a copy of many").alias("text")))
+    d = d.unionByName(spark.range(20_000, 20_300).select(F.col("id").alias("doc_id"), F.concat(F.lit("of one size "), "id").alias("text")))
+    monkeypatch.setattr(sharding, "DIGITS", 64)
+    rows = d.collect()
+    groups = Counter()
+    for r in rows:
+        groups[r["text"]] += len((r["text"] or "").encode()) + 1
+    digest = {t: "-" if t is None else hashlib.md5(t.encode()).hexdigest() for t in groups}
+    items = sorted(groups.items(), key=lambda x: (-x[1], digest[x[0]]))
+    total = sum(groups.values())
+    found = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(d).collect()}
+    load = Counter()
+    for r in rows:
+        load[found[r["doc_id"]]] += len((r["text"] or "").encode()) + 1
+    capacity = max(load.values())
+    where = plain_best_fit(items, max(capacity, -(-total // 16)), 16)
+    assert {i: where[t] for i, t in ((r["doc_id"], r["text"]) for r in rows)} == found
+    assert max(load.values()) <= -(-total // 16) * 1.0002
+    # by leading digits alone the shards are as even as the digits say, and equal texts stay together
+    monkeypatch.setattr(sharding, "DIGITS", 6)
+    coarse = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(d).collect()}
+    loads, homes = Counter(), defaultdict(set)
+    for r in rows:
+        loads[coarse[r["doc_id"]]] += len((r["text"] or "").encode()) + 1
+        homes[r["text"]].add(coarse[r["doc_id"]])
+    assert len(coarse) == len(found) and all(len(h) == 1 for h in homes.values())
+    assert max(loads.values()) <= total / 16 * (1 + 1 / 32)
+
+
+def test_size_classes(spark):
+    sizes = [1, 2, 16_383, 16_384, 16_385, (1 << 40) - 1, 1 << 40, (1 << 50) + 12_345]
+    found = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "s long").select(sharding.size_class(F.col("s"))).collect()]
+    assert found == [s >> max(0, s.bit_length() - 14) << max(0, s.bit_length() - 14) for s in sizes]
 
 
 def test_shards(docs, nothing):

@@ -3,7 +3,9 @@
 Equal fingerprints are merged first. The different ones meet in buckets: the
 64 bits are cut into five blocks, and two fingerprints that differ in at most
 two bits agree on at least three whole blocks, so ten tables of three blocks
-miss no pair. Within a bucket fingerprints are stored vertically, one machine
+miss no pair. The prints of a crowded bucket meet once more in the same way, by
+blocks of the bits that its table leaves free; ten or eleven bits are free then,
+so no bucket has more than 2,048 different prints. Within a bucket fingerprints are stored vertically, one machine
 word for each bit of 64 of them; one step then updates 64 distances with
 carry-save counters, and 64 fingerprints are abandoned together once all are
 beyond the radius. A bucket's links leave its task as a forest, never as all
@@ -28,7 +30,7 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 BLOCKS = 5
-#: Buckets of more fingerprints are compared in pairs of parts of about this size.
+#: Buckets of more fingerprints meet again by blocks of their free bits; buckets of more texts are compared in parts of about this size.
 PART = 256
 
 
@@ -134,18 +136,35 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(held_b, held_v)
 
 
-def _masks(keep: int = BLOCKS - RADIUS) -> list[int]:
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    blocks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
-    sums = [sum(c) for c in combinations(blocks, keep)]
-    return [m - (1 << 64) if m >> 63 else m for m in sums]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _masks(free: list[int], kept: int = 0) -> list[int]:
+    """Masks of ``kept`` with all but ``RADIUS`` of the ``BLOCKS`` blocks that the free bits are cut into."""
+    edges = [len(free) * k // BLOCKS for k in range(BLOCKS + 1)]
+    blocks = [sum(1 << bit for bit in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [kept | sum(c) for c in combinations(blocks, BLOCKS - RADIUS)]
+
+
+#: The masks of the tables, and for each those by which the prints of a crowded bucket meet again.
+MASKS = _masks(list(range(64)))
+FINER_MASKS = [_masks([b for b in range(64) if not m >> b & 1], m) for m in MASKS]
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all different fingerprints within the radius, as forests of their buckets."""
-    tables: list[Column] = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_masks())]
-    rows = prints.select("fp", F.explode(F.array(*tables)).alias("k")).select("fp", F.xxhash64("k.t", "k.key").alias("bucket"))
-    met = _met(rows, "fp")
+    """Links (a, b) that connect all different fingerprints within the radius, as forests of their buckets.
+
+    A print has ten rows, and ten for each of its buckets that is crowded, so
+    rows and comparisons grow with the prints however many share a bucket.
+    """
+    tables: list[Column] = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(MASKS)]
+    rows = prints.select("fp", F.explode(F.array(*tables)).alias("k")).select("fp", "k.t", F.xxhash64("k.t", "k.key").alias("bucket"))
+    rows = cut(rows, "fingerprint-tables")
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    finer = F.element_at(F.array(*(F.array(*(F.lit(_signed(m)) for m in masks)) for masks in FINER_MASKS)), F.col("t") + 1)
+    again = F.transform(finer, lambda m, k: F.xxhash64(F.col("t"), k, F.col("fp").bitwiseAND(m)))
+    met = rows.join(counts, "bucket").select("fp", F.explode(F.when(F.col("n") > PART, again).otherwise(F.array("bucket"))).alias("bucket"))
     return met.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "fp").mapInArrow(_links, "a long, b long")
 
 
@@ -180,7 +199,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 SIMILARITY, SKETCH_SIMILARITY = 0.8, 0.65
 #: Bits in which fingerprints of near copies differ at most: up to 12 on average at that similarity (sets of 4 and 5), with a deviation of 3.
 WIDE_RADIUS = 26
-WIDE_SHINGLE, HASHES, BANDS = 5, 128, 10
+WIDE_SHINGLE, HASHES, BANDS, BAND = 5, 128, 20, 4
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -210,7 +229,7 @@ def sketch(h: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, item, fp, sketch, bands): an item is named by its set of shingles; a band joins two hashes."""
+    """(key, doc_id, item, fp, sketch, bands): an item is named by its set of shingles; a band joins four hashes."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
@@ -222,7 +241,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items.append(xxh64_intdigest(h.tobytes(), SEED))
             prints.append(fp)
             sketches.append(small)
-            bands.append([xxh64_intdigest(least[2 * k : 2 * k + 2].tobytes(), k) for k in range(BANDS)])
+            bands.append([xxh64_intdigest(least[BAND * k : BAND * (k + 1)].tobytes(), k) for k in range(BANDS)])
         bands_ = pa.ListArray.from_arrays(np.arange(0, BANDS * len(items) + 1, BANDS, dtype=np.int32), pa.array(np.array(bands, np.uint64).reshape(-1).view(np.int64)))
         numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (items, prints)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(sketches, pa.binary()), bands_], ["key", "doc_id", "item", "fp", "sketch", "bands"])
@@ -299,14 +318,6 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(item[linked]), pa.array(item[root[linked]])], ["a", "b"])
 
 
-def _met(rows: DataFrame, name: str) -> DataFrame:
-    """(bucket, name) of rows that share a bucket with others; large buckets as all pairs of their parts."""
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    part = F.pmod(F.xxhash64(name), F.col("parts")).cast("int")
-    met = rows.join(counts, "bucket").select(name, "bucket", part.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    return met.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), name)
-
-
 def _settled(rows: DataFrame, name: str, compared: Callable[[DataFrame], DataFrame], what: str) -> DataFrame:
     """(node, component) of different rows (bucket, name); ``compared`` gives the links (a, b) within buckets of a few parts.
 
@@ -360,8 +371,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Near copies have 5-word shingle similarity of 0.8 or more. At that
     similarity fingerprints differ in too many bits for whole blocks of them to
-    agree, so texts meet by bands of two minimal shingle hashes (ten bands
-    miss a pair at 0.8 in 1 of 27,000); the bit-sliced comparison then finds
+    agree, so texts meet by bands of four minimal shingle hashes (twenty bands
+    miss a pair at 0.8 in 1 of 38,000, and let one at 0.3 meet in 1 of 7); the bit-sliced comparison then finds
     near fingerprints, and sketches of 128 minimal hashes that agree in 0.65
     join texts to groups. These only say who may be alike: within a group the
     sets of shingle hashes are compared exactly, other than those already linked
