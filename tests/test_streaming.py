@@ -121,6 +121,31 @@ def test_gap_detector(spark, tmp_path):
         q.stop()
 
 
+def test_silences_are_reported_after_a_stop_between_two_batches(spark, tmp_path):
+    """The first batch is committed and the query ends with timers pending; started again, it has no new message to read and reports all the same."""
+    source, found = str(tmp_path / "in"), {}
+    spark.createDataFrame([(1, "A", "t1", 60.0, 5.0, 70, 0), (2, "B", "t1", 60.0, 5.0, 70, 0)], GAP_EVENTS).coalesce(1).write.parquet(source)
+
+    def start(**trigger):
+        def keep(df, n):
+            found[n] = sorted((r["event_type"], r["mmsi"], r["name"]) for r in df.collect())
+
+        events = gaps.gap_events(spark.readStream.schema(GAP_EVENTS).parquet(source), timeout=3)
+        return events.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(**trigger).start()
+
+    assert start(once=True).awaitTermination(120)
+    assert found == {0: []}
+    q = start(processingTime="1 second")
+    try:
+        end = time.time() + 60
+        while time.time() < end and not any(found.values()):
+            time.sleep(0.5)
+        time.sleep(3)
+    finally:
+        q.stop()
+    assert sorted(r for rows in found.values() for r in rows) == [("AIS_GAP_DETECTED", 1, "A"), ("AIS_GAP_DETECTED", 2, "B")]
+
+
 def test_detector_takes_a_hundred_thousand_rows_of_a_vessel_at_once(spark, tmp_path):
     """The batch's last known name and last values are kept; reading the rows takes no Python step for each."""
     import pandas as pd

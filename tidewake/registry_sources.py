@@ -322,7 +322,7 @@ def stream_gap_recovery(t: Tables) -> DataFrame:
     s.start()
     try:
         if s.vessels:
-            s.wait("reports", lambda: sum(p.numInputRows for p in s.query.recentProgress) >= s.vessels)
+            s.wait("reports", lambda: sum(p.sources[0].numInputRows for p in s.query.recentProgress) >= s.vessels)
             s.stop()
             s.start()
             s.wait_for("AIS_GAP_DETECTED")
