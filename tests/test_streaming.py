@@ -250,3 +250,8 @@ def test_panes_are_what_goes_into_longer_windows(spark):
         names = [x for x in rs if x["name"]]
         assert (r["position_count"], r["min_speed"], r["max_speed"], r["last_navigation_status"]) == (len(rs), min(x["speed"] for x in rs), max(x["speed"] for x in rs), newest["navigation_status"])
         assert r["name"] == max(names, key=lambda x: x["event_time"])["name"] and abs(r["avg_speed"] - sum(x["speed"] for x in rs) / len(rs)) < 1e-9
+
+
+def test_small_state_stores_reserve_no_disk(spark):
+    own = windows.stream_session(spark, windows.RECOVERABLE)
+    assert own.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate") == "false"
