@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 from collections import Counter
 from datetime import UTC, datetime, timedelta
 
@@ -90,6 +92,109 @@ def test_invalid_rows_and_thresholds(spark):
         detect(spark, bad, max_speed=float("nan"))
 
 
+def plain_visits(rows, ports, min_stay, max_gap, max_speed):
+    """Visits by a loop over each vessel's observations, and the number of short stays."""
+
+    def metres(a, b):
+        x, y, u, v = map(math.radians, (*a, *b))
+        h = math.sin((u - x) / 2) ** 2 + math.cos(x) * math.cos(u) * math.sin((v - y) / 2) ** 2
+        return 6371008.8 * 2 * math.asin(math.sqrt(min(1.0, h)))
+
+    out, short, by = [], 0, {}
+    for mmsi, t, lat, lon, speed in rows:
+        by.setdefault(mmsi, []).append((t, lat, lon, speed))
+    for mmsi, seen in by.items():
+        around = []
+        for t, lat, lon, speed in sorted(seen):
+            near = sorted((d, p[0]) for p in ports if (d := metres((lat, lon), p[3:5])) <= p[5])
+            around.append((t, near[0][1] if near and speed <= max_speed else None, {i for _, i in near}))
+        start = 0
+        for k in range(1, len(around) + 1):
+            if k < len(around) and around[k][1] == around[k - 1][1] and (around[k][0] - around[k - 1][0]).total_seconds() <= max_gap:
+                continue
+            (first, port, _), last, n, stay = around[start], around[k - 1][0], k - start, (around[k - 1][0] - around[start][0]).total_seconds()
+            before, after = around[start - 1] if start else None, around[k] if k < len(around) else None
+            start = k
+            if port is None:
+                continue
+            if n < 2 or stay < min_stay:
+                short += 1
+                continue
+            reason = "window_end" if after is None else "data_gap" if (after[0] - last).total_seconds() > max_gap else "movement_or_unknown" if port in after[2] else "observed_exit"
+            censored = before is None or (first - before[0]).total_seconds() > max_gap or port in before[2]
+            out.append((mmsi, port, first, last, after[0] if reason == "observed_exit" else None, int(censored), reason, n, stay))
+    return sorted(out, key=str), short
+
+
+@pytest.mark.parametrize("max_gap", [900, 3600, 100_000])
+def test_visits_over_midnights_are_those_of_a_loop(spark, max_gap):
+    rng, ports = random.Random(max_gap), [(f"P{k}", "p", "NO", 60.0 + 0.01 * (k % 4), 5.0, 1500.0 + 400 * (k % 3)) for k in range(12)]
+    rows = []
+    for mmsi in range(257000001, 257000041):
+        t, lat, step = datetime(2026, 1, 1, 20), 60.0, rng.choice([300, 800, 20_000, 90_000])
+        for _ in range(150 if step < 1000 else 25):
+            t += timedelta(seconds=rng.choice([step // 2, step, step, step + rng.randrange(max(1, step)), 70_000 if rng.random() < 0.1 else step]))
+            lat = rng.choice([60.0, 60.005, 60.01, 60.02, 60.05]) if rng.random() < 0.15 else lat
+            rows.append((mmsi, t, lat, 5.0, 9.0 if rng.random() < 0.08 else 0.5))
+    expected, short = plain_visits(rows, ports, 1200, max_gap, 3.0)
+    assert len(expected) > 20 and any(e[2].date() != e[3].date() for e in expected)
+    df, at_ports = spark.createDataFrame(rows, POINTS).repartition(5), spark.createDataFrame(ports, PORTS)
+    found = visits.detect_visits(df, at_ports, 1200, max_gap, 3.0).collect()
+    assert sorted((tuple(r[c] for c in visits.VISIT_COLUMNS[1:]) for r in found), key=str) == expected
+    s = visits.visit_stats(df, at_ports, 1200, max_gap, 3.0).first()
+    assert (s["visits"], s["short_candidates"], s["source_rows"], s["invalid_rows"]) == (len(expected), short, len(rows), 0)
+
+
+def test_newest_rows_count_with_a_version(spark):
+    old, new = track(*slow(0, 10, 20)), track((0, True, 0.5), (10, True, 9.0), (20, True, 0.5))
+    df = spark.createDataFrame([(*r, v) for v, rows in ((1, old), (2, new)) for r in rows], f"{POINTS}, v int")
+    ports = spark.createDataFrame(PORT, PORTS)
+    assert visits.detect_visits(df.where("v = 1"), ports, version=["v"]).count() == 1
+    assert visits.detect_visits(df, ports, version=["v"]).isEmpty()
+    s = visits.visit_stats(df, ports, version=["v"]).first()
+    assert (s["source_rows"], s["unique_timestamps"], s["conflicting_timestamps"], s["short_candidates"], s["invalid_rows"]) == (3, 3, 0, 2, 0)
+
+
+def shuffled_bytes(spark, df) -> int:
+    """Bytes that computing ``df`` shuffles, those of tables written on the way not counted."""
+    df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plan, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("shuffleBytesWritten")
+        plan += metric.get().value() if metric.isDefined() else 0
+        children = [node.executedPlan()] if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [node.plan()] if "QueryStage" in node.getClass().getSimpleName() else [node.children().apply(k) for k in range(node.children().size())]
+        todo += children
+    return plan
+
+
+def test_work_of_visits_does_not_grow_with_ports_of_one_circle(spark):
+    rows = [r for m in range(20) for r in track(*slow(*range(0, 600, 5)), mmsi=257000001 + m)]
+    df = spark.createDataFrame(rows, POINTS)
+
+    def of(n):
+        many = spark.createDataFrame([(f"P{k:05d}", "p", "NO", 60.0, 5.0, 1500.0) for k in range(n)], PORTS)
+        e = visits.assign_ports(visits.collapse_positions(df), many)
+        assert {(r["nearest"], r["n_inside"]) for r in e.select("nearest", "n_inside").distinct().collect()} == {("P00000", n)}
+        return shuffled_bytes(spark, e)
+
+    assert of(2000) < 1.5 * of(1)
+
+
+def test_few_islands_are_moved_by_vessel(spark):
+    """Of sparse vessels only what is near midnight or a visit is written."""
+    rows = [(257000001 + m, at(1440 * d + 700 + 5 * k), 60.0, 5.0, 0.5) for m in range(30) for d in range(4) for k in range(3)]
+    rows += track(*slow(*range(1400, 1480, 10)), mmsi=257009999)
+    e = visits.assign_ports(visits.collapse_positions(spark.createDataFrame(rows, POINTS)), spark.createDataFrame(PORT, PORTS))
+    chosen = F.col("eligible").isNotNull() & (F.col("seen") >= 5)
+    found = visits.chosen_islands(e, chosen)
+    assert [(r["mmsi"], r["seen"], r["later"]) for r in found.collect()] == [(257009999, 8, False)]
+    full = visits.island_table(e).where(chosen)
+    assert [(r["mmsi"], r["seen"]) for r in full.collect()] == [(257009999, 8)]
+    assert shuffled_bytes(spark, found) < shuffled_bytes(spark, full) / 2
+
+
 def test_radius_join_wraps_longitude_and_nears_poles(spark):
     ports = [("W", "w", "", 0.0, 179.999, 1500.0), ("P", "p", "", 89.99, 0.0, 5000.0)]
     points = spark.createDataFrame([(1, 0.0, -179.999), (2, 0.0, 179.5), (3, 89.99, 180.0), (4, 60.0, 0.0)], "id long, latitude double, longitude double")

@@ -72,8 +72,16 @@ def rolling_baseline_by_days(features: DataFrame, days: int = 7) -> DataFrame:
     return out.fillna(0, ["baseline_days", "baseline_speed_days", "baseline_stationary_days"])
 
 
-def ports_within_radius(points: DataFrame, ports: DataFrame, cell: float = 0.1) -> DataFrame:
-    """Every (point, port) whose distance is at most the port's radius, with ``distance_m``.
+def port_circles(ports: DataFrame) -> DataFrame:
+    """The different circles: of all ports with equal place and radius the smallest id, and how many they are (``ports``)."""
+    return ports.groupBy("latitude", "longitude", "radius_m").agg(F.min("port_id").alias("port_id"), F.count("*").alias("ports"))
+
+
+def ports_within_radius(points: DataFrame, ports: DataFrame, cell: float = 0.1, carried: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+    """Every (point, port) whose distance is at most the port's radius, with ``distance_m`` and the port's ``carried`` columns.
+
+    With ``how="left"`` no point is lost: one may also come with null instead
+    of a port, whether it is in another's circle or in none.
 
     Ports (the small side) are put into all grid cells that their circle can
     touch, so points are neither multiplied nor compared with far ports. The
@@ -87,12 +95,14 @@ def ports_within_radius(points: DataFrame, ports: DataFrame, cell: float = 0.1)
     near = F.ceil(radius / (per_row * F.greatest(F.cos(F.radians(widest)), F.lit(1e-4)))).cast("int")
     cols = F.when(widest >= 89.9, n_cols // 2).otherwise(F.least(F.lit(n_cols // 2), near))
     row, col = F.floor(lat / cell).cast("int"), F.floor(lon / cell).cast("int")
-    p = ports.select(F.col("port_id"), lat.alias("port_latitude"), lon.alias("port_longitude"), radius, row.alias("row0"), col.alias("col0"), rows.alias("rows"), cols.alias("cols"))
+    p = ports.select(F.col("port_id"), *carried, lat.alias("port_latitude"), lon.alias("port_longitude"), radius, row.alias("row0"), col.alias("col0"), rows.alias("rows"), cols.alias("cols"))
     p = p.withColumn("cell_row", F.explode(F.expr("sequence(row0 - rows, row0 + rows)"))).withColumn("cell_col", F.explode(F.expr("sequence(col0 - cols, col0 + cols)")))
     p = p.withColumn("cell_col", F.pmod("cell_col", F.lit(n_cols))).drop("row0", "col0", "rows", "cols").distinct()
     q = points.withColumns({"cell_row": row, "cell_col": F.pmod(col, F.lit(n_cols))})
-    met = q.join(_small(p, 1_000_000), ["cell_row", "cell_col"]).withColumn("distance_m", haversine_m(lat, lon, F.col("port_latitude"), F.col("port_longitude")))
-    return met.where(F.col("distance_m") <= radius).drop("cell_row", "cell_col", "port_latitude", "port_longitude", "radius_m")
+    met = q.join(_small(p, 1_000_000), ["cell_row", "cell_col"], how).withColumn("distance_m", haversine_m(lat, lon, F.col("port_latitude"), F.col("port_longitude")))
+    near = F.col("distance_m") <= radius
+    met = met.withColumns({c: F.when(near, F.col(c)) for c in (*carried, "port_id", "distance_m")}) if how == "left" else met.where(near)
+    return met.drop("cell_row", "cell_col", "port_latitude", "port_longitude", "radius_m")
 
 
 def match_exact(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

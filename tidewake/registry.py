@@ -83,7 +83,7 @@ def anomalies(t: Tables) -> DataFrame:
 
 
 def visit_table(t: Tables) -> DataFrame:
-    return visits.detect_visits(positions(t), t.ports, B.VISIT_STAY, B.VISIT_GAP, B.VISIT_SPEED)
+    return visits.detect_visits(t.positions_raw, t.ports, B.VISIT_STAY, B.VISIT_GAP, B.VISIT_SPEED, daily.POSITION_VERSION)
 
 
 def points(t: Tables) -> DataFrame:
@@ -249,7 +249,7 @@ def vessel_daily_anomalies(t: Tables) -> DataFrame:
 @query("ports_within_radius", "SELECT mmsi, epoch_us(msgtime) AS msgtime, nearest, len(ports_inside) AS n_inside FROM near")
 def ports_within_radius(t: Tables) -> DataFrame:
     seen = visits.collapse_positions(visits.valid_positions(positions(t)))
-    return visits.assign_ports(seen, t.ports, B.VISIT_SPEED).where("nearest IS NOT NULL").select("mmsi", "msgtime", "nearest", F.size("inside").cast("long").alias("n_inside"))
+    return visits.assign_ports(seen, t.ports, B.VISIT_SPEED).where("nearest IS NOT NULL").select("mmsi", "msgtime", "nearest", "n_inside")
 
 
 @query("collapse_positions", "SELECT mmsi, epoch_us(msgtime) AS msgtime, latitude, longitude, speed FROM observations")
@@ -278,7 +278,7 @@ def visit_summaries(t: Tables) -> DataFrame:
       (SELECT count(*) FROM observations WHERE latitude IS NULL) AS conflicting_timestamps, (SELECT count(*) FROM assigned WHERE nearest IS NOT NULL) AS positions_inside_ports,
       (SELECT count(*) FROM visits) AS visits, (SELECT count(*) FROM (SELECT 1 FROM islands WHERE eligible IS NOT NULL GROUP BY mmsi, island HAVING count(*) < 2 OR epoch_us(max(msgtime)) - epoch_us(min(msgtime)) < {B.VISIT_STAY * 1_000_000})) AS short_candidates""")
 def visit_stats(t: Tables) -> DataFrame:
-    return visits.visit_stats(positions(t), t.ports, B.VISIT_STAY, B.VISIT_GAP, B.VISIT_SPEED)
+    return visits.visit_stats(t.positions_raw, t.ports, B.VISIT_STAY, B.VISIT_GAP, B.VISIT_SPEED, daily.POSITION_VERSION)
 
 
 @query("port_connections", f"SELECT from_port_id, to_port_id, movement_count, vessel_count, {us('first_seen', 'last_seen')} FROM routes")
