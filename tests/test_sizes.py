@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewake import registry, registry_sources  # noqa: F401
 
 VISITS = [
-    "distinct_per", "report_top_ports", "report_bottom_ports",
+    "distinct_per", "report_top_ports", "report_bottom_ports", "report_port_map",
 ]
 
 
