@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewake import registry, registry_sources  # noqa: F401
 
 VISITS = [
-    "distinct_per", "report_top_ports", "report_bottom_ports", "report_port_map", "port_graph_communities", "report_community_traffic", "visit_stats", "port_graph_metrics_enriched", "report_communities_list", "completed_visits", "active_versions",
+    "distinct_per", "report_top_ports", "report_bottom_ports", "report_port_map", "port_graph_communities", "report_community_traffic", "visit_stats", "port_graph_metrics_enriched", "report_communities_list", "completed_visits", "active_versions", "check_community_port_counts",
 ]
 
 
